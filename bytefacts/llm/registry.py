@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from bytefacts.llm.piece_encoding import op1_piece_encoding
+from bytefacts.llm.simhash import op6_simhash
 from bytefacts.llm.token_counts import op5_token_counts
 
 QUERIES = {
     "op1_piece_encoding": op1_piece_encoding,
     "op5_token_counts": op5_token_counts,
+    "op6_simhash": op6_simhash,
 }
 
 ORACLES: dict[str, str] = {}
