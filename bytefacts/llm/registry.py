@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bytefacts.llm.audio import op10_audio
 from bytefacts.llm.piece_encoding import op1_piece_encoding
 from bytefacts.llm.simhash import op6_simhash
 from bytefacts.llm.token_counts import op5_token_counts
@@ -10,6 +11,7 @@ QUERIES = {
     "op1_piece_encoding": op1_piece_encoding,
     "op5_token_counts": op5_token_counts,
     "op6_simhash": op6_simhash,
+    "op10_audio": op10_audio,
 }
 
 ORACLES: dict[str, str] = {}
