@@ -84,18 +84,23 @@ def chunks(text: str) -> list[str]:
 
 
 class Cache(dict):
-    """Of chunks; emptied when full, so its memory is bounded and results never depend on it."""
+    """Of chunks, in two generations: when the young one is full it becomes the old one, whose entries come back
+    as they are asked for. So memory is bounded, frequent chunks stay, and results never depend on it."""
 
-    def __init__(self, make, limit: int = 250_000, longest: int = 64):
+    def __init__(self, make, limit: int = 200_000, longest: int = 64):
         super().__init__()
-        self.make, self.limit, self.longest = make, limit, longest
+        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
 
     def __missing__(self, key):
-        value = self.make(key)
-        if len(key) <= self.longest:
-            if len(self) >= self.limit:
-                self.clear()
-            self[key] = value
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > self.longest:
+                return value
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
         return value
 
 

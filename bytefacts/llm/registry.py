@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bytefacts.llm.audio import op10_audio
+from bytefacts.llm.packing import op2_packing
 from bytefacts.llm.piece_encoding import op1_piece_encoding
 from bytefacts.llm.pii import op9_pii
 from bytefacts.llm.simhash import op6_simhash
@@ -10,6 +11,7 @@ from bytefacts.llm.token_counts import op5_token_counts
 
 QUERIES = {
     "op1_piece_encoding": op1_piece_encoding,
+    "op2_packing": op2_packing,
     "op5_token_counts": op5_token_counts,
     "op6_simhash": op6_simhash,
     "op9_pii": op9_pii,
