@@ -7,15 +7,19 @@ from bytefacts.llm.packing import op2_packing
 from bytefacts.llm.piece_encoding import op1_piece_encoding
 from bytefacts.llm.pii import op9_pii
 from bytefacts.llm.simhash import op6_simhash
+from bytefacts.llm.topk import OP3_SQL, op3_topk
 from bytefacts.llm.token_counts import op5_token_counts
 
 QUERIES = {
     "op1_piece_encoding": op1_piece_encoding,
     "op2_packing": op2_packing,
+    "op3_topk": op3_topk,
     "op5_token_counts": op5_token_counts,
     "op6_simhash": op6_simhash,
     "op9_pii": op9_pii,
     "op10_audio": op10_audio,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_topk": OP3_SQL,
+}
