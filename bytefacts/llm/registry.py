@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bytefacts.llm.audio import op10_audio
+from bytefacts.llm.licenses import op8_licenses
 from bytefacts.llm.packing import op2_packing
 from bytefacts.llm.piece_encoding import op1_piece_encoding
 from bytefacts.llm.pii import op9_pii
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_topk": op3_topk,
     "op5_token_counts": op5_token_counts,
     "op6_simhash": op6_simhash,
+    "op8_licenses": op8_licenses,
     "op9_pii": op9_pii,
     "op10_audio": op10_audio,
 }
