@@ -7,6 +7,7 @@ from bytefacts.llm.licenses import op8_licenses
 from bytefacts.llm.packing import op2_packing
 from bytefacts.llm.piece_encoding import op1_piece_encoding
 from bytefacts.llm.pii import op9_pii
+from bytefacts.llm.quality import op7_quality
 from bytefacts.llm.simhash import op6_simhash
 from bytefacts.llm.topk import OP3_SQL, op3_topk
 from bytefacts.llm.token_counts import op5_token_counts
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_topk": op3_topk,
     "op5_token_counts": op5_token_counts,
     "op6_simhash": op6_simhash,
+    "op7_quality": op7_quality,
     "op8_licenses": op8_licenses,
     "op9_pii": op9_pii,
     "op10_audio": op10_audio,
