@@ -25,7 +25,7 @@ from bytefacts.llm import common
 
 SYMBOLS, ORDER = 32, 4
 SIZE = SYMBOLS**ORDER
-QUANTILE, PRIOR = 0.99, 150
+QUANTILE, PRIOR = 0.999, 150
 #: A language with fewer trusted documents takes the threshold of all trusted documents.
 FEWEST = 30
 
