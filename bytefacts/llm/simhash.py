@@ -83,18 +83,27 @@ def budgets(tau: int = TAU, segments: int = SEGMENTS) -> list[int]:
     return [length * tau // segments for length in range(1, segments + 1)]
 
 
-def chain_passes(x: np.ndarray, tau: int = TAU) -> np.ndarray:
-    """For differences x (uint64): does some segment begin a chain within all budgets?"""
-    parts = np.bitwise_count(np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, SEGMENTS)[:, ::-1]).astype(np.int64)
+def chain_passes(x: np.ndarray, tau: int = TAU, segments: int = SEGMENTS) -> np.ndarray:
+    """For differences x (rows of uint64 words): does some segment begin a chain within all budgets?"""
+    raw = np.ascontiguousarray(x.astype(">u8")).view(np.uint8).reshape(len(x), segments, -1)
+    parts = np.bitwise_count(raw).sum(axis=2, dtype=np.int64)
     ring = np.concatenate([parts, parts], axis=1)
     sums = np.concatenate([np.zeros((len(ring), 1), dtype=np.int64), np.cumsum(ring, axis=1)], axis=1)
-    limit = np.array(budgets(tau))
+    limit = np.array(budgets(tau, segments))
     passes = np.zeros(len(ring), dtype=bool)
-    for s in range(SEGMENTS):
-        passes |= (sums[:, s + 1 : s + 1 + SEGMENTS] - sums[:, s : s + 1] <= limit).all(axis=1)
+    for s in range(segments):
+        passes |= (sums[:, s + 1 : s + 1 + segments] - sums[:, s : s + 1] <= limit).all(axis=1)
     return passes
 
 
+def within(a: np.ndarray, b: np.ndarray, tau: int) -> np.ndarray:
+    """Which rows of a and b (uint64 words) differ in at most tau bits: the chain test first, then all bits of what is left."""
+    x = (a ^ b).reshape(len(a), -1)
+    out = chain_passes(x, tau)
+    out[out] = np.bitwise_count(x[out]).sum(axis=1, dtype=np.int64) <= tau
+    return out
+
+
 def _linked_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each small group: the pairs that pass the chain test and then the Hamming check."""
     for batch in batches:
@@ -107,9 +116,7 @@ def _linked_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             i, j = np.triu_indices(n, 1)
             for at in range(0, len(rows), 4096):
                 a, b = rows[at : at + 4096][:, i].ravel(), rows[at : at + 4096][:, j].ravel()
-                keep = chain_passes(a ^ b)
-                a, b = a[keep], b[keep]
-                keep = np.bitwise_count(a ^ b) <= TAU
+                keep = within(a, b, TAU)
                 left.append(a[keep])
                 right.append(b[keep])
         a, b = np.concatenate(left).view(np.int64), np.concatenate(right).view(np.int64)
@@ -153,5 +160,120 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
     return prints.join(by_bits, "bits").select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
+# Near copies by similarity of word shingles, for stages that drop them.
+
+#: Bits of a wide fingerprint; the share of its bits that differ estimates the angle between two shingle sets.
+WIDE, BANDS, ROWS = 4, 12, 3
+
+_MIX = np.random.default_rng(5).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
+
+
+def wide_tau(similarity: float) -> int:
+    bits = 64 * WIDE
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * p + np.sqrt(bits * p * (1 - p)))
+
+
+def sketch(text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(wide fingerprint as WIDE words, BANDS keys) of a text's set of shingles. Each key mixes ROWS smallest values."""
+    found = list(dict.fromkeys(shingles(text, words)))
+    bits, low = np.zeros(64 * WIDE, dtype=np.int64), np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(found), 16_384):
+        part = found[at : at + 16_384]
+        raw = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s, seed) for s in part for seed in (1, 2)]), dtype=np.uint8).reshape(len(part), -1)
+        bits += np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)
+        h = np.ascontiguousarray(raw[:, :8]).view(np.uint64).ravel()
+        for k in range(BANDS * ROWS):
+            low[k] = min(low[k], ((h ^ _MIX[0, k]) * _MIX[1, k]).min())
+    words_ = np.packbits(2 * bits > len(found)).view(">u8").astype(np.uint64)
+    keys_ = np.array([xxhash.xxh64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)], dtype=np.uint64)
+    return words_, keys_
+
+
+_PRINT = [f"p{i}" for i in range(WIDE)]
+
+
+def _pairs_within(tau: int):
+    """Rows (a, b, p0.., q0..) -> (a, b) of those within tau bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, q = (np.stack([batch.column(f"{c}{i}").to_numpy(zero_copy_only=False).view(np.uint64) for i in range(WIDE)], axis=1) for c in "pq")
+            keep = pa.array(within(p, q, tau)) if batch.num_rows else pa.array([], type=pa.bool_())
+            yield batch.select(["a", "b"]).filter(keep)
+
+    return run
+
+
+def _pairs_of_groups(tau: int):
+    """Groups (members: structs of node, p0..) of at most GROUP -> pairs (a, b) within tau bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups = batch.column("members")
+            flat = groups.flatten()
+            node = flat.field("node").to_numpy(zero_copy_only=False)
+            prints = np.stack([flat.field(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in _PRINT], axis=1) if len(flat) else np.zeros((0, WIDE), np.uint64)
+            at, left, right = 0, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for n in np.diff(groups.offsets.to_numpy()):
+                i, j = np.triu_indices(n, 1)
+                keep = within(prints[at + i], prints[at + j], tau) if len(i) else np.zeros(0, bool)
+                left.append(node[at + i[keep]])
+                right.append(node[at + j[keep]])
+                at += n
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), type=pa.int64()) for x in (left, right)], names=["a", "b"])
+
+    return run
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) of documents whose shingle sets have about `similarity` or more, by wide fingerprints.
+
+    At this similarity fingerprints differ in too many bits for keys of equal segments, so documents meet if one of
+    BANDS keys of ROWS smallest shingle values each is the same (a pair of similarity 0.8 meets but for one in 5,000), and
+    then pass the chain test and the Hamming check over 256 bits. Equal sketches are one node. Blocks of a key
+    with more than GROUP nodes shrink first: in each round all their nodes are compared with one of them, and those
+    within reach are linked to it and leave; the others, and small blocks, end as pairs of at most GROUP nodes.
+    Rows with a null id take no part; null texts count as empty, and texts without words are copies of each other.
+    """
+    common.ship(docs.sparkSession)
+    tau = wide_tau(similarity)
+
+    def kernel(ids: list, texts: list) -> dict:
+        made = [sketch(t, words) for t in texts]
+        return {"doc_id": ids} | {c: [int(p[i].view(np.int64)) for p, _ in made] for i, c in enumerate(_PRINT)} | {"bands": [k.view(np.int64).tolist() for _, k in made]}
+
+    prints = common.cut(common.map_texts(docs, "doc_id long, " + ", ".join(f"{c} long" for c in _PRINT) + ", bands array<long>", kernel, id_col, text_col).where("doc_id is not null"))
+    nodes = common.cut(prints.groupBy(*_PRINT, "bands").agg(F.min("doc_id").alias("node")))
+    rows = nodes.select("node", *_PRINT, F.posexplode("bands").alias("band", "key"))
+    edges = []
+    while True:
+        sizes = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min_by(F.struct("node", *_PRINT), F.xxhash64("node", "band")).alias("lead")).where("n > 1")
+        rows = common.cut(rows.join(sizes, ["band", "key"]))
+        small = rows.where(F.col("n") <= GROUP).groupBy("band", "key").agg(F.collect_list(F.struct("node", *_PRINT)).alias("members"))
+        edges.append(small.select("members").mapInArrow(_pairs_of_groups(tau), "a long, b long"))
+        large = rows.where(F.col("n") > GROUP)
+        if large.isEmpty():
+            break
+        with_lead = large.select(F.col("lead.node").alias("a"), F.col("node").alias("b"), *_PRINT, *(F.col(f"lead.{c}").alias(f"q{i}") for i, c in enumerate(_PRINT)), "band", "key")
+        reached = common.cut(with_lead.select("a", "b", *_PRINT, *(f"q{i}" for i in range(WIDE))).mapInArrow(_pairs_within(tau), "a long, b long").distinct())
+        edges.append(reached.where("a != b"))
+        gone = with_lead.join(reached, ["a", "b"]).select("band", "key", F.col("b").alias("node"))
+        rows = common.cut(large.drop("n", "lead").join(gone, ["band", "key", "node"], "left_anti"))
+    links_ = edges[0]
+    for e in edges[1:]:
+        links_ = links_.union(e)
+    joined = connected_components(links_)
+    named = nodes.join(joined, "node", "left").select(*_PRINT, "bands", F.coalesce("component", "node").alias("component_id"))
+    return prints.join(named, [*_PRINT, "bands"]).select("doc_id", "component_id")
+
+
+def first_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without near copies: of each component the row of the smallest id stays, once; rows with a null id stay."""
+    drop = near_copies(docs, words, similarity, id_col, text_col).where("doc_id != component_id").select(F.col("doc_id").alias("__drop")).distinct()
+    left = docs.join(drop, common.column(id_col).cast("long") == F.col("__drop"), "left_anti")
+    return left.dropDuplicates() if not any(t.startswith("map") for _, t in docs.dtypes) else left
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.read(spark, sf_dir, "documents"))
