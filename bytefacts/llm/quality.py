@@ -6,7 +6,7 @@ has 32 ** ORDER entries whatever the corpus. Counts of all trusted documents are
 codes; discounts, context totals and continuation counts come from joins of these count tables. The finished
 table of log probabilities (4 MB, a bound by construction) goes to every executor, and a document's
 perplexity is a sum over its symbols. Each language's threshold is a quantile of its trusted
-documents; a document above it is rejected.
+documents, times MARGIN; a document above it is rejected.
 
 Perplexities of short texts vary by chance, so a document's mean is taken with PRIOR further symbols of its language's
 average: a few words alone can't reject it.
@@ -26,6 +26,8 @@ from bytefacts.llm import common
 SYMBOLS, ORDER = 32, 4
 SIZE = SYMBOLS**ORDER
 QUANTILE, PRIOR = 0.999, 150
+#: The model has seen the trusted documents, so others of their kind lie a little above them.
+MARGIN = 1.02
 #: A language with fewer trusted documents takes the threshold of all trusted documents.
 FEWEST = 30
 
@@ -171,7 +173,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_
     by_lang = trusted_rates.groupBy("lang").agg(F.percentile_approx("rate", quantile, 10_000).alias("own"), F.count("*").alias("docs"))
     for_all = trusted_rates.agg(F.percentile_approx("rate", quantile, 10_000).alias("for_all"))
     limits = rated.join(by_lang, "lang", "left").crossJoin(F.broadcast(for_all))
-    limit = F.when(F.col("docs") >= FEWEST, F.col("own")).otherwise(F.col("for_all"))
+    limit = MARGIN * F.when(F.col("docs") >= FEWEST, F.col("own")).otherwise(F.col("for_all"))
     return limits.select("doc_id", "lang", "symbols", F.pow(F.lit(2.0), "rate").alias("perplexity"), F.pow(F.lit(2.0), limit).alias("threshold"), (F.col("rate").isNull() | limit.isNull() | (F.col("rate") <= limit)).alias("keep"))
 
 
