@@ -231,9 +231,10 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
 
     At this similarity fingerprints differ in too many bits for keys of equal segments, so documents meet if one of
     BANDS keys of ROWS smallest shingle values each is the same (a pair of similarity 0.8 meets but for one in 5,000), and
-    then pass the chain test and the Hamming check over 256 bits. Equal sketches are one node. Blocks of a key
-    with more than GROUP nodes shrink first: in each round all their nodes are compared with one of them, and those
-    within reach are linked to it and leave; the others, and small blocks, end as pairs of at most GROUP nodes.
+    then pass the chain test and the Hamming check over 256 bits. Equal sketches are one node. Blocks of at most GROUP
+    nodes are compared in pairs. In a larger block all nodes are compared with one of them, and those within reach are linked
+    to it and leave; the others meet again in finer blocks, by the same key and one more, so no block is ever gathered and work stays in
+    proportion to the rows.
     Rows with a null id take no part; null texts count as empty, and texts without words are copies of each other.
     """
     common.ship(docs.sparkSession)
@@ -245,9 +246,10 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
 
     prints = common.cut(common.map_texts(docs, "doc_id long, " + ", ".join(f"{c} long" for c in _PRINT) + ", bands array<long>", kernel, id_col, text_col).where("doc_id is not null"))
     nodes = common.cut(prints.groupBy(*_PRINT, "bands").agg(F.min("doc_id").alias("node")))
-    rows = nodes.select("node", *_PRINT, F.posexplode("bands").alias("band", "key"))
-    edges = []
+    rows = nodes.select("node", *_PRINT, "bands", F.posexplode("bands").alias("band", "key"))
+    edges, depth = [], 0
     while True:
+        depth += 1
         sizes = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min_by(F.struct("node", *_PRINT), F.xxhash64("node", "band")).alias("lead")).where("n > 1")
         rows = common.cut(rows.join(sizes, ["band", "key"]))
         small = rows.where(F.col("n") <= GROUP).groupBy("band", "key").agg(F.collect_list(F.struct("node", *_PRINT)).alias("members"))
@@ -255,11 +257,15 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
         large = rows.where(F.col("n") > GROUP)
         if large.isEmpty():
             break
-        with_lead = large.select(F.col("lead.node").alias("a"), F.col("node").alias("b"), *_PRINT, *(F.col(f"lead.{c}").alias(f"q{i}") for i, c in enumerate(_PRINT)), "band", "key")
-        reached = common.cut(with_lead.select("a", "b", *_PRINT, *(f"q{i}" for i in range(WIDE))).mapInArrow(_pairs_within(tau), "a long, b long").distinct())
+        with_lead = large.select(F.col("lead.node").alias("a"), F.col("node").alias("b"), *_PRINT, *(F.col(f"lead.{c}").alias(f"q{i}") for i, c in enumerate(_PRINT)))
+        reached = common.cut(with_lead.distinct().mapInArrow(_pairs_within(tau), "a long, b long"))
         edges.append(reached.where("a != b"))
-        gone = with_lead.join(reached, ["a", "b"]).select("band", "key", F.col("b").alias("node"))
-        rows = common.cut(large.drop("n", "lead").join(gone, ["band", "key", "node"], "left_anti"))
+        rest = large.join(reached, (F.col("lead.node") == F.col("a")) & (F.col("node") == F.col("b")), "left_anti")
+        if depth < BANDS:
+            # meet again by this key and one more of the own bands: two ways at first, then one
+            ways = F.array(*(F.xxhash64("key", F.get("bands", F.pmod(F.col("band") + F.lit(depth + w), F.lit(BANDS)))) for w in range(2 if depth == 1 else 1)))
+            rest = rest.withColumn("key", F.explode(ways))
+        rows = common.cut(rest.drop("n", "lead"))
     links_ = edges[0]
     for e in edges[1:]:
         links_ = links_.union(e)
