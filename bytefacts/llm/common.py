@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bytefacts.session import settle
+
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -24,7 +26,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return settle(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def column(name: str) -> Column:
@@ -100,3 +102,9 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def sized(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """df, written once and counted: marked for broadcast if it has at most `most` rows, else left to a shuffled join."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= most else df

@@ -160,19 +160,20 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_
     never trusted; repeated rows stay, repeated or null labels count once; extra columns are ignored; an empty table gives an empty one.
     """
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    trusted = common.documents(docs, id_col, text_col).join(good, "doc_id", "left_semi")
+    # both sides shuffled at any size: the set of trusted ids grows with the corpus, so it is never broadcast
+    trusted = common.documents(docs, id_col, text_col).hint("merge").join(good, "doc_id", "left_semi")
     scored = common.cut(scores(docs, train(trusted), lang_col, id_col, text_col))
     trusted_scores = scored.join(good, "doc_id", "left_semi").where("symbols > 0")
     means = trusted_scores.groupBy("lang").agg(F.sum("bits").alias("bits"), F.sum("symbols").alias("symbols"), F.count("*").alias("docs"))
     overall = means.agg((F.sum("bits") / F.sum("symbols")).alias("all_mean"))
-    # one row for each language, then as a small table to each document; Spark checks its size
+    # one row for each language; a join on it would deal most documents to one task
     average = means.crossJoin(F.broadcast(overall)).select("lang", "docs", F.when(F.col("docs") >= FEWEST, F.col("bits") / F.col("symbols")).otherwise(F.col("all_mean")).alias("mean"))
-    with_mean = scored.join(average.select("lang", "mean"), "lang", "left").crossJoin(F.broadcast(overall)).withColumn("mean", F.coalesce("mean", "all_mean"))
+    with_mean = scored.join(common.sized(average.select("lang", "mean")), "lang", "left").crossJoin(F.broadcast(overall)).withColumn("mean", F.coalesce("mean", "all_mean"))
     rated = common.cut(with_mean.select("doc_id", "lang", "symbols", ((F.col("bits") + PRIOR * F.col("mean")) / (F.col("symbols") + PRIOR)).alias("rate")))
     trusted_rates = rated.join(good, "doc_id", "left_semi").where("symbols > 0")
     by_lang = trusted_rates.groupBy("lang").agg(F.percentile_approx("rate", quantile, 10_000).alias("own"), F.count("*").alias("docs"))
     for_all = trusted_rates.agg(F.percentile_approx("rate", quantile, 10_000).alias("for_all"))
-    limits = rated.join(by_lang, "lang", "left").crossJoin(F.broadcast(for_all))
+    limits = rated.join(common.sized(by_lang), "lang", "left").crossJoin(F.broadcast(for_all))
     limit = MARGIN * F.when(F.col("docs") >= FEWEST, F.col("own")).otherwise(F.col("for_all"))
     return limits.select("doc_id", "lang", "symbols", F.pow(F.lit(2.0), "rate").alias("perplexity"), F.pow(F.lit(2.0), limit).alias("threshold"), (F.col("rate").isNull() | limit.isNull() | (F.col("rate") <= limit)).alias("keep"))
 
