@@ -23,6 +23,8 @@ from bytefacts.llm import common
 
 K, SCALE, EVERY = 5, 256, 50
 BLOCK, BATCH, LEVELS = 8192, 512, 12
+#: From this share of all components on, a level's segments are added as one matrix product.
+DENSE = 0.02
 #: Magnitudes beyond this would not be exact in the kernels' double arithmetic.
 EXACT = 1 << 22
 
@@ -46,13 +48,13 @@ class Index:
         self.steps = []
         left = (self.x.astype(np.float64) ** 2).sum(axis=1)
         for v in range(top // self.width, -1, -1):
-            segments = []
-            for d in range(self.x.shape[1]):
-                ids = np.flatnonzero(level[:, d] == v)
-                if len(ids):
-                    value = self.x[ids, d].astype(np.float64)
-                    left[ids] -= value * value
-                    segments.append((d, ids, value))
+            here = level == v
+            values = np.where(here, self.x, 0).astype(np.float64)
+            left -= (values * values).sum(axis=1)
+            if here.mean() > DENSE:  # most segments are long: one product adds them all
+                segments = values
+            else:
+                segments = [(d, ids, values[ids, d]) for d in range(self.x.shape[1]) if len(ids := np.flatnonzero(here[:, d]))]
             # after this step: largest impact left, and the length of what is left of each vector
             self.steps.append((segments, v * self.width - 1, np.sqrt(np.maximum(left, 0))))
 
@@ -66,8 +68,11 @@ class Index:
         length, total = np.sqrt((weights**2).sum(axis=1)), np.abs(weights).sum(axis=1)
         few = max(4 * k, n // 64)
         for step, (segments, most, rest) in enumerate(self.steps):
-            for d, ids, value in segments:
-                acc[ids] += value[:, None] * weights[:, d]
+            if isinstance(segments, np.ndarray):
+                acc += segments @ weights.T
+            else:
+                for d, ids, value in segments:
+                    acc[ids] += value[:, None] * weights[:, d]
             last = step == len(self.steps) - 1
             if not last and step % 2:
                 continue
