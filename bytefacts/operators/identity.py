@@ -7,8 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed values of the two schemes and their record tags.
-DOMAINS = {"v1": "luad-prototype-v1", "v2": "luad-prototype-v2"}
+# Fixed values of the record tags. The domain, which keeps schemes apart, is the caller's: digests agree with those of any other tool that uses the same one.
 RECORD_PROTOTYPE, RECORD_INSTRUCTION, RECORD_OPERAND, RECORD_CHILD = "01", "02", "03", "04"
 CONSTANT_TAGS = {"nil": "10", "boolean": "11", "integer": "12", "float": "13", "short-string": "14", "long-string": "15"}
 OPERAND_TAGS = {"register": "20", "unsigned": "21", "signed": "22", "flag": "23", "raw": "24"}
@@ -35,11 +34,10 @@ def constant_record(ctype: Column, bool_val: Column, raw_hex: Column, str_raw: C
     return F.concat(tag, body)
 
 
-def prototype_preimage(scheme: str, params: Column, vararg: Column, stack: Column, n_instructions: Column, instructions: Column, n_constants: Column, constants: Column, n_upvalues: Column) -> Column:
-    """Hex of everything before the children; instructions and constants are hex of their records in order."""
-    domain = DOMAINS[scheme].encode().hex() + "00"
+def prototype_preimage(domain: bytes, params: Column, vararg: Column, stack: Column, n_instructions: Column, instructions: Column, n_constants: Column, constants: Column, n_upvalues: Column) -> Column:
+    """Hex of everything before the children: the domain and a zero byte first; instructions and constants are hex of their records in order."""
     name = b"lua5.1".hex()
-    return F.concat(F.lit(domain + RECORD_PROTOTYPE), sized(F.lit(name)), u8(params), u8(vararg), u8(stack), u64(n_instructions), instructions, u64(n_constants), constants, u64(n_upvalues))
+    return F.concat(F.lit(domain.hex() + "00" + RECORD_PROTOTYPE), sized(F.lit(name)), u8(params), u8(vararg), u8(stack), u64(n_instructions), instructions, u64(n_constants), constants, u64(n_upvalues))
 
 
 def merkle(nodes: DataFrame, by: list[str], levels: int) -> DataFrame:
