@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from bytefacts.functions import ids, scalar, words
 from bytefacts.operators import cfg, diff, identity, lift, relations, validate, xrefs
 from bytefacts.plans import export, query
-from bytefacts.synth import lineitem_words, programs, table
+from bytefacts.sources import artifacts
+from bytefacts.synth import lineitem_words, part_chunks, programs, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -552,3 +553,49 @@ def stable_id_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").where("o_orderkey < 2000")
     key = ids.sort_key(F.array((F.col("o_custkey") % 3).cast("int"), F.col("o_custkey").cast("int")), (F.col("o_orderkey") % 8).cast("int"), F.col("o_orderkey"))
     return o.select("o_orderkey", F.row_number().over(Window.orderBy(key)).alias("place"))
+
+
+PART = """
+part_at AS (SELECT 'parts-' || CAST(p_partkey // 500 AS BIGINT) AS path, row_number() OVER (PARTITION BY p_partkey // 500 ORDER BY p_partkey) - 1 AS place, * FROM part)"""
+
+
+def undumped(profile: str, each: int):
+    """A query that decodes chunks made from parts, and its SQL; `each` constants for a part."""
+
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = artifacts.decoded(part_chunks(spark, sf_dir, profile))
+        k = artifacts.facts(rows).constants
+        return k.select("path", F.col("index").cast("long").alias("index"), "ctype", "int_val", "dbl_val", "str_display", "profile")
+
+    sql = f"""WITH {PART}
+SELECT path, place * {each} AS index, 'short-string' AS ctype, NULL AS int_val, NULL AS dbl_val, p_name AS str_display, '{profile}' AS profile FROM part_at
+UNION ALL SELECT path, place * {each} + 1, 'float', NULL, p_retailprice, NULL, '{profile}' FROM part_at"""
+    if each == 3:
+        sql += f"\nUNION ALL SELECT path, place * 3 + 2, 'integer', CAST(p_size AS BIGINT), NULL, NULL, '{profile}' FROM part_at"
+    name = "undump_" + profile.removeprefix("lua").replace(".", "").replace("-", "_")
+    f.__name__ = name
+    QUERIES[name], ORACLES[name] = f, sql
+
+
+for _profile in ("lua5.1", "lua5.1-stock32", "lua5.2"):
+    undumped(_profile, 2)
+for _profile in ("lua5.3", "lua5.4", "lua5.5"):
+    undumped(_profile, 3)
+
+
+@asked(f"""WITH {PART} SELECT path, CAST(place AS INTEGER) AS pc, 1 + place * 2 * 16384 AS raw_word, CAST(p_size % 100 AS BIGINT) AS line FROM part_at""")
+def undump_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and lines of 5.1 chunks."""
+    rows = artifacts.decoded(part_chunks(spark, sf_dir, "lua5.1"))
+    return artifacts.facts(rows).words.select("path", "pc", "raw_word", "line")
+
+
+@asked(f"""WITH {PART} SELECT path, count(*) AS n_instr, 2 * count(*) AS n_const, 'valid-for-parser' AS verdict FROM part_at GROUP BY 1""")
+def undump_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each prototype, and its artifact's verdict: no rule is broken."""
+    rows = artifacts.decoded(part_chunks(spark, sf_dir, "lua5.1"))
+    f = artifacts.facts(rows)
+    limits = f.prototypes.select("path", "proto", "maxstacksize", "n_const", "n_upval", "n_protos", F.col("n_instr").alias("n"))
+    w = words.decode(f.words).join(limits, ["path", "proto"]).withColumn("target_role", F.lit(None).cast("string"))
+    said = validate.verdict(validate.violations(w, validate.rules_51(), ["path"]), f.prototypes, ["path"])
+    return f.prototypes.join(said, "path").select("path", F.col("n_instr").cast("long").alias("n_instr"), F.col("n_const").cast("long").alias("n_const"), "verdict")

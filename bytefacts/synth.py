@@ -41,3 +41,41 @@ def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(encode("5.1", opcode=F.lit(opcode_of("MOVE")), a=F.lit(1), b=F.lit(2)))
     )
     return ev.select("user_id", F.array(F.lit(0)).alias("proto"), "pc", word.alias("raw_word"))
+
+
+def part_chunks(spark: SparkSession, sf_dir: str, profile: str, size: int = 500) -> DataFrame:
+    """(path, content): a chunk for every `size` parts, whose constants are their names, prices, and where the dialect has integers their sizes.
+
+    The chunk's words load each part's first constant; its lines are the parts' sizes.
+    """
+    import struct
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    from bytefacts.sources.chunks import Chunk, Constant, Prototype
+    from bytefacts.sources.chunks import encode as encode_chunk
+
+    integers = profile in ("lua5.3", "lua5.4", "lua5.5")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, contents = [], []
+            for path, parts in zip(batch.column("path").to_pylist(), batch.column("parts").to_pylist(), strict=True):
+                constants, code = [], []
+                for p in parts:
+                    code.append(opcode_of("LOADK", "5.1") | len(constants) << 14)
+                    name = p["p_name"].encode()
+                    constants.append(Constant("short-string", name, name))
+                    constants.append(Constant("float", p["p_retailprice"], struct.pack("<d", p["p_retailprice"])))
+                    if integers:
+                        constants.append(Constant("integer", p["p_size"], p["p_size"].to_bytes(8, "little", signed=True)))
+                main = Prototype(b"@parts", code=code, constants=constants, lines=[p["p_size"] % 100 for p in parts])
+                paths.append(path)
+                contents.append(encode_chunk(Chunk(profile, main, size_size=4 if profile == "lua5.1-stock32" else 8)))
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+
+    p = table(spark, sf_dir, "part")
+    group = F.floor(F.col("p_partkey") / size)
+    rows = p.groupBy(F.concat(F.lit("parts-"), group).alias("path")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name", "p_retailprice", "p_size"))).alias("parts"))
+    return rows.mapInArrow(run, "path string, content binary")
