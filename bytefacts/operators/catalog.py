@@ -40,6 +40,28 @@ L51-REG-002 error instruction register B is beyond the frame
 L51-REG-003 error instruction register C is beyond the frame
 L51-REG-SPAN-001 error instruction a window of registers leaves the frame
 L51-PROTO-002 error instruction a prototype that is not there
+L52-STACK-001 warning structure more than 250 registers
+L52-OP-001 error instruction an unknown opcode
+L52-COMPANION-001 error instruction an extra word is missing or stands alone
+L52-JMP-001 error control-flow a jump leaves the prototype
+L52-REG-001 error instruction register A is beyond the frame
+L52-REG-002 error instruction register B is beyond the frame
+L52-REG-003 error instruction register C is beyond the frame
+L52-CONST-002 error instruction a constant that is not there
+L52-UPVAL-002 error instruction an upvalue that is not there
+L52-PROTO-002 error instruction a prototype that is not there
+L52-REG-SPAN-001 error instruction a window of registers leaves the frame
+L53-STACK-001 warning structure more than 250 registers
+L53-OP-001 error instruction an unknown opcode
+L53-COMPANION-001 error instruction an extra word is missing or stands alone
+L53-JMP-001 error control-flow a jump leaves the prototype
+L53-REG-001 error instruction register A is beyond the frame
+L53-REG-002 error instruction register B is beyond the frame
+L53-REG-003 error instruction register C is beyond the frame
+L53-CONST-003 error instruction a constant that is not there
+L53-UPVAL-002 error instruction an upvalue that is not there
+L53-PROTO-002 error instruction a prototype that is not there
+L53-REG-SPAN-001 error instruction a window of registers leaves the frame
 L54-OP-001 error instruction an unknown opcode
 L54-REG-001 warning instruction register A is beyond the frame
 L54-UPVAL-001 error instruction an upvalue that is not there

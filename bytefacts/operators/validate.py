@@ -74,6 +74,57 @@ def rules_54() -> list[tuple[str, str, Column]]:
     ]
 
 
+def neighbours(words: DataFrame, by: list[str]) -> DataFrame:
+    """Words with the mnemonic before and after each, and the one before's C."""
+    at = Window.partitionBy(*by).orderBy("pc")
+    return words.select("*", F.lag("mnemonic").over(at).alias("prev_mnemonic"), F.lag("c").over(at).alias("prev_c"), F.lead("mnemonic").over(at).alias("next_mnemonic"))
+
+
+def rules_52(dialect: str) -> list[tuple[str, str, Column]]:
+    """(code, severity, condition) of each rule about a word of 5.2 or 5.3; columns as for rules_51, ax, and those of neighbours()."""
+    tag, constant = dialect.replace(".", ""), {"5.2": "002", "5.3": "003"}[dialect]
+    m, known, stack = F.col("mnemonic"), F.col("mnemonic").isNotNull(), F.col("maxstacksize")
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    target = F.col("pc") + 1 + F.col("sbx")
+    binary = ("ADD", "SUB", "MUL", "DIV", "MOD", "POW", "IDIV", "BAND", "BOR", "BXOR", "SHL", "SHR", "EQ", "LT", "LE")
+    b_rk, c_rk = m.isin("SETTABUP", "SETTABLE", *binary), m.isin("GETTABUP", "GETTABLE", "SETTABUP", "SETTABLE", "SELF", *binary)
+    b_reg = m.isin("MOVE", "UNM", "BNOT", "NOT", "LEN", "TESTSET", "GETTABLE", "SELF", "CONCAT")
+    k = lambda x: x - RK_BIT >= F.col("n_const")
+    after_kx = F.col("prev_mnemonic") == "LOADKX"
+    span = (
+        ((m == "LOADNIL") & (a + b >= stack))
+        | ((m == "SELF") & (a + 1 >= stack))
+        | ((m == "CONCAT") & (b > c))
+        | (m.isin("CALL", "TAILCALL") & (b > 1) & (a + b - 1 > stack))
+        | ((m == "CALL") & (c > 1) & (a + c - 2 >= stack))
+        | (m.isin("RETURN", "VARARG") & (b > 1) & (a + b - 2 >= stack))
+        | ((m == "FORLOOP") & (a + 3 >= stack))
+        | ((m == "FORPREP") & (a + 2 >= stack))
+        | ((m == "TFORCALL") & (a + 2 + c > stack))
+        | ((m == "TFORLOOP") & (a + 1 >= stack))
+        | ((m == "SETLIST") & (b > 0) & (a + b >= stack))
+    )
+    no_register = m.isin("JMP", "EQ", "LT", "LE", "EXTRAARG", "SETTABUP")
+    wrong_extra = (m == "EXTRAARG") & ~F.coalesce(after_kx | ((F.col("prev_mnemonic") == "SETLIST") & (F.col("prev_c") == 0)), F.lit(False))
+    return [
+        (f"L{tag}-OP-001", "error", ~known),
+        (f"L{tag}-COMPANION-001", "error", ((m == "LOADKX") & ~F.coalesce(F.col("next_mnemonic") == "EXTRAARG", F.lit(False))) | wrong_extra),
+        (f"L{tag}-JMP-001", "error", m.isin("JMP", "FORLOOP", "FORPREP", "TFORLOOP") & ((target < 0) | (target >= F.col("n")))),
+        (f"L{tag}-REG-001", "error", known & ((~no_register & (a >= stack)) | ((m == "JMP") & (a > stack)))),
+        (f"L{tag}-REG-002", "error", (b_reg | (b_rk & (b < RK_BIT))) & (b >= stack)),
+        (f"L{tag}-REG-003", "error", ((m == "CONCAT") | (c_rk & (c < RK_BIT))) & (c >= stack)),
+        (f"L{tag}-CONST-{constant}", "error", (b_rk & (b >= RK_BIT) & k(b)) | (c_rk & (c >= RK_BIT) & k(c)) | ((m == "LOADK") & (F.col("bx") >= F.col("n_const"))) | ((m == "EXTRAARG") & after_kx & (F.col("ax") >= F.col("n_const")))),
+        (f"L{tag}-UPVAL-002", "error", (m.isin("GETUPVAL", "SETUPVAL", "GETTABUP") & (b >= F.col("n_upval"))) | ((m == "SETTABUP") & (a >= F.col("n_upval")))),
+        (f"L{tag}-PROTO-002", "error", (m == "CLOSURE") & (F.col("bx") >= F.col("n_protos"))),
+        (f"L{tag}-REG-SPAN-001", "error", known & span),
+    ]
+
+
+def stack_warnings(prototypes: DataFrame, by: list[str], dialect: str) -> DataFrame:
+    """(by, code, severity) of prototypes with more than 250 registers."""
+    return prototypes.where("maxstacksize > 250").select(*by, F.lit(f"L{dialect.replace('.', '')}-STACK-001").alias("code"), F.lit("warning").alias("severity"))
+
+
 def violations(words: DataFrame, rules: list[tuple[str, str, Column]], by: list[str]) -> DataFrame:
     """(by, pc, code, severity): the rules that each executable word breaks. An unknown opcode breaks only its own rule."""
     broken = F.array(*(F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(s).alias("severity"))) for code, s, c in rules))

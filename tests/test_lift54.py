@@ -66,3 +66,16 @@ def test_constant_records(spark):
     frame = spark.createDataFrame(rows, "ctype string, bool_val boolean, raw_hex string, str_raw binary")
     got = [r[0] for r in frame.select(identity.constant_record(*(F.col(c) for c in ("ctype", "bool_val", "raw_hex", "str_raw")))).collect()]
     assert got == ["10", "1101", "130000000000000008" + struct.pack("<d", 1.5).hex(), "1400000000000000026162"]
+
+
+def test_rules_of_53(spark):
+    op = lambda n, a=0, b=0, c=0, bx=None, ax=None: words.opcode_of(n, "5.3") | (ax << 6 if ax is not None else a << 6 | (bx << 14 if bx is not None else b << 23 | c << 14))
+    code = [op("LOADKX"), op("EXTRAARG", ax=9), op("EXTRAARG", ax=0), op("LOADKX"), op("MOVE", 5, 1), op("BAND", 0, 256 + 3, 1), op("GETTABUP", 0, 1, 256), op("CONCAT", 0, 2, 1), op("JMP", bx=131071 + 90), op("CLOSURE", 0, bx=1), op("SHL", 0, 1, 7), op("MOVE", 1, 2)]
+    limits = {"n": len(code), "maxstacksize": 5, "n_const": 2, "n_upval": 1, "n_protos": 1, "proto": 0}
+    frame = words.decode(spark.createDataFrame(list(enumerate(code)), "pc int, raw_word long"), "5.3").withColumns({k: F.lit(v) for k, v in limits.items()})
+    found = {}
+    for r in validate.violations(validate.neighbours(frame, ["proto"]), validate.rules_52("5.3"), ["proto"]).collect():
+        found.setdefault(r.pc, set()).add(r.code)
+    assert found == {1: {"L53-CONST-003"}, 2: {"L53-COMPANION-001"}, 3: {"L53-COMPANION-001"}, 4: {"L53-REG-001"}, 5: {"L53-CONST-003"}, 6: {"L53-UPVAL-002"}, 7: {"L53-REG-SPAN-001"}, 8: {"L53-JMP-001"}, 9: {"L53-PROTO-002"}, 10: {"L53-REG-003"}}
+    many = spark.createDataFrame([(1, 251), (2, 250)], "proto int, maxstacksize int")
+    assert [tuple(r) for r in validate.stack_warnings(many, ["proto"], "5.3").collect()] == [(1, "L53-STACK-001", "warning")]
