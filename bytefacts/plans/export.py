@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 FAMILIES = ("prototype", "prototype_identity", "instruction", "constant", "upvalue", "xref", "callee", "origin", "call_relation")
 ONLY_51 = ("prototype_identity", "callee", "origin", "call_relation")
 PHASES = {f: i for i, f in enumerate(FAMILIES)}
+#: Families that are emitted prototype by prototype, parents before children; the others follow, family by family.
+TREE = ("prototype", "prototype_identity", "instruction", "constant", "upvalue")
+PLACE = ("part_of_tree", "proto", "phase", "position")
 
 
 class ExportError(ValueError):
@@ -35,14 +38,15 @@ def available(family: str, profile: str) -> bool:
 
 
 def records(facts: dict[str, DataFrame], families: tuple[str, ...], artifact: list[str], order: dict[str, list[Column]]) -> DataFrame:
-    """(artifact, phase, record_type, data, position): every fact as canonical JSON; position is its place within its family."""
+    """(artifact, PLACE, record_type, data): every fact as canonical JSON. PLACE orders an artifact's records; paths sort in preorder, number by number."""
     out = None
     for f in families:
         if f in facts:
             frame = facts[f]
             at = Window.partitionBy(*artifact).orderBy(*order[f])
             data = F.to_json(F.struct(*sorted(c for c in frame.columns if c not in artifact)), {"ignoreNullFields": "false"})
-            rows = frame.select(*artifact, F.lit(PHASES[f]).alias("phase"), F.lit(f).alias("record_type"), data.alias("data"), F.row_number().over(at).alias("position"))
+            path = F.col("proto").cast("array<int>") if f in TREE and "proto" in frame.columns else F.lit(None).cast("array<int>")
+            rows = frame.select(*artifact, F.lit(0 if f in TREE else 1).alias("part_of_tree"), path.alias("proto"), F.lit(PHASES[f]).alias("phase"), F.lit(f).alias("record_type"), data.alias("data"), F.row_number().over(at).alias("position"))
             out = rows if out is None else out.unionByName(rows)
     if out is None:
         raise ExportError("no family to export")
@@ -51,7 +55,7 @@ def records(facts: dict[str, DataFrame], families: tuple[str, ...], artifact: li
 
 def capped(found: DataFrame, artifact: list[str], cap: int) -> tuple[DataFrame, DataFrame]:
     """(records within the cap, one outcome for each artifact): available and emitted counts, is_truncated."""
-    at = Window.partitionBy(*artifact).orderBy("phase", "position")
+    at = Window.partitionBy(*artifact).orderBy(*PLACE)
     kept = found.withColumn("ordinal", F.row_number().over(at)).where(F.col("ordinal") <= cap)
     counts = found.groupBy(*artifact).agg(F.count("*").alias("available_fact_count"))
     return kept, counts.select(*artifact, "available_fact_count", F.least("available_fact_count", F.lit(cap)).alias("emitted_fact_count"), (F.col("available_fact_count") > cap).alias("is_truncated"))

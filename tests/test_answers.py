@@ -75,3 +75,16 @@ def test_export_selection_order_and_verification(spark, tmp_path):
     assert [r.problem for r in export.verify(lost).collect()] == ["count"]
     export.write(stream, f"{tmp_path}/out")
     assert spark.read.text(f"{tmp_path}/out").count() == 10
+
+
+def test_export_goes_through_the_tree_in_preorder(spark):
+    paths = [[0], [0, 0], [0, 0, 0], [0, 1], [0, 10], [0, 2]]
+    protos = spark.createDataFrame([(1, p, "p") for p in paths], "artifact int, proto array<int>, name string")
+    instructions = spark.createDataFrame([(1, p, n) for p in paths for n in (10, 9)], "artifact int, proto array<int>, pc int")
+    edges = spark.createDataFrame([(1, "s", "t")], "artifact int, source string, target string")
+    order = {"prototype": [F.col("proto")], "instruction": [F.col("proto"), F.col("pc")], "xref": [F.col("source")]}
+    found = export.records({"prototype": protos, "instruction": instructions, "xref": edges}, export.FAMILIES, ["artifact"], order)
+    kept, _ = export.capped(found, ["artifact"], 100)
+    said = [(r.record_type, r.proto) for r in kept.orderBy("ordinal").collect()]
+    want = [x for p in sorted(paths) for x in (("prototype", p), ("instruction", p), ("instruction", p))]
+    assert said == [*want, ("xref", None)]
