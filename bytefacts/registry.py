@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bytefacts.functions import ids, scalar, words
-from bytefacts.operators import cfg, diff, identity, lift, relations, validate, xrefs
+from bytefacts.operators import callees, cfg, diff, identity, lift, origins, relations, validate, xrefs
 from bytefacts.plans import export, query
 from bytefacts.sources import artifacts
-from bytefacts.synth import lineitem_words, part_chunks, programs, table
+from bytefacts.synth import lineitem_words, part_calls, part_chunks, programs, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -599,3 +599,37 @@ def undump_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = words.decode(f.words).join(limits, ["path", "proto"]).withColumn("target_role", F.lit(None).cast("string"))
     said = validate.verdict(validate.violations(w, validate.rules_51(), ["path"]), f.prototypes, ["path"])
     return f.prototypes.join(said, "path").select("path", F.col("n_instr").cast("long").alias("n_instr"), F.col("n_const").cast("long").alias("n_const"), "verdict")
+
+
+CALLED = """
+called AS (SELECT 'calls-' || CAST(p_partkey // 60 AS BIGINT) AS path, 4 * (row_number() OVER (PARTITION BY p_partkey // 60 ORDER BY p_partkey) - 1) + 3 AS pc,
+  CASE WHEN p_size > 5 THEN replace(p_name, ' ', '.') END AS callee_path, p_size FROM part)"""
+
+
+@asked(f"""WITH {CALLED} SELECT path, CAST(pc AS INTEGER) AS pc, CASE WHEN callee_path IS NULL THEN 'unresolved' ELSE 'resolved-path' END AS status, callee_path, CASE WHEN callee_path IS NULL THEN 'dynamic-key' END AS reason FROM called""")
+def callee_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The callee of each call of chunks whose calls are known from the table."""
+    return callees.callees(part_calls(spark, sf_dir)).select("path", "pc", "status", F.array_join("segments", ".").alias("callee_path"), "reason")
+
+
+@asked(f"""WITH {CALLED} SELECT path, CAST(pc AS INTEGER) AS pc, 'fixed' AS window_status, 'literal' AS kind, CAST(p_size AS DOUBLE) AS value FROM called""")
+def argument_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The origin of each call's argument: a number, told by its bits."""
+    rows = origins.origins(part_calls(spark, sf_dir)).select("path", "pc", "window_status", F.explode("arguments").alias("a"))
+    digits = F.get_json_object("a.expression", "$.parts[0][1]")
+    # eight bytes, little-endian: small whole numbers have their exponent and first digits in the last two
+    high = F.conv(F.concat(F.substring(digits, 15, 2), F.substring(digits, 13, 2)), 16, 10).cast("long")
+    exponent = F.shiftright(high, 4) - 1023
+    fraction = high.bitwiseAND(15) / 16 + F.conv(F.substring(digits, 11, 2), 16, 10).cast("long") / 4096
+    return rows.select("path", "pc", "window_status", "a.kind", (F.pow(F.lit(2.0), exponent) * (1 + fraction)).alias("value"))
+
+
+@asked(f"""WITH {CALLED} SELECT path, count(*) AS call_sites, CAST(count(*) FILTER (callee_path = 'red widget') AS BIGINT) AS caller, CAST(count(*) FILTER (callee_path IS NULL) AS BIGINT) AS dynamic_key,
+CAST(count(*) FILTER (callee_path IS NOT NULL) AS BIGINT) AS unmapped_label FROM called GROUP BY 1""")
+def native_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Callees, relations and classes of all call sites, from bytes to counts; none calls a prototype that is known."""
+    found = part_calls(spark, sf_dir)
+    rel = relations.call_relations(callees.callees(found), callees.global_stores(found), ["path", "sha256"])
+    sites = rel.withColumns({"names_target": F.lit(False), "names_other": F.col("callee").isNotNull(), "callee_status": F.col("status"), "callee_reason": F.col("reason"), "link_status": F.lit(None).cast("string")})
+    c = relations.coverage(relations.classify_sites(sites), "path")
+    return c.select("path", "call_sites", "caller", F.coalesce(F.element_at("unattributed_reasons", F.lit("dynamic-key")), F.lit(0)).cast("long").alias("dynamic_key"), "unmapped_label")

@@ -134,6 +134,12 @@ class Facts:
 WHO = ("path", "sha256", "profile")
 
 
+def _bits() -> Column:
+    """Bits of an eight-byte float, most significant first; its raw bytes are little-endian. Null for others."""
+    pairs = F.reverse(F.regexp_extract_all("raw_hex", F.lit(".."), F.lit(0)))
+    return F.when((F.col("ctype") == "float") & (F.length("raw_hex") == 16), F.array_join(pairs, ""))
+
+
 def facts(rows: DataFrame) -> Facts:
     """Fact frames as narrow selections of the decoder's rows; write or cache `rows` first if several are used."""
     of = lambda kind: rows.where(F.col("kind") == kind)
@@ -142,7 +148,7 @@ def facts(rows: DataFrame) -> Facts:
         of("chunk").select(*WHO, "byte_length", F.col("code").alias("status"), F.hex("str_raw").alias("trailing_hex")),
         of("prototype").select(*WHO, "proto", ids.proto_text(F.col("proto")).alias("id"), F.slice("proto", 1, F.size("proto") - 1).alias("parent"), F.col("idx").alias("child_index"), F.col("name").alias("source_name"), "line_defined", "last_line_defined", "numparams", "is_vararg", "maxstacksize", "n_instr", "n_const", "n_upval", "n_protos"),
         of("word").select(*WHO, "proto", F.col("idx").alias("pc"), ids.text(F.col("proto"), "pc", F.col("idx")).alias("id"), F.col("word").alias("raw_word"), "byte_offset", F.col("length").alias("byte_length"), "role", "owner_pc", "upvalue_index", "line"),
-        of("constant").select(*WHO, "proto", index, ids.text(F.col("proto"), "constant", F.col("idx")).alias("id"), "ctype", "bool_val", "int_val", "dbl_val", F.when(F.col("ctype") == "float", F.col("raw_hex")).alias("float_hex"), "raw_hex", "str_raw", scalar.escape(F.col("str_raw")).alias("str_display"), F.isnan("dbl_val").alias("is_nan")),
+        of("constant").select(*WHO, "proto", index, ids.text(F.col("proto"), "constant", F.col("idx")).alias("id"), "ctype", "bool_val", "int_val", "dbl_val", _bits().alias("dbl_bits"), "raw_hex", "str_raw", scalar.escape(F.col("str_raw")).alias("str_display"), F.isnan("dbl_val").alias("is_nan")),
         of("upvalue").select(*WHO, "proto", index, ids.text(F.col("proto"), "upvalue", F.col("idx")).alias("id"), "instack", F.col("upidx").alias("idx"), F.col("upkind").alias("kind"), "name"),
         of("local").select(*WHO, "proto", index, ids.text(F.col("proto"), "local", F.col("idx")).alias("id"), "name", "startpc", "endpc"),
         of("diagnostic").select(*WHO, "code", F.lit("error").alias("severity"), ids.proto_text(F.col("proto")).alias("target"), F.col("idx").alias("pc"), "message", "byte_offset"),

@@ -5,7 +5,6 @@ Plain Python without Spark: artifacts.py calls it once for each artifact.
 
 from __future__ import annotations
 
-import math
 import struct
 from dataclasses import dataclass, field
 
@@ -518,7 +517,3 @@ def line_of(p: Prototype) -> list[int | None]:
         line = anchor[pc] if x == -128 and pc in anchor else line + x
         out.append(line)
     return out
-
-
-def is_number(x: object) -> bool:
-    return isinstance(x, float) and not math.isnan(x)

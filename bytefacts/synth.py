@@ -79,3 +79,44 @@ def part_chunks(spark: SparkSession, sf_dir: str, profile: str, size: int = 500)
     group = F.floor(F.col("p_partkey") / size)
     rows = p.groupBy(F.concat(F.lit("parts-"), group).alias("path")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name", "p_retailprice", "p_size"))).alias("parts"))
     return rows.mapInArrow(run, "path string, content binary")
+
+
+def part_calls(spark: SparkSession, sf_dir: str, size: int = 60) -> DataFrame:
+    """(path, content): a 5.1 chunk for every `size` parts, which calls for each part the function that its name's two words name, with its size:
+
+    `word1.word2(size)` for most parts; for a part of size 1 to 5 the function is in a variable, `word1[size](size)`.
+    """
+    import struct
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    from bytefacts.sources.chunks import Chunk, Constant, Prototype
+    from bytefacts.sources.chunks import encode as encode_chunk
+
+    names = {n: opcode_of(n) for n in ("GETGLOBAL", "GETTABLE", "LOADK", "CALL", "RETURN")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, contents = [], []
+            for path, parts in zip(batch.column("path").to_pylist(), batch.column("parts").to_pylist(), strict=True):
+                constants: dict = {}
+
+                def constant(key, constants=constants) -> int:
+                    return constants.setdefault(key, len(constants))
+
+                code = []
+                for p in parts:
+                    first, second = p["p_name"].split(" ", 1)
+                    k, n = constant(float(p["p_size"])), constant(second)
+                    key = 256 + n if p["p_size"] > 5 else 1
+                    code += [names["GETGLOBAL"] | constant(first) << 14, names["LOADK"] | 1 << 6 | k << 14, names["GETTABLE"] | key << 14, names["CALL"] | 2 << 23 | 1 << 14]
+                code.append(names["RETURN"] | 1 << 23)
+                made = [Constant("float", c, struct.pack("<d", c)) if isinstance(c, float) else Constant("short-string", c.encode(), c.encode()) for c in constants]
+                paths.append(path)
+                contents.append(encode_chunk(Chunk("lua5.1", Prototype(b"@calls", code=code, constants=made))))
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+
+    p = table(spark, sf_dir, "part")
+    rows = p.groupBy(F.concat(F.lit("calls-"), F.floor(F.col("p_partkey") / size)).alias("path")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name", "p_size"))).alias("parts"))
+    return rows.mapInArrow(run, "path string, content binary")
