@@ -1,5 +1,4 @@
 import math
-import random
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -53,4 +52,3 @@ def test_blocks_need_not_hold_any_row():
 
     empty = pd.DataFrame({"vec_id": [], "x": []})
     assert search_block(empty, empty, 5).empty
-    assert random.Random(1).random() < 1
