@@ -17,11 +17,11 @@ def escape_bytes(raw: bytes) -> str:
 
 
 def escape(raw: Column) -> Column:
-    """escape_bytes for a binary column: a walk over its hex digits, two at a time."""
-    digits = F.lower(F.hex(raw))
-    pairs = F.when(F.length(digits) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), (F.length(digits) / 2 - 1).cast("int")), lambda i: F.substring(digits, i * 2 + 1, F.lit(2))))
-    shown = F.create_map(*(F.lit(x) for b in range(256) for x in (f"{b:02x}", escape_bytes(bytes([b])))))
-    return F.when(raw.isNotNull(), F.array_join(F.transform(pairs, lambda p: F.element_at(shown, p)), ""))
+    """escape_bytes for a binary column: plain replacements, and only where a string has other bytes a walk over them."""
+    one_each = F.decode(raw, "ISO-8859-1")  # a character for each byte
+    shown = F.array(*(F.lit(escape_bytes(bytes([b]))) for b in range(256)))
+    walked = F.array_join(F.transform(F.regexp_extract_all(F.hex(raw), F.lit(".."), F.lit(0)), lambda p: F.get(shown, F.conv(p, 16, 10).cast("int"))), "")
+    return F.when(one_each.rlike(r"[^\x09\x0A\x0D\x20-\x7E]"), walked).otherwise(escape_ascii(one_each))
 
 
 def escape_ascii(text: Column) -> Column:
