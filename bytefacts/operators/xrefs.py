@@ -9,22 +9,24 @@ from bytefacts.functions import ids
 
 
 def effect_edges(lifted: DataFrame, by: list[str]) -> DataFrame:
-    """reads and writes of constants and upvalues, jumps; register effects make no edge. Needs `proto`, `pc` and lift()'s columns."""
-    here = [*by, ids.text(F.col("proto"), "pc", F.col("pc")).alias("source"), ids.sort_key(F.col("proto"), "pc", F.col("pc")).alias("source_sk")]
-    parts = []
-    for column, relation in (("reads", "reads"), ("writes", "writes")):
-        e = lifted.select(*here, "proto", F.explode(column).alias("e")).where("e.kind in ('constant', 'upvalue')")
-        target = F.when(F.col("e.kind") == "constant", ids.text(F.col("proto"), "constant", F.col("e.first"))).otherwise(ids.text(F.col("proto"), "upvalue", F.col("e.first")))
-        rank = F.when(F.col("e.kind") == "constant", ids.RANKS["constant"]).otherwise(ids.RANKS["upvalue"])
-        parts.append(e.select(*by, "source", target.alias("target"), F.lit(relation).alias("relation"), "source_sk", ids.sort_key(F.col("proto"), rank, F.col("e.first")).alias("target_sk")))
-    jumps = lifted.where("jump_target is not null")
-    parts.append(jumps.select(*here, ids.text(F.col("proto"), "pc", F.col("jump_target")).alias("target"), F.lit("jumps-to").alias("relation"), ids.sort_key(F.col("proto"), "pc", F.col("jump_target")).alias("target_sk")).select(*by, "source", "target", "relation", "source_sk", "target_sk"))
-    closures = lifted.where("mnemonic = 'CLOSURE'")
-    child = F.concat(F.col("proto"), F.array(F.col("bx").cast("int")))
-    parts.append(closures.select(*here, ids.proto_text(child).alias("target"), F.lit("instantiates").alias("relation"), ids.sort_key(child, "proto", 0).alias("target_sk")).select(*by, "source", "target", "relation", "source_sk", "target_sk"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    """reads and writes of constants and upvalues, jumps, closures; register effects make no edge. Needs `proto`, `pc` and lift()'s columns.
+
+    All edges of a word come from one array, so the words are scanned and lifted once.
+    """
+    kinds = "struct<kind:string,index:int,relation:string>"
+    edge = lambda kind, index, relation: F.struct(kind.alias("kind"), index.cast("int").alias("index"), F.lit(relation).alias("relation"))
+    named = lambda side: F.transform(F.filter(side, lambda e: e["kind"].isin("constant", "upvalue")), lambda e: edge(e["kind"], e["first"], side))
+    none = F.array().cast(f"array<{kinds}>")
+    jump = F.when(F.col("jump_target").isNotNull(), F.array(edge(F.lit("pc"), F.col("jump_target"), "jumps-to"))).otherwise(none)
+    closure = F.when(F.col("mnemonic") == "CLOSURE", F.array(edge(F.lit("proto"), F.col("bx"), "instantiates"))).otherwise(none)
+    rows = lifted.select(*by, "proto", "pc", F.explode(F.concat(named("reads"), named("writes"), jump, closure)).alias("e"))
+    child = F.concat(F.col("proto"), F.array(F.col("e.index")))
+    index, kind = F.col("e.index"), F.col("e.kind")
+    is_proto = kind == "proto"
+    target = F.when(is_proto, ids.proto_text(child)).otherwise(F.concat(ids.proto_text(F.col("proto")), F.lit("/"), kind, F.lit(":"), index.cast("string")))
+    rank = F.element_at(F.create_map(*(F.lit(x) for kv in ids.RANKS.items() for x in kv)), kind)
+    target_sk = F.when(is_proto, ids.sort_key(child, "proto", 0)).otherwise(ids.sort_key(F.col("proto"), rank, index))
+    out = rows.select(*by, ids.text(F.col("proto"), "pc", F.col("pc")).alias("source"), target.alias("target"), F.col("e.relation").alias("relation"), ids.sort_key(F.col("proto"), "pc", F.col("pc")).alias("source_sk"), target_sk.alias("target_sk"))
     return out.dropDuplicates([*by, "source", "target", "relation"])
 
 
