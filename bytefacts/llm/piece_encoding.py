@@ -17,6 +17,7 @@ import hashlib
 import re
 import struct
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -108,7 +109,7 @@ class Model:
         self.lone = self.library.piece_to_id(SPACE)
         #: Bytes that a piece takes of the normalised text.
         self.sizes = np.array([1 if k == 6 else len(s.encode()) for s, k in zip(names, self.kinds, strict=True)], dtype=np.int64)
-        self.after_space = Cache(lambda word: self.pack(self.chunk(SPACE + word)))
+        self.after_space = Cache(lambda word: self.pack(self.chunk(SPACE + word)), 350_000)
         self.runs = Cache(lambda chunk: self.pack(self.chunk(chunk)), 50_000)
 
     def normalise(self, text: str) -> Normalised:
@@ -160,7 +161,7 @@ class Model:
     @staticmethod
     def pack(ids: list[int]) -> tuple[bytes, bytes]:
         """Ids as decimal text, and as little-endian 32-bit numbers."""
-        return ",".join(map(str, ids)).encode(), np.array(ids, dtype="<u4").tobytes()
+        return ",".join(map(str, ids)).encode(), array("I", ids).tobytes()
 
     def encode(self, text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
         """(ids as decimal text joined by commas, ids, end of each piece in original bytes)."""
