@@ -164,6 +164,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
 
 #: Bits of a wide fingerprint; the share of its bits that differ estimates the angle between two shingle sets.
 WIDE, BANDS, ROWS = 4, 12, 3
+#: Fingerprints only filter: this many deviations beyond what is expected at the similarity asked for (small sets spread more).
+DEVIATIONS = 6
+#: Nodes in a part of a block, and shingles in a part of a class; two parts meet in a task.
+PART_NODES, PART_SHINGLES = 4096, 2_000_000
 
 _MIX = np.random.default_rng(5).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
 
@@ -171,11 +175,21 @@ _MIX = np.random.default_rng(5).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np
 def wide_tau(similarity: float) -> int:
     bits = 64 * WIDE
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * p + np.sqrt(bits * p * (1 - p)))
+    return int(bits * p + DEVIATIONS * np.sqrt(bits * p * (1 - p)))
 
 
-def sketch(text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(wide fingerprint as WIDE words, BANDS keys) of a text's set of shingles. Each key mixes ROWS smallest values."""
+def _hashes(found: list[bytes]) -> np.ndarray:
+    """Distinct 64-bit hashes of shingles, in order."""
+    return np.unique(np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, found)), dtype=">u8").astype(np.uint64))
+
+
+def set_id(hashes: np.ndarray) -> int:
+    """The name of a shingle set, as a signed long."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes(), 9)).view(np.int64))
+
+
+def sketch(text: str, words: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(wide fingerprint as WIDE words, BANDS keys, set_id, size) of a text's set of shingles. Each key mixes ROWS smallest values."""
     found = list(dict.fromkeys(shingles(text, words)))
     bits, low = np.zeros(64 * WIDE, dtype=np.int64), np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(found), 16_384):
@@ -187,91 +201,167 @@ def sketch(text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
             low[k] = min(low[k], ((h ^ _MIX[0, k]) * _MIX[1, k]).min())
     words_ = np.packbits(2 * bits > len(found)).view(">u8").astype(np.uint64)
     keys_ = np.array([xxhash.xxh64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)], dtype=np.uint64)
-    return words_, keys_
+    hashes = _hashes(found)
+    return words_, keys_, set_id(hashes), len(hashes)
 
 
 _PRINT = [f"p{i}" for i in range(WIDE)]
 
 
-def _pairs_within(tau: int):
-    """Rows (a, b, p0.., q0..) -> (a, b) of those within tau bits."""
+def forest(n: int, near) -> tuple[list[int], list[int]]:
+    """Links that connect 0 .. n - 1 as all links would; near(x, others) tells which of the others link to x.
+
+    Only members that nothing has reached yet are compared, so a group that hangs together costs few rounds.
+    """
+    left, queue, a, b = np.arange(n), [], [], []
+    while len(left):
+        if queue:
+            x = queue.pop()
+        else:
+            x, left = int(left[0]), left[1:]
+        hit = near(x, left)
+        found = left[hit].tolist()
+        if found:
+            a += [x] * len(found)
+            b += found
+            queue += found
+            left = left[~hit]
+    return a, b
+
+
+def similar(sets: list[np.ndarray], similarity: float):
+    """near() for forest: which of the others have at least this Jaccard similarity to set x. Exact, on sets of hashes."""
+    size = np.array([len(s) for s in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    end = np.cumsum(size)
+    flag = np.zeros(len(ids), dtype=np.int64)
+
+    def near(x: int, others: np.ndarray) -> np.ndarray:
+        hit = np.minimum(size[others], size[x]) >= similarity * np.maximum(size[others], size[x])
+        pick = others[hit]
+        mine = ids[end[x] - size[x] : end[x]]
+        flag[mine] = 1
+        for at in range(0, len(pick), 256):
+            part = pick[at : at + 256]
+            n = size[part]
+            first = np.cumsum(n) - n
+            every = np.repeat(end[part] - n - first, n) + np.arange(n.sum())
+            both = np.diff(np.concatenate([[0], np.cumsum(flag[ids[every]])])[np.append(first, n.sum())])
+            # others are in order
+            hit[np.searchsorted(others, part)] = both >= similarity * (n + size[x] - both) - 1e-9
+        flag[mine] = 0
+        return hit
+
+    return near
+
+
+def _links_of_groups(near_of):
+    """Rows (group columns g0 .. g3, node, payload), sorted by group -> links (a, b) of a forest of each group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, nodes, load = None, [], []
+        left, right = [], []
+
+        def close() -> None:
+            if len(nodes) > 1:
+                a, b = forest(len(nodes), near_of(load))
+                left.extend([nodes[i] for i in a])
+                right.extend([nodes[i] for i in b])
+
+        def taken() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in (left, right)], names=["a", "b"])
+            left.clear()
+            right.clear()
+            return out
+
         for batch in batches:
-            p, q = (np.stack([batch.column(f"{c}{i}").to_numpy(zero_copy_only=False).view(np.uint64) for i in range(WIDE)], axis=1) for c in "pq")
-            keep = pa.array(within(p, q, tau)) if batch.num_rows else pa.array([], type=pa.bool_())
-            yield batch.select(["a", "b"]).filter(keep)
+            groups = zip(*(batch.column(f"g{i}").to_pylist() for i in range(4)), strict=True)
+            for g, node, payload in zip(groups, batch.column("node").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                if g != group:
+                    close()
+                    group, nodes, load = g, [], []
+                nodes.append(node)
+                load.append(payload)
+            yield taken()
+        close()
+        yield taken()
 
     return run
 
 
-def _pairs_of_groups(tau: int):
-    """Groups (members: structs of node, p0..) of at most GROUP -> pairs (a, b) within tau bits."""
+def _close_prints(tau: int):
+    """near() of payloads that are wide fingerprints: at most tau bits differ."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            groups = batch.column("members")
-            flat = groups.flatten()
-            node = flat.field("node").to_numpy(zero_copy_only=False)
-            prints = np.stack([flat.field(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in _PRINT], axis=1) if len(flat) else np.zeros((0, WIDE), np.uint64)
-            at, left, right = 0, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for n in np.diff(groups.offsets.to_numpy()):
-                i, j = np.triu_indices(n, 1)
-                keep = within(prints[at + i], prints[at + j], tau) if len(i) else np.zeros(0, bool)
-                left.append(node[at + i[keep]])
-                right.append(node[at + j[keep]])
-                at += n
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), type=pa.int64()) for x in (left, right)], names=["a", "b"])
+    def near_of(load: list[bytes]):
+        p = np.frombuffer(b"".join(load), dtype=np.uint64).reshape(len(load), WIDE)
+        return lambda x, others: np.bitwise_count(p[others] ^ p[x]).sum(axis=1, dtype=np.int64) <= tau
 
-    return run
+    return near_of
+
+
+def _similar_sets(similarity: float):
+    """near() of payloads that are shingle sets."""
+    return lambda load: similar([np.frombuffer(x, dtype=np.uint64) for x in load], similarity)
+
+
+def _meetings(rows: DataFrame, group: list[str], parts: str) -> DataFrame:
+    """Rows of each group of `parts` parts dealt so that every two parts meet: g0, g1 (the group), g2, g3 (the two parts), node, payload."""
+    own, other = F.pmod(F.xxhash64("node", F.lit(1)), F.col(parts)), F.col("other")
+    g = [F.col(c).cast("long").alias(f"g{i}") for i, c in enumerate([*group, group[0]][:2])]
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1)))
+    dealt = dealt.select(*g, F.least("own", other).alias("g2"), F.greatest("own", other).alias("g3"), "node", "payload")
+    at = ["g0", "g1", "g2", "g3"]
+    return dealt.repartition(*at).sortWithinPartitions(*at)
+
+
+def candidate_classes(nodes: DataFrame, tau: int) -> DataFrame:
+    """(node, class) of nodes (node, prints, bands) that share a key with another within tau bits, or hang together by such links."""
+    rows = nodes.select("node", F.col("prints").alias("payload"), F.posexplode("bands").alias("band", "key"))
+    sizes = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    rows = rows.join(sizes, ["band", "key"]).withColumn("parts", F.ceil(F.col("n") / PART_NODES))
+    links_ = _meetings(rows, ["band", "key"], "parts").mapInArrow(_links_of_groups(_close_prints(tau)), "a long, b long")
+    return connected_components(links_).select("node", F.col("component").alias("class"))
 
 
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of documents whose shingle sets have about `similarity` or more, by wide fingerprints.
+    """(doc_id, component_id) of documents linked by shingle sets of at least `similarity`, by exact Jaccard similarity.
 
     At this similarity fingerprints differ in too many bits for keys of equal segments, so documents meet if one of
-    BANDS keys of ROWS smallest shingle values each is the same (a pair of similarity 0.8 meets but for one in 5,000), and
-    then pass the chain test and the Hamming check over 256 bits. Equal sketches are one node. Blocks of at most GROUP
-    nodes are compared in pairs. In a larger block all nodes are compared with one of them, and those within reach are linked
-    to it and leave; the others meet again in finer blocks, by the same key and one more, so no block is ever gathered and work stays in
-    proportion to the rows.
+    BANDS keys of ROWS smallest shingle values each is the same (a pair of similarity 0.8 meets but for one in 5,000).
+    Equal sets are one node. All nodes of a block are compared by fingerprints of 256 bits, with a wide
+    margin; what these leave together is a class, and within a class links are decided by the sets themselves.
+    Large blocks and classes are dealt in parts, every two of which meet in a task: none is gathered, and no pair is left out.
     Rows with a null id take no part; null texts count as empty, and texts without words are copies of each other.
     """
     common.ship(docs.sparkSession)
-    tau = wide_tau(similarity)
 
     def kernel(ids: list, texts: list) -> dict:
         made = [sketch(t, words) for t in texts]
-        return {"doc_id": ids} | {c: [int(p[i].view(np.int64)) for p, _ in made] for i, c in enumerate(_PRINT)} | {"bands": [k.view(np.int64).tolist() for _, k in made]}
-
-    prints = common.cut(common.map_texts(docs, "doc_id long, " + ", ".join(f"{c} long" for c in _PRINT) + ", bands array<long>", kernel, id_col, text_col).where("doc_id is not null"))
-    nodes = common.cut(prints.groupBy(*_PRINT, "bands").agg(F.min("doc_id").alias("node")))
-    rows = nodes.select("node", *_PRINT, "bands", F.posexplode("bands").alias("band", "key"))
-    edges, depth = [], 0
-    while True:
-        depth += 1
-        sizes = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min_by(F.struct("node", *_PRINT), F.xxhash64("node", "band")).alias("lead")).where("n > 1")
-        rows = common.cut(rows.join(sizes, ["band", "key"]))
-        small = rows.where(F.col("n") <= GROUP).groupBy("band", "key").agg(F.collect_list(F.struct("node", *_PRINT)).alias("members"))
-        edges.append(small.select("members").mapInArrow(_pairs_of_groups(tau), "a long, b long"))
-        large = rows.where(F.col("n") > GROUP)
-        if large.isEmpty():
-            break
-        with_lead = large.select(F.col("lead.node").alias("a"), F.col("node").alias("b"), *_PRINT, *(F.col(f"lead.{c}").alias(f"q{i}") for i, c in enumerate(_PRINT)))
-        reached = common.cut(with_lead.distinct().mapInArrow(_pairs_within(tau), "a long, b long"))
-        edges.append(reached.where("a != b"))
-        rest = large.join(reached, (F.col("lead.node") == F.col("a")) & (F.col("node") == F.col("b")), "left_anti")
-        if depth < BANDS:
-            # meet again by this key and one more of the own bands: two ways at first, then one
-            ways = F.array(*(F.xxhash64("key", F.get("bands", F.pmod(F.col("band") + F.lit(depth + w), F.lit(BANDS)))) for w in range(2 if depth == 1 else 1)))
-            rest = rest.withColumn("key", F.explode(ways))
-        rows = common.cut(rest.drop("n", "lead"))
-    links_ = edges[0]
-    for e in edges[1:]:
-        links_ = links_.union(e)
+        return {"doc_id": ids, "prints": [p.tobytes() for p, *_ in made], "bands": [k.view(np.int64).tolist() for _, k, *_ in made], "node": [m[2] for m in made], "size": [m[3] for m in made]}
+
+    made = common.cut(common.map_texts(docs, "doc_id long, prints binary, bands array<long>, node long, size long", kernel, id_col, text_col).where("doc_id is not null"))
+    nodes = common.cut(made.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("prints").alias("prints"), F.first("bands").alias("bands"), F.first("size").alias("size")))
+    classes = common.cut(nodes.join(candidate_classes(nodes, wide_tau(similarity)), "node").select("doc_id", "node", "class", "size"))
+    parts = classes.groupBy("class").agg(F.ceil(F.sum("size") / PART_SHINGLES).cast("long").alias("parts"))
+    members = classes.join(parts, "class").select(F.col("doc_id").alias("__id"), F.col("node").alias("__node"), F.col("class").alias("__class"), F.greatest("parts", F.lit(1)).alias("__parts"))
+    # texts of class members only; both sides shuffled at any size, as members grow with the corpus
+    texts = common.documents(docs, id_col, text_col).hint("merge").join(members, F.col("doc_id") == F.col("__id")).select("text", "__node", "__class", "__parts")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.slices(batch, "text"):
+                found = [_hashes(shingles(t or "", words)) for t in part.column("text").to_pylist()]
+                # rows of one id may have other texts
+                own = pa.array([set_id(h) == n for h, n in zip(found, part.column("__node").to_pylist(), strict=True)], type=pa.bool_())
+                columns = [part.column("__class"), part.column("__parts"), part.column("__node"), pa.array([h.tobytes() for h in found], type=pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["class", "parts", "node", "payload"]).filter(own)
+
+    rows = texts.mapInArrow(sets, "class long, parts long, node long, payload binary")
+    links_ = _meetings(rows, ["class"], "parts").mapInArrow(_links_of_groups(_similar_sets(similarity)), "a long, b long")
     joined = connected_components(links_)
-    named = nodes.join(joined, "node", "left").select(*_PRINT, "bands", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, [*_PRINT, "bands"]).select("doc_id", "component_id")
+    named = nodes.join(joined, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    first = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return made.select("doc_id", "node").join(named.join(first, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
 def first_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

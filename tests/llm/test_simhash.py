@@ -110,3 +110,54 @@ def test_near_copies_leave_one_of_each_group(spark):
     left = sorted((r.doc_id for r in first_of_each(docs).collect()), key=repr)
     assert left == sorted([0, *(1000 + i for i in range(60)), 2001, None, 3000], key=repr)
     assert got(first_of_each(no_docs(spark))) == []
+
+
+def jaccard_classes(texts, similarity=0.8, n=5):
+    """Component of each text, as the smallest position, by exact similarity of all pairs."""
+    sets = [set(shingles(t, n)) for t in texts]
+    up = list(range(len(texts)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+def template_docs(r, documents, shared, own):
+    """Documents of one shared passage and words of their own, each with a near copy of itself."""
+    passage, out = words(r, shared), []
+    for i in range(documents):
+        w = [f"{x}{i}" for x in words(r, own).split(" ")]
+        out.append(passage + " " + " ".join(w))
+        w[len(w) // 2 :: 30] = ["changed"] * len(w[len(w) // 2 :: 30])
+        out.append(passage + " " + " ".join(w))
+    return out
+
+
+def test_near_copies_in_a_block_of_many_documents_are_all_found(spark):
+    """Pairs of near copies among hundreds of documents with one template; every two documents share half their shingles."""
+    texts = template_docs(random.Random(11), 300, 130, 65)
+    want = jaccard_classes(texts)
+    assert sum(w != i for i, w in enumerate(want)) == 300
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got_ = dict(near_copies(docs).collect())
+    assert [got_[i] for i in range(len(texts))] == want
+
+
+def test_parts_of_large_blocks_and_classes_all_meet(spark, monkeypatch):
+    from bytefacts.llm import simhash
+
+    monkeypatch.setattr(simhash, "PART_NODES", 16)
+    monkeypatch.setattr(simhash, "PART_SHINGLES", 4_000)
+    texts = template_docs(random.Random(12), 60, 130, 65)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got_ = dict(near_copies(docs).collect())
+    assert [got_[i] for i in range(len(texts))] == jaccard_classes(texts)
