@@ -90,3 +90,19 @@ def test_edge_cases(spark):
     assert out.where("text is null").count() == 1
     one = spark.createDataFrame([(1, "mail a.b@mail1.example.com now", 7)], "doc_id long, text string, extra int")
     assert redact(one).first() == (1, "mail [EMAIL] now", 7)
+
+
+def test_disguised_addresses_without_a_digit_are_read(spark):
+    text = "the ing ion write to jane.doe [at] example [dot] org for more ou la ve"
+    assert [(k, text[a:b]) for k, a, b in model_spans([text], trained())[0]] == [("email", "jane.doe [at] example [dot] org")]
+    one = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert redact(one).first().text == "the ing ion write to [EMAIL] for more ou la ve"
+    bare = [(t, s) for t, spans in synthetic(600, 4321) for s in spans if not re.search("[0-9@]", t[s[1] : s[2]])]
+    assert len(bare) > 20
+    assert sum(s in model_spans([t], trained())[0] for t, s in bare) >= 0.7 * len(bare)
+
+
+def test_reading_equals_decoding_every_window():
+    ids = np.stack([np.pad(symbols(t), (0, 128 - len(t))) for t, _ in synthetic(100, 77)] + [np.pad(symbols("the ing ion " * 10), (0, 8))])
+    net = trained()
+    assert (net.tags(ids) == net.decode(net.emissions(ids)).T).all()
