@@ -137,7 +137,7 @@ def template_docs(r, documents, shared, own):
     for i in range(documents):
         w = [f"{x}{i}" for x in words(r, own).split(" ")]
         out.append(passage + " " + " ".join(w))
-        w[len(w) // 2 :: 30] = ["changed"] * len(w[len(w) // 2 :: 30])
+        w[len(w) // 2 :: 8] = ["changed"] * len(w[len(w) // 2 :: 8])  # similarity 0.802
         out.append(passage + " " + " ".join(w))
     return out
 
@@ -161,3 +161,17 @@ def test_parts_of_large_blocks_and_classes_all_meet(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got_ = dict(near_copies(docs).collect())
     assert [got_[i] for i in range(len(texts))] == jaccard_classes(texts)
+
+
+def test_links_of_near_copies_are_exact_similarity(spark):
+    """Families around the limit: texts of 300 words of which all but a share are of one template; no chains below 0.8."""
+    r, texts = random.Random(13), []
+    for own in (30, 45, 60, 75):
+        base = words(r, 300).split(" ")
+        for i in range(40):
+            texts.append(" ".join(base[: 300 - own] + [f"{x}{i}" for x in words(r, own).split(" ")]))
+    want = jaccard_classes(texts)
+    assert len(set(want)) == 1 + 3 * 40
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got_ = dict(near_copies(docs).collect())
+    assert [got_[i] for i in range(len(texts))] == want
