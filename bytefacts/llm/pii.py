@@ -1,14 +1,15 @@
 """Personal data: fixed patterns, and a character BiLSTM with a CRF, trained here from labelled spans.
 
-The base patterns run over every whole text. The network reads overlapping windows; a window's
-tag sequence is decoded under constraints (a span opens with B, goes on with I of its kind), and
-windows are reconciled globally: where they overlap, each keeps the tags of its own middle, and the
-joined tag sequence is read as spans of the whole text. Every window of every text is read: disguised
-addresses need hold neither a digit nor an at-sign.
+The base patterns run over every whole text. The network reads overlapping windows, all of them: disguised
+addresses need hold neither a digit nor an at-sign. Windows are reconciled globally: where they overlap, their emissions
+are weighed by the distance from their rims, and one tag sequence is decoded for the whole text under
+constraints (a span opens with B, goes on with I of its kind). Places where that sequence is proven to lie outside
+spans are left out of the search, which stays exact.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import re
@@ -58,8 +59,9 @@ def base_spans(text: str) -> list[Span]:
 # The network. Tags: 0 outside, 1 + 2k begins kind k, 2 + 2k goes on with it.
 TAGS = 1 + 2 * len(KINDS)
 HIDDEN, EMBED = 24, 12
-WINDOW, STRIDE = 128, 64
-TRAIN_WINDOWS, EPOCHS, BATCH = 1600, 8, 32
+#: Windows that texts are read in, and those that are trained on.
+WINDOW, STRIDE, LESSON = 256, 192, 128
+TRAIN_WINDOWS, EPOCHS, BATCH = 2400, 8, 32
 _CLASSES = "abcdefghijklmnopqrstuvwxyz0123456789 \n.,:;!?@+-_()[]/\\'\"=#*|<>&$%"
 SYMBOLS = len(_CLASSES) + 4
 
@@ -83,7 +85,20 @@ def synthetic(n: int, seed: int) -> list[tuple[str, list[Span]]]:
     """n labelled windows: invented words with personal data in common and in disguised forms."""
     r = np.random.default_rng(seed)
     syllables = "the ing ion er an re en le de ou la st ve ch un ti os ca mi ro ba".split()
-    word = lambda: "".join(r.choice(syllables, r.integers(1, 5)))
+    foreign = "é ñ ü ß ç ä ö ó í å ø ł ж к о л а н и т е р ν α ι σ ה ל م ن あ の 日 本 語 国 한 글".split()
+    onsets, vowels, codas = "b c ch d f g h j k l m n p qu r s sch t tr v w x y z".split() + [""], "a e i o u ea ie ou y".split(), "n r s t nd nt m l st ck x".split() + [""] * 6
+
+    def ascii_word() -> str:
+        if r.random() < 0.5:
+            return "".join(r.choice(syllables, r.integers(1, 5)))
+        return "".join(str(r.choice(part)) for _ in range(r.integers(1, 5)) for part in (onsets, vowels, codas))
+
+    def word() -> str:
+        """Now and then with letters of other scripts."""
+        if r.random() < abroad:
+            return "".join(r.choice(syllables if r.random() < mixed else foreign, r.integers(1, 6)))
+        return ascii_word()
+
     digits = lambda k: "".join(map(str, r.integers(0, 10, k)))
 
     def card() -> str:
@@ -96,7 +111,7 @@ def synthetic(n: int, seed: int) -> list[tuple[str, list[Span]]]:
         if kind == "email":
             at, dot = [("@", "."), ("@", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) "), (" @ ", "."), ("(at)", ".")][r.integers(6)]
             tail = "" if at in ("@", " @ ") or r.random() < 0.7 else digits(2)
-            return f"{word()}{r.choice(['', '.', '_'])}{word()}{tail}{at}{word()}{dot}{r.choice(['com', 'org', 'net', 'de', 'example' + dot + 'com'])}"
+            return f"{ascii_word()}{r.choice(['', '.', '_'])}{ascii_word()}{tail}{at}{ascii_word()}{dot}{r.choice(['com', 'org', 'net', 'de', 'example' + dot + 'com'])}"
         if kind == "ip":
             return r.choice([".", ".", ".", " . ", "[.]"]).join(str(x) for x in r.integers(0, 256, 4))
         if kind == "card":
@@ -109,21 +124,26 @@ def synthetic(n: int, seed: int) -> list[tuple[str, list[Span]]]:
     out = []
     for _ in range(n):
         text, spans = "", []
-        while len(text) < WINDOW:
+        abroad, mixed, again = r.choice([0, 0.2, 0.7]), r.choice([0, 0.5, 0.9]), r.random() < 0.1
+        shout = r.choice([0, 0.05, 0.9], p=[0.7, 0.2, 0.1])
+        while len(text) < LESSON:
             p = r.random()
-            if p < 0.09:
+            if again and text:  # one word over and over
+                put = last
+            elif p < 0.09:
                 kind = str(r.choice(KINDS))
                 put = item(kind)
-                if len(text) + len(put) <= WINDOW:
+                if len(text) + len(put) <= LESSON:
                     spans.append((kind, len(text), len(text) + len(put)))
             elif p < 0.2:
                 put = harmless()
             else:
                 put = word()
-                put = put.capitalize() if r.random() < 0.15 else put
-            text += str(put) + str(r.choice([" ", " ", " ", " ", ", ", ". ", "\n", "*** ", "!! ", " | "]))
+                put = put.upper() if r.random() < shout else put.capitalize() if r.random() < 0.15 else put
+            last = str(put)
+            text += last + str(r.choice([" ", " ", " ", " ", ", ", ". ", "\n", "*** ", "!! ", " | "]))
         start = int(r.integers(0, 3))
-        text = text[start : start + WINDOW]
+        text = text[start : start + (LESSON if r.random() < 0.7 else int(r.integers(1, LESSON)))]
         out.append((text, [(k, a - start, b - start) for k, a, b in spans if a >= start and b - start <= len(text)]))
     return out
 
@@ -137,12 +157,11 @@ def tags_of(text: str, spans: list[Span]) -> np.ndarray:
 
 
 def allowed() -> np.ndarray:
-    """allowed[i, j]: tag j may follow tag i."""
-    ok = np.ones((TAGS, TAGS), dtype=bool)
+    """allowed[i, j]: tag j may follow tag i. A span begins after 0 and goes on with its own kind."""
+    ok = np.zeros((TAGS, TAGS), dtype=bool)
+    ok[0, 1::2] = ok[:, 0] = True
     for k in range(len(KINDS)):
-        inside = 2 + 2 * k
-        ok[:, inside] = False
-        ok[inside - 1, inside] = ok[inside, inside] = True
+        ok[1 + 2 * k, 2 + 2 * k] = ok[2 + 2 * k, 2 + 2 * k] = True
     return ok
 
 
@@ -151,92 +170,84 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class BiLstmCrf:
-    """Weights by name; float32. Gates in the order input, forget, output, candidate."""
+    """Weights by name; float32. Gates in the order input, forget, output, candidate; x, h and c hold both directions."""
 
     def __init__(self, seed: int = 0):
         r = np.random.default_rng(seed)
-        g = lambda *s: (r.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-        self.w = {"e": g(SYMBOLS, EMBED) * 2, "o": g(2 * HIDDEN, TAGS), "ob": np.zeros(TAGS, np.float32), "t": np.zeros((TAGS, TAGS), np.float32)}
-        for d in "fb":
-            self.w |= {d + "x": g(EMBED, 4 * HIDDEN), d + "h": g(HIDDEN, 4 * HIDDEN), d + "c": np.concatenate([np.zeros(HIDDEN), np.ones(HIDDEN), np.zeros(2 * HIDDEN)]).astype(np.float32)}
-
-    def _lstm(self, d: str, x: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-        """x: time x batch x EMBED -> time x batch x HIDDEN."""
-        wx, wh, bias, (n, b, _) = self.w[d + "x"], self.w[d + "h"], self.w[d + "c"], x.shape
-        pre = x.reshape(n * b, -1) @ wx + bias
-        pre = pre.reshape(n, b, -1)
-        h = c = np.zeros((b, HIDDEN), np.float32)
-        out, tape = np.empty((n, b, HIDDEN), np.float32), []
+        g = lambda *s: (r.standard_normal(s) / np.sqrt(s[-2])).astype(np.float32)
+        forget = np.repeat(np.array([0, 1, 0, 0], np.float32), HIDDEN)
+        self.w = {"e": g(SYMBOLS, EMBED) * np.float32(np.sqrt(SYMBOLS / EMBED)), "x": g(2, EMBED, 4 * HIDDEN), "h": g(2, HIDDEN, 4 * HIDDEN), "c": np.stack([forget, forget])}
+        self.w |= {"o": g(2 * HIDDEN, TAGS), "ob": np.zeros(TAGS, np.float32), "t": np.zeros((TAGS, TAGS), np.float32)}
+
+    def emissions(self, ids: np.ndarray, keep: bool = False):
+        """ids: batch x time -> time x batch x TAGS. Both directions step together, the second over the reversed text."""
+        b, n = ids.shape
+        x = self.w["e"][np.stack([ids.T, ids.T[::-1]])]
+        pre = (x.reshape(2, n * b, -1) @ self.w["x"] + self.w["c"][:, None]).reshape(2, n, b, -1)
+        h = c = np.zeros((2, b, HIDDEN), np.float32)
+        out, tape = np.empty((2, n, b, HIDDEN), pre.dtype), []
         for t in range(n):
-            z = pre[t] + h @ wh
-            s = _sigmoid(z[:, : 3 * HIDDEN])
-            i, f, o, u = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :], np.tanh(z[:, 3 * HIDDEN :])
+            z = pre[:, t] + h @ self.w["h"]
+            s = _sigmoid(z[..., : 3 * HIDDEN])
+            i, f, o, u = s[..., :HIDDEN], s[..., HIDDEN : 2 * HIDDEN], s[..., 2 * HIDDEN :], np.tanh(z[..., 3 * HIDDEN :])
             c0, h0 = c, h
             c = f * c + i * u
             tc = np.tanh(c)
             h = o * tc
-            out[t] = h
+            out[:, t] = h
             if keep:
                 tape.append((i, f, o, u, c0, h0, tc))
-        return out, tape
-
-    def emissions(self, ids: np.ndarray, keep: bool = False):
-        """ids: batch x time -> time x batch x TAGS."""
-        x = self.w["e"][ids.T]
-        hf, tf = self._lstm("f", x, keep)
-        hb, tb = self._lstm("b", x[::-1], keep)
-        both = np.concatenate([hf, hb[::-1]], axis=2)
+        both = np.concatenate([out[0], out[1, ::-1]], axis=2)
         em = both @ self.w["o"] + self.w["ob"]
-        return (em, (x, both, tf, tb)) if keep else em
+        return (em, (x, both, tape)) if keep else em
 
     def read(self, ids: np.ndarray) -> np.ndarray:
-        """emissions() for reading only: inputs of each symbol worked out once, and sigmoids as tanh of halved inputs."""
+        """emissions() for reading only: inputs of each symbol worked out once, gates in planes, sigmoids as tanh of halved inputs."""
         b, n = ids.shape
+        steps = np.ascontiguousarray(ids.T)
+        half = np.array([0.5, 0.5, 0.5, 1], np.float32)[:, None, None]
+        planes = lambda m: np.ascontiguousarray(m.reshape(2, -1, 4, HIDDEN).transpose(0, 2, 1, 3) * half, dtype=np.float32)
+        table, wh = planes(self.w["e"] @ self.w["x"] + self.w["c"][:, None]), planes(self.w["h"])
         both = np.empty((n, b, 2 * HIDDEN), np.float32)
-        half = np.repeat(np.array([0.5, 1], np.float32), [3 * HIDDEN, HIDDEN])
-        for d, side in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, 2 * HIDDEN))):
-            table = ((self.w["e"] @ self.w[d + "x"] + self.w[d + "c"]) * half).astype(np.float32)
-            wh = (self.w[d + "h"] * half).astype(np.float32)
-            h, c = np.zeros((b, HIDDEN), np.float32), np.zeros((b, HIDDEN), np.float32)
-            z, pre = np.empty((b, 4 * HIDDEN), np.float32), np.empty((b, 4 * HIDDEN), np.float32)
-            for t in range(n) if d == "f" else range(n - 1, -1, -1):
-                np.take(table, ids[:, t], axis=0, out=pre, mode="clip")
-                np.matmul(h, wh, out=z)
-                z += pre
-                np.tanh(z, out=z)
-                s = z[:, : 3 * HIDDEN]
-                s *= 0.5
-                s += 0.5
-                c *= z[:, HIDDEN : 2 * HIDDEN]
-                c += z[:, :HIDDEN] * z[:, 3 * HIDDEN :]
-                np.multiply(np.tanh(c), z[:, 2 * HIDDEN : 3 * HIDDEN], out=h)
-                both[t, :, side] = h
+        h, c, tc = (np.zeros((2, b, HIDDEN), np.float32) for _ in range(3))
+        z, pre = np.empty((2, 4, b, HIDDEN), np.float32), np.empty((2, 4, b, HIDDEN), np.float32)
+        gates = z[:, :3]
+        for t in range(n):
+            np.take(table[0], steps[t], axis=1, out=pre[0], mode="clip")
+            np.take(table[1], steps[n - 1 - t], axis=1, out=pre[1], mode="clip")
+            np.matmul(h[:, None], wh, out=z)
+            z += pre
+            np.tanh(z, out=z)
+            gates *= 0.5
+            gates += 0.5
+            c *= z[:, 1]
+            np.multiply(z[:, 0], z[:, 3], out=tc)
+            c += tc
+            np.tanh(c, out=tc)
+            np.multiply(tc, z[:, 2], out=h)
+            both[t, :, :HIDDEN] = h[0]
+            both[n - 1 - t, :, HIDDEN:] = h[1]
         return (both.reshape(n * b, -1) @ self.w["o"] + self.w["ob"]).reshape(n, b, TAGS)
 
-    def tags(self, ids: np.ndarray) -> np.ndarray:
-        """Best tag sequences (batch x time) of windows."""
-        return self.decode(self.read(ids)).T
-
-    def _lstm_back(self, d: str, x: np.ndarray, tape: list, dout: np.ndarray, grad: dict) -> np.ndarray:
-        wx, wh = self.w[d + "x"], self.w[d + "h"]
-        n, b, _ = x.shape
-        dh = dc = np.zeros((b, HIDDEN), np.float32)
-        dz = np.empty((n, b, 4 * HIDDEN), np.float32)
+    def _back(self, x: np.ndarray, tape: list, dout: np.ndarray, grad: dict) -> np.ndarray:
+        wh, (_, n, b, _) = self.w["h"].transpose(0, 2, 1), x.shape
+        dh = dc = np.zeros((2, b, HIDDEN), np.float32)
+        dz = np.empty((2, n, b, 4 * HIDDEN), x.dtype)
         for t in reversed(range(n)):
             i, f, o, u, c0, _, tc = tape[t]
-            dh = dh + dout[t]
+            dh = dh + dout[:, t]
             dc = dc + dh * o * (1 - tc * tc)
-            dz[t] = np.concatenate([dc * u * i * (1 - i), dc * c0 * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - u * u)], axis=1)
-            dh, dc = dz[t] @ wh.T, dc * f
-        flat = dz.reshape(n * b, -1)
-        grad[d + "x"] = x.reshape(n * b, -1).T @ flat
-        grad[d + "h"] = np.stack([p[5] for p in tape]).reshape(n * b, -1).T @ flat
-        grad[d + "c"] = flat.sum(axis=0)
-        return (flat @ wx.T).reshape(x.shape)
+            dz[:, t] = np.concatenate([dc * u * i * (1 - i), dc * c0 * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - u * u)], axis=2)
+            dh, dc = dz[:, t] @ wh, dc * f
+        flat = dz.reshape(2, n * b, -1)
+        grad["x"] = x.reshape(2, n * b, -1).transpose(0, 2, 1) @ flat
+        grad["h"] = np.stack([p[5] for p in tape], axis=1).reshape(2, n * b, -1).transpose(0, 2, 1) @ flat
+        grad["c"] = flat.sum(axis=1)
+        return (flat @ self.w["x"].transpose(0, 2, 1)).reshape(x.shape)
 
     def gradient(self, ids: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Mean negative log-likelihood of tags y (batch x time) under the CRF, and its gradient."""
-        em, (x, both, tf, tb) = self.emissions(ids, keep=True)
+        em, (x, both, tape) = self.emissions(ids, keep=True)
         n, b, _ = em.shape
         tr = np.where(allowed(), self.w["t"], np.float32(-30))
         alpha = np.empty_like(em)
@@ -264,7 +275,8 @@ class BiLstmCrf:
         demit /= b
         grad = {"t": np.where(allowed(), dtr / b, 0).astype(np.float32), "o": both.reshape(n * b, -1).T @ demit.reshape(n * b, -1), "ob": demit.sum(axis=(0, 1))}
         dboth = demit @ self.w["o"].T
-        dx = self._lstm_back("f", x, tf, dboth[:, :, :HIDDEN], grad) + self._lstm_back("b", x[::-1], tb, dboth[::-1, :, HIDDEN:], grad)[::-1]
+        dx = self._back(x, tape, np.stack([dboth[:, :, :HIDDEN], dboth[::-1, :, HIDDEN:]]), grad)
+        dx = dx[0] + dx[1, ::-1]
         grad["e"] = np.zeros_like(self.w["e"])
         np.add.at(grad["e"], ids.T, dx)
         return float((logz - gold).mean()), grad
@@ -294,8 +306,8 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 def trained(windows: int = TRAIN_WINDOWS, epochs: int = EPOCHS, seed: int = 7) -> BiLstmCrf:
     """The network fitted by Adam to `windows` labelled windows; the same weights for the same arguments."""
     net, data = BiLstmCrf(seed), synthetic(windows, seed)
-    ids = np.stack([_padded(symbols(t)) for t, _ in data])
-    tags = np.stack([np.pad(tags_of(t, s), (0, WINDOW - len(t))) for t, s in data])
+    ids = np.stack([_padded(symbols(t), LESSON) for t, _ in data])
+    tags = np.stack([_padded(tags_of(t, s), LESSON) for t, s in data])
     r, step = np.random.default_rng(seed), 0
     m = {k: np.zeros_like(v) for k, v in net.w.items()}
     v = {k: np.zeros_like(x) for k, x in net.w.items()}
@@ -315,57 +327,107 @@ def trained(windows: int = TRAIN_WINDOWS, epochs: int = EPOCHS, seed: int = 7) -
     return net
 
 
-def _padded(x: np.ndarray) -> np.ndarray:
-    return np.pad(x, (0, WINDOW - len(x)))
+def _padded(x: np.ndarray, n: int) -> np.ndarray:
+    return np.pad(x, (0, n - len(x)))
 
 
-def windows_of(n: int) -> int:
-    """How many windows, STRIDE apart, hold a text of n code points whole."""
-    return 0 if n == 0 else 1 + max(0, -(-(n - WINDOW) // STRIDE))
+def window_starts(n: int) -> list[int]:
+    """Where the windows of a text of n code points begin: STRIDE apart, the last one at its end."""
+    return [*range(0, max(n - WINDOW, 0), STRIDE), max(n - WINDOW, 0)] if n else []
 
 
-def model_spans(texts: list[str], net: BiLstmCrf, block: int = 512) -> list[list[Span]]:
-    """Spans that the network finds in each text."""
-    jobs = [(i, k) for i, text in enumerate(texts) for k in range(windows_of(len(text)))]
-    tags: dict[int, list[tuple[int, np.ndarray]]] = {}
-    for at in range(0, len(jobs), block):
-        part = jobs[at : at + block]
-        ids = np.stack([_padded(symbols(texts[i][k * STRIDE : k * STRIDE + WINDOW])) for i, k in part])
-        for (i, k), row in zip(part, net.tags(ids), strict=True):
-            tags.setdefault(i, []).append((k, row))
-    out: list[list[Span]] = [[] for _ in texts]
-    for i, rows in tags.items():
-        out[i] = reconciled(texts[i], rows)
-    return out
+#: Where windows overlap, each counts by how far the place is from its rim.
+RIM = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
 
 
-def reconciled(text: str, rows: list[tuple[int, np.ndarray]]) -> list[Span]:
-    """One tag sequence from windows (number, tags), each of which rules its middle and, at the text's ends, its rim."""
-    quarter, n = (WINDOW - STRIDE) // 2, len(text)
-    spans: list[Span] = []
-    at, joined = -1, {}
-    for k, row in rows:
-        a = k * STRIDE
-        lo = 0 if k == 0 else quarter
-        hi = min(WINDOW if a + WINDOW >= n else quarter + STRIDE, n - a)
-        for j in np.flatnonzero(row[lo:hi]) + lo:
-            joined[a + int(j)] = int(row[j])
-    kind, start = -1, 0
-    for p in [*sorted(joined), n + 2]:
-        tag = joined.get(p, 0)
-        k = (tag - 1) // 2
-        if kind >= 0 and (p != at + 1 or tag % 2 == 1 or k != kind):
-            spans.append((KINDS[kind], start, at + 1))
-            kind = -1
-        if tag and kind < 0:
-            kind, start = k, p
-        at = p
-    return [s for s in spans if s[2] - s[1] >= 6]
+def blended(texts: list[str], net: BiLstmCrf, block: int = 512) -> list[np.ndarray]:
+    """Emissions of each whole text (code points x TAGS): those of its windows, weighed by RIM where they overlap."""
+    first = np.cumsum([0, *map(len, texts)])
+    ids = symbols("".join(texts))
+    total, weight = np.zeros((len(ids), TAGS), np.float32), np.zeros(len(ids), np.float32)
+    jobs = [(first[i] + a, min(WINDOW, len(t))) for i, t in enumerate(texts) for a in window_starts(len(t))]
+    inside = np.arange(WINDOW)
+    for at in range(0, len(jobs), block):
+        part = jobs[at : at + block]
+        start, size = np.array(part).T
+        real = inside < size[:, None]
+        em = np.ascontiguousarray(net.read(np.where(real, ids[np.where(real, start[:, None] + inside, 0)], 0)).transpose(1, 0, 2))
+        em *= RIM[:, None]
+        for (a, n), e in zip(part, em, strict=True):
+            total[a : a + n] += e[:n]
+            weight[a : a + n] += RIM[:n]
+    total /= np.maximum(weight, 1)[:, None]
+    return [total[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+
+
+def undecided(em: np.ndarray, tr: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches (end exclusive) outside which the best tag sequence of the whole text is proven to be 0.
+
+    Spans are runs of one kind with 0 before and after, so what a run adds to a sequence of 0 is a start, a sum of what its places
+    add, and an end. Where no run of any kind through a place adds anything, the best sequence has 0 there.
+    """
+    open_ = np.zeros(len(em), dtype=bool)
+    base = em[:, 0].astype(np.float64) + tr[0, 0]
+    for k in range(len(KINDS)):
+        b, i = 1 + 2 * k, 2 + 2 * k
+        on = np.cumsum(em[:, i] + max(tr[b, i], tr[i, i]) - base)
+        start = em[:, b] + tr[0, b] - base - on
+        end = max(tr[b, 0], tr[i, 0]) - tr[0, 0]
+        open_ |= np.maximum.accumulate(start) + np.maximum.accumulate(on[::-1])[::-1] + end >= -1e-3
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], open_, [False]]).astype(np.int8)))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+
+
+def model_spans(texts: list[str], net: BiLstmCrf, section: int = 1 << 19) -> list[list[Span]]:
+    """Spans that the network finds in each text: one best tag sequence over the whole text, as if 0 stood before and after it."""
+    out: dict[str, list[Span]] = dict.fromkeys(texts, [])
+    group, size = [], 0
+    for text in [*out, None]:  # equal texts are read once; some 60 bytes for a code point
+        if group and (text is None or size + len(text) > section):
+            out |= zip(group, _spans_of(group, net), strict=True)
+            group, size = [], 0
+        if text:
+            group.append(text)
+            size += len(text)
+    return [out[t] for t in texts]
+
+
+def _spans_of(texts: list[str], net: BiLstmCrf, block: int = 256) -> list[list[Span]]:
+    em = blended(texts, net)
+    tr = np.where(allowed(), net.w["t"], np.float32(-1e4))
+    jobs = sorted((b - a, i, a) for i, e in enumerate(em) for a, b in undecided(e, tr))
+    found: list[list[Span]] = [[] for _ in texts]
+    at = 0
+    while at < len(jobs):
+        part = [j for j in jobs[at : at + block] if j[0] <= 2 * jobs[at][0]]  # of like lengths
+        at += len(part)
+        padded = np.full((part[-1][0] + 2, len(part), TAGS), np.float32(-1e4))
+        padded[:, :, 0] = 0
+        for j, (n, i, a) in enumerate(part):
+            padded[1 : n + 1, j] = em[i][a : a + n]
+        tags = net.decode(padded)
+        for j, (n, i, a) in enumerate(part):
+            found[i] += spans_of_tags(tags[1 : n + 1, j], a)
+    return [sorted((s for s in f if s[0] != "card" or luhn(NOT_DIGIT.sub("", t[s[1] : s[2]]))), key=lambda s: s[1]) for t, f in zip(texts, found, strict=True)]
+
+
+def spans_of_tags(tags: np.ndarray, at: int = 0) -> list[Span]:
+    """Spans of a tag sequence that begins at code point `at`: each runs from its B over the I that follow."""
+    begins = np.flatnonzero(tags % 2 == 1)
+    ends = np.append(np.flatnonzero(np.diff(tags > 0, append=False) | np.append(tags[1:] % 2 == 1, False)) + 1, len(tags))
+    return [(KINDS[(int(tags[b]) - 1) // 2], at + int(b), at + int(ends[np.searchsorted(ends, b + 1)])) for b in begins]
 
 
 def merged(base: list[Span], more: list[Span]) -> list[Span]:
     """All base spans, and those of `more` that touch none of them; in the order of base_spans."""
-    kept = [s for s in more if not any(a < s[2] and s[1] < b for _, a, b in base)]
+    runs: list[list[int]] = []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if runs and a < runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], b)
+        else:
+            runs.append([a, b])
+    ends = [r[1] for r in runs]
+    kept = [s for s in more if (at := bisect.bisect_right(ends, s[1])) == len(runs) or runs[at][0] >= s[2]]
     return sorted({*base, *kept}, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 

@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 
-from bytefacts.llm.pii import KINDS, BiLstmCrf, base_spans, luhn, merged, model_spans, pii_spans, redact, redacted, symbols, synthetic, tags_of, trained, written
+from bytefacts.llm.pii import KINDS, RIM, TAGS, WINDOW, BiLstmCrf, allowed, base_spans, blended, luhn, merged, model_spans, pii_spans, redact, redacted, symbols, synthetic, trained, window_starts, written
 
 from .helpers import edge_docs, edge_rows, got, no_docs
 
@@ -37,12 +37,12 @@ def test_gradient_equals_differences():
     net = BiLstmCrf(1)
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
     texts = synthetic(2, 5)
-    ids = np.stack([symbols(t)[:20] for t, _ in texts])
-    y = np.stack([tags_of(t, [])[:20] for t, _ in texts])
+    ids = np.stack([np.resize(symbols(t), 20) for t, _ in texts])
+    y = np.zeros((2, 20), dtype=np.int64)
     y[0, 3:6] = [1, 2, 2]
     _, grad = net.gradient(ids, y)
     r = np.random.default_rng(1)
-    for k in ("e", "o", "ob", "fx", "fh", "fc", "bx", "bh", "t"):
+    for k in ("e", "o", "ob", "x", "x", "h", "h", "c", "c", "t"):
         at = tuple(r.integers(0, n) for n in net.w[k].shape) if k != "e" else (int(ids[0, 4]), 1)
         at = (0, 1) if k == "t" else at
         keep, eps = net.w[k][at], 1e-3
@@ -102,7 +102,53 @@ def test_disguised_addresses_without_a_digit_are_read(spark):
     assert sum(s in model_spans([t], trained())[0] for t, s in bare) >= 0.7 * len(bare)
 
 
-def test_reading_equals_decoding_every_window():
-    ids = np.stack([np.pad(symbols(t), (0, 128 - len(t))) for t, _ in synthetic(100, 77)] + [np.pad(symbols("the ing ion " * 10), (0, 8))])
+def whole(em, net):
+    """Best tag sequence over all places, one by one, with 0 before and after."""
+    tr = np.where(allowed(), net.w["t"], np.float32(-1e4))
+    score, back = tr[0] + em[0], []
+    for e in em[1:]:
+        back.append((score[:, None] + tr).argmax(axis=0))
+        score = (score[:, None] + tr).max(axis=0) + e
+    tags = [int((score + tr[:, 0]).argmax())]
+    for b in reversed(back):
+        tags.append(int(b[tags[-1]]))
+    return np.array(tags[::-1])
+
+
+def test_reading_equals_training_form():
+    ids = np.stack([np.resize(symbols(t), 128) for t, _ in synthetic(20, 77)])
+    assert np.allclose(trained().read(ids), trained().emissions(ids), atol=1e-3)
+
+
+def test_spans_are_those_of_one_sequence_over_the_whole_text():
     net = trained()
-    assert (net.tags(ids) == net.decode(net.emissions(ids)).T).all()
+    r = random.Random(11)
+    texts = ["".join(t + " " for t, _ in synthetic(n, 500 + n)) for n in (1, 2, 3, 5, 9, 20)] + ["a", "+1 (437) 555-0689", "x" * WINDOW, "y@" * 300, "".join(r.choice("0123456789.@- []at") for _ in range(1500))]
+    em = blended(texts, net)
+    for text, e, found in zip(texts, em, model_spans([*texts, "", texts[0]], net)[:-2], strict=True):
+        starts, total, weight = window_starts(len(text)), np.zeros((len(text), TAGS)), np.zeros((len(text), 1))
+        assert starts[0] == 0 and starts[-1] == max(0, len(text) - WINDOW) and max(np.diff(starts), default=0) <= WINDOW
+        for a in starts:
+            size = min(WINDOW, len(text) - a)
+            ids = np.zeros((1, WINDOW), dtype=np.int64)
+            ids[0, :size] = symbols(text[a : a + size])
+            weighed = net.read(ids)[:size, 0] * RIM[:size, None]
+            total[a : a + size] += weighed
+            weight[a : a + size, 0] += RIM[:size]
+        assert np.allclose(e, total / weight, atol=1e-3)
+        tags = whole(e, net)
+        want, at = [], 0
+        while at < len(tags):
+            end = at + 1
+            while tags[at] % 2 and end < len(tags) and tags[end] == tags[at] + 1:
+                end += 1
+            if tags[at] % 2:
+                want.append((KINDS[tags[at] // 2], at, end))
+            at = end
+        assert found == [s for s in want if s[0] != "card" or luhn(re.sub("[^0-9]", "", text[s[1] : s[2]]))]
+
+
+def test_redaction_of_many_spans_is_linear():
+    base = [("email", 10 * i, 10 * i + 5) for i in range(60_000)]
+    more = [("ip", 10 * i + 6, 10 * i + 9) for i in range(60_000)] + [("ip", 3, 12)]
+    assert merged(base, more) == base + more[:-1]
