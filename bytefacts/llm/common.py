@@ -34,6 +34,16 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def fresh_names(df: DataFrame, n: int) -> list[str]:
+    """n names that no column of df has, in any case."""
+    have, out, k = {c.lower() for c in df.columns}, [], 0
+    while len(out) < n:
+        if (name := f"own_{k}") not in have:
+            out.append(name)
+        k += 1
+    return out
+
+
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (doc_id, text); extra columns, whatever their names, are left behind."""
     return docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text"))

@@ -1,14 +1,16 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model over symbols, trained on trusted text.
+"""Quality classifier: an interpolated modified Kneser-Ney model over bytes, trained on trusted text.
 
-Bytes are read as 32 symbols (letters in either case apart from capitals, which are one symbol; digits; space;
-line break; clause marks; bytes beyond ASCII; anything else), so a table of all n-grams of ORDER symbols
-has 32 ** ORDER entries whatever the corpus. Counts of all trusted documents are summed by shards of n-gram
-codes; discounts, context totals and continuation counts come from joins of these count tables. The finished
-table of log probabilities (4 MB, a bound by construction) goes to every executor, and a document's
-perplexity is a sum over its symbols. Each language's threshold is a quantile of its trusted
-documents, times MARGIN; a document above it is rejected.
+N-grams are the ORDER bytes of UTF-8 that end at each byte, as one number, so text of every script is modelled and the
+counts grow with the corpus. Documents are dealt once, by a hash, to blocks of about BLOCK bytes. A first pass over the blocks
+gives each block's distinct n-grams with their counts in trusted documents; sums by n-gram are the sharded counts, and
+all lower orders, discounts, context totals and probabilities are aggregates and joins of these tables. The probabilities are joined
+to the n-grams of each block, go back to it, and a second pass over the same shuffled blocks sums each document's
+bits. No table of n-grams is broadcast or gathered, and texts are shuffled once (compressed).
 
-Perplexities of short texts vary by chance, so a document's mean is taken with PRIOR further symbols of its language's
+Trusted documents are those labelled quality = 1. One in HOLD of them, by a hash of the text, is held out of the counts, and each
+language's threshold is a quantile of its held-out documents, times MARGIN; a document above it is rejected.
+
+Perplexities of short texts vary by chance, so a document's mean is taken with PRIOR further bytes of its language's
 average: a few words alone can't reject it.
 """
 
@@ -18,165 +20,222 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytefacts.llm import common
 
-SYMBOLS, ORDER = 32, 4
-SIZE = SYMBOLS**ORDER
-QUANTILE, PRIOR = 0.999, 150
-#: The model has seen the trusted documents, so others of their kind lie a little above them.
+ORDER = 5
+QUANTILE, PRIOR, HOLD = 0.999, 150, 5
+#: Held-out documents vary less than all others.
 MARGIN = 1.02
-#: A language with fewer trusted documents takes the threshold of all trusted documents.
-FEWEST = 30
+#: A language with fewer held-out documents takes the threshold of all of them.
+FEWEST = 20
+#: Bytes of text in a block, and at a time in a pass over it.
+BLOCK, CHUNK = 24 << 20, 4 << 20
+#: Rows of one id go to this many blocks, by their texts.
+SALT = 4
+_BEFORE = b"\n" * (ORDER - 1)
+
+Stream = Iterator[pa.RecordBatch]
+
+
+def codes(raws: list[bytes]) -> np.ndarray:
+    """The n-gram that ends at each byte of each text, one text after the other; a text begins after line breaks."""
+    x = np.frombuffer(b"".join(p for r in raws for p in (_BEFORE, r)), dtype=np.uint8).astype(np.int64)
+    if len(x) < ORDER:
+        return np.zeros(0, dtype=np.int64)
+    out = x[: len(x) - ORDER + 1].copy()
+    for k in range(1, ORDER):
+        out <<= 8
+        out |= x[k : len(x) - ORDER + 1 + k]
+    # the n-gram of a text's byte begins ORDER - 1 places before it; those that run on into the next text's line breaks go
+    next_ = np.cumsum([len(r) + ORDER - 1 for r in raws])[:-1]
+    keep = np.ones(len(out), dtype=bool)
+    keep[(next_[:, None] - np.arange(1, ORDER)).ravel()] = False
+    return out[keep]
+
+
+def _chunks(raws: list[bytes]) -> Iterator[list[bytes]]:
+    part, size = [], 0
+    for r in raws:
+        if part and size + len(r) > CHUNK:
+            yield part
+            part, size = [], 0
+        part.append(r)
+        size += len(r)
+    if part:
+        yield part
+
+
+def counted(trained: list[bytes], others: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of all texts, in order, and how often each occurs in those trained on."""
+    found, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for texts, weight in ((trained, 1), (others, 0)):
+        for part in _chunks(texts):
+            c, n = np.unique(codes(part), return_counts=True)
+            found.append(c)
+            times.append(n * weight)
+    every, at = np.unique(np.concatenate(found), return_inverse=True)
+    return every, np.bincount(at, weights=np.concatenate(times), minlength=len(every)).astype(np.int64)
+
+
+def _row_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _blocks(docs: DataFrame, n: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(block, doc_id, lang, text_hash, packed): each row in one of n blocks, its text compressed."""
+    rows = docs.select(common.column(id_col).cast("long").alias("doc_id"), F.coalesce(common.column(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(common.column(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("text_hash", _row_hash(F.col("text")))
+    salt = F.when(F.col("doc_id").isNull(), F.col("text_hash")).otherwise(F.pmod("text_hash", F.lit(SALT)))
+    rows = rows.select(F.pmod(F.xxhash64("doc_id", salt), F.lit(n)).alias("block"), "doc_id", "lang", "text_hash", "text")
+
+    def pack(batches: Stream) -> Stream:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for part in common.slices(batch, "text"):
+                packed = pa.array([press.compress(t.as_buffer()) for t in part.column("text").cast(pa.binary())], type=pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], packed], names=["block", "doc_id", "lang", "text_hash", "packed"])
 
+    return rows.mapInArrow(pack, "block long, doc_id long, lang string, text_hash long, packed binary")
 
-def _table() -> np.ndarray:
-    t = np.full(256, 31, dtype=np.int64)
-    for i, c in enumerate(b"abcdefghijklmnopqrstuvwxyz"):
-        t[c] = i
-    t[ord("A") : ord("Z") + 1] = 26
-    t[ord("0") : ord("9") + 1] = 27
-    for c in b" \t":
-        t[c] = 28
-    for c in b"\r\n":
-        t[c] = 29
-    for c in b".,;:'\"()-?!":
-        t[c] = 31 if c == ord("!") else 28 if c == ord("-") else 30
-    t[128:] = 25  # rare letters of ASCII words and letters beyond it share a symbol
-    return t
 
+def _unpacked(block: pa.Table) -> list[bytes]:
+    press = zstandard.ZstdDecompressor()
+    return [press.decompress(p.as_buffer()) if len(p.as_buffer()) else b"" for p in block.column("packed")]
 
-TABLE = _table()
 
+def _grams(block: pa.Table, good: pa.Table) -> pa.Table:
+    """A block's documents and trusted ids -> (block, code, n)."""
+    if not block.num_rows:
+        return pa.table({"block": pa.array([], pa.int64()), "code": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+    ids, hashes = block.column("doc_id").to_pylist(), block.column("text_hash").to_pylist()
+    trusted = set(good.column("doc_id").to_pylist())
+    trained, others = [], []
+    for i, h, raw in zip(ids, hashes, _unpacked(block), strict=True):
+        (trained if i in trusted and h % HOLD else others).append(raw)
+    code, n = counted(trained, others)
+    return pa.table({"block": np.full(len(code), block.column("block")[0].as_py()), "code": code, "n": n})
 
-def codes(text: str) -> np.ndarray:
-    """The n-gram of ORDER symbols that ends at each byte; a text begins after line breaks."""
-    x = np.concatenate([np.full(ORDER - 1, 29), TABLE[np.frombuffer(text.encode(), dtype=np.uint8)]])
-    out = np.zeros(len(x) - ORDER + 1, dtype=np.int64)
-    for k in range(ORDER):
-        out = out * SYMBOLS + x[k : len(x) - ORDER + 1 + k]
-    return out
 
+def _bits(block: pa.Table, known: pa.Table) -> pa.Table:
+    """A block's documents and the bits of its n-grams -> (doc_id, lang, text_hash, symbols, bits)."""
+    code, cost = known.column("code").to_numpy(), known.column("bits").to_numpy()
+    order = np.argsort(code)
+    code, cost, bits, sizes = code[order], cost[order], [], []
+    for part in _chunks(_unpacked(block)):
+        n = np.array([len(r) for r in part])
+        total = np.concatenate([[0], np.cumsum(cost[np.searchsorted(code, codes(part))], dtype=np.float64)])
+        end = np.cumsum(n)
+        bits.append(total[end] - total[end - n])
+        sizes.append(n)
+    return block.select(["doc_id", "lang", "text_hash"]).append_column("symbols", pa.array(np.concatenate([*sizes, np.zeros(0, np.int64)]).astype(np.int64))).append_column("bits", pa.array(np.concatenate([*bits, np.zeros(0)])))
 
-def ngram_counts(texts: DataFrame) -> DataFrame:
-    """(code, n): occurrences of each n-gram in a table with a column `text`; summed in the task, then by shards of codes."""
-    common.ship(texts.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SIZE, dtype=np.int64)
-        for batch in batches:
-            for t in batch.column(0):
-                if t.is_valid:
-                    got = codes(t.as_py())
-                    if len(got) > 50_000:
-                        total += np.bincount(got, minlength=SIZE)
-                    else:
-                        np.add.at(total, got, 1)
-        seen = np.flatnonzero(total)
-        for at in range(0, len(seen), 100_000):
-            part = seen[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["code", "n"])
-
-    return texts.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def discounts(counts: DataFrame, order: int) -> DataFrame:
+def levels(counts: DataFrame) -> list[DataFrame]:
+    """(code, n) of every order from 1 to ORDER: n-grams asked for, those never seen with n = 0.
+
+    The highest order has counts; lower ones count in how many contexts an n-gram goes on (continuation counts).
+    """
+    out = [counts]
+    for order in range(ORDER - 1, 0, -1):
+        out.append(out[-1].groupBy((F.col("code") % 256**order).alias("code")).agg(F.count(F.when(F.col("n") > 0, 1)).alias("n")))
+    return out[::-1]
+
+
+def discounts(level: DataFrame) -> DataFrame:
     """(d1, d2, d3) of modified Kneser-Ney from counts of counts, as one row; 0 to 3 as an estimate is defined."""
-    c = counts.agg(*(F.count(F.when(F.col("n") == k, 1)).cast("double").alias(f"c{k}") for k in (1, 2, 3, 4)))
+    c = level.agg(*(F.count(F.when(F.col("n") == k, 1)).cast("double").alias(f"c{k}") for k in (1, 2, 3, 4)))
     y = F.when(F.col("c1") + 2 * F.col("c2") > 0, F.col("c1") / (F.col("c1") + 2 * F.col("c2"))).otherwise(0.5)
     d = [F.when(F.col(f"c{k}") > 0, F.least(F.greatest(k - (k + 1) * y * F.col(f"c{k + 1}") / F.col(f"c{k}"), F.lit(0.1)), F.lit(k - 0.1))).otherwise(k / 2).alias(f"d{k}") for k in (1, 2, 3)]
     return c.select(*d)
 
 
-def model_tables(counts: DataFrame) -> DataFrame:
-    """(order, code, kept, share): for every seen n-gram of every order its discounted share kept / total, and the context's back-off weight.
+def probabilities(counts: DataFrame) -> DataFrame:
+    """(code, p): the interpolated probability of every n-gram in counts (code, n), which holds the ones asked for too, with n = 0.
 
-    The lower orders count in how many contexts an n-gram goes on (continuation counts). Every step is an
-    aggregate or a join of count tables on codes, at most 32 ** ORDER rows.
+    From order 1 up: the discounted share of an n-gram in its context, and the context's back-off weight times the
+    probability of the n-gram without its first byte; below order 1 all bytes are alike.
     """
-    out, level = None, counts
-    for order in range(ORDER, 0, -1):
-        d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        context = F.expr(f"code div {SYMBOLS}")
-        rows = level.crossJoin(F.broadcast(discounts(level, order))).withColumn("context", context).withColumn("d", d)  # one row is broadcast
+    p = None
+    for order, level in enumerate(levels(counts), 1):
+        d = F.when(F.col("n") == 0, 0.0).when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        # one row is broadcast
+        rows = level.crossJoin(F.broadcast(discounts(level))).select("code", F.shiftright("code", 8).alias("context"), "n", d.alias("d"))
         totals = rows.groupBy("context").agg(F.sum("n").cast("double").alias("total"), F.sum("d").alias("mass"))
-        table = rows.join(totals, "context").select(F.lit(order).alias("order"), "code", ((F.col("n") - F.col("d")) / F.col("total")).alias("kept"), (F.col("mass") / F.col("total")).alias("share"))
-        out = table if out is None else out.union(table)
-        # an n-gram without its first symbol goes on in as many contexts as it has first symbols
-        level = level.groupBy((F.col("code") % SYMBOLS ** (order - 1)).alias("code")).agg(F.count("*").alias("n"))
-    return out
-
-
-def log_probabilities(tables: list[tuple[int, int, float, float]]) -> np.ndarray:
-    """Of every n-gram of ORDER symbols: -log2 of its interpolated probability. Works on the rows of model_tables."""
-    p = np.full(1, 1.0 / SYMBOLS)
-    order_of = np.array([r[0] for r in tables], dtype=np.int64)
-    code, kept, share = (np.array([r[i] for r in tables], dtype=np.float64) for i in (1, 2, 3))
-    for order in range(1, ORDER + 1):
-        mine = order_of == order
-        c = code[mine].astype(np.int64)
-        high, back = np.zeros(SYMBOLS**order), np.ones(SYMBOLS ** (order - 1))
-        high[c] = kept[mine]
-        back[c // SYMBOLS] = share[mine]
-        # the same n-gram without its first symbol
-        lower = np.tile(p, SYMBOLS) if order > 1 else np.full(SYMBOLS, 1.0 / SYMBOLS)
-        p = high + np.repeat(back, SYMBOLS) * lower
-    return -np.log2(p)
-
-
-def train(trusted: DataFrame) -> np.ndarray:
-    """The table for a data frame of trusted texts (column `text`), as float32."""
-    rows = model_tables(common.cut(ngram_counts(trusted))).toPandas()  # at most sum(32 ** k) rows, whatever the corpus
-    return log_probabilities(list(rows[["order", "code", "kept", "share"]].itertuples(index=False, name=None))).astype(np.float32)
-
-
-def scores(docs: DataFrame, table: np.ndarray, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang, symbols, bits: per row the symbols of its whole text and their bits under the model. A null language is 'und'."""
-    spark = docs.sparkSession
-    common.ship(spark)
-    shared = spark.sparkContext.broadcast(table)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in common.slices(batch, "text"):
-                bits, n = [], []
-                for t in part.column("text"):
-                    got = codes(t.as_py() or "")
-                    n.append(len(got))
-                    bits.append(float(shared.value[got].sum(dtype=np.float64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(n, type=pa.int64()), pa.array(bits, type=pa.float64())], names=["doc_id", "lang", "symbols", "bits"])
+        rows = rows.join(totals, "context")
+        lower = F.lit(1 / 256)
+        if p is not None:
+            rest = p.select(F.col("code").alias("rest"), F.col("p").alias("lower"))
+            rows, lower = rows.withColumn("rest", F.col("code") % 256 ** (order - 1)).join(rest, "rest"), F.col("lower")
+        seen = F.col("total") > 0
+        p = rows.select("code", F.when(seen, (F.col("n") - F.col("d")) / F.col("total") + F.col("mass") / F.col("total") * lower).otherwise(lower).alias("p"))
+    return p
 
-    rows = docs.select(common.column(id_col).cast("long").alias("doc_id"), F.coalesce(common.column(lang_col).cast("string"), F.lit("und")).alias("lang"), common.column(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang string, symbols long, bits double")
+
+def scores(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", block: int = BLOCK) -> DataFrame:
+    """doc_id, lang, text_hash, symbols, bits: per row the bytes of its whole text and their bits under the model of trusted text.
+
+    good: (doc_id), the distinct trusted ids. A null language is 'und'. One plan: the blocks and their n-grams are exchanged once
+    each and used by all that follows.
+    """
+    common.ship(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length(common.column(text_col).cast("string")))).first()[0] or 0
+    n = max(1, -(-size // block))
+    blocks = _blocks(docs, n, id_col, text_col, lang_col)
+    dealt = good.select(F.col("doc_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).alias("salt"))
+    dealt = dealt.select(F.pmod(F.xxhash64("doc_id", "salt"), F.lit(n)).alias("block"), "doc_id")
+    grams = blocks.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(_grams, "block long, code long, n long").repartition("code")
+    known = probabilities(grams.groupBy("code").agg(F.sum("n").alias("n")))
+    answers = grams.join(known, "code").select("block", "code", (-F.log2("p")).cast("float").alias("bits"))
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_bits, "doc_id long, lang string, text_hash long, symbols long, bits double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Per row of docs: doc_id, lang, symbols, perplexity (per symbol, with the prior), threshold, keep.
+    """Per row of docs: doc_id, lang, symbols, perplexity (per byte, with the prior), threshold, keep, text_hash.
 
     Trusted are documents labelled quality = 1, all of them. Null texts count as empty and are kept, as are rows
     without a finite threshold (no trusted document at all); a null language is 'und'; a null id is
-    never trusted; repeated rows stay, repeated or null labels count once; extra columns are ignored; an empty table gives an empty one.
+    never trusted, but is scored; repeated rows stay, rows of one id are scored by their own texts, repeated or null labels count
+    once; extra columns are ignored; an empty table gives an empty one. Where fewer than FEWEST trusted documents are held out, all
+    trusted ones set the threshold.
     """
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    # both sides shuffled at any size: the set of trusted ids grows with the corpus, so it is never broadcast
-    trusted = common.documents(docs, id_col, text_col).hint("merge").join(good, "doc_id", "left_semi")
-    scored = common.cut(scores(docs, train(trusted), lang_col, id_col, text_col))
-    trusted_scores = scored.join(good, "doc_id", "left_semi").where("symbols > 0")
-    means = trusted_scores.groupBy("lang").agg(F.sum("bits").alias("bits"), F.sum("symbols").alias("symbols"), F.count("*").alias("docs"))
-    overall = means.agg((F.sum("bits") / F.sum("symbols")).alias("all_mean"))
+    scored = common.cut(scores(docs, good, id_col, text_col, lang_col))
+    held = F.pmod("text_hash", F.lit(HOLD)) == 0
     # one row for each language; a join on it would deal most documents to one task
-    average = means.crossJoin(F.broadcast(overall)).select("lang", "docs", F.when(F.col("docs") >= FEWEST, F.col("bits") / F.col("symbols")).otherwise(F.col("all_mean")).alias("mean"))
-    with_mean = scored.join(common.sized(average.select("lang", "mean")), "lang", "left").crossJoin(F.broadcast(overall)).withColumn("mean", F.coalesce("mean", "all_mean"))
-    rated = common.cut(with_mean.select("doc_id", "lang", "symbols", ((F.col("bits") + PRIOR * F.col("mean")) / (F.col("symbols") + PRIOR)).alias("rate")))
-    trusted_rates = rated.join(good, "doc_id", "left_semi").where("symbols > 0")
-    by_lang = trusted_rates.groupBy("lang").agg(F.percentile_approx("rate", quantile, 10_000).alias("own"), F.count("*").alias("docs"))
-    for_all = trusted_rates.agg(F.percentile_approx("rate", quantile, 10_000).alias("for_all"))
-    limits = rated.join(common.sized(by_lang), "lang", "left").crossJoin(F.broadcast(for_all))
+    trusted = common.cut(scored.join(good, "doc_id", "left_semi").where("symbols > 0").withColumn("held", held))
+    pool = trusted.where("held") if trusted.where("held").count() >= FEWEST else trusted
+    means = pool.groupBy("lang").agg(F.sum("bits").alias("bits"), F.sum("symbols").alias("symbols"), F.count("*").alias("docs"))
+    overall = means.agg((F.sum("bits") / F.sum("symbols")).alias("all_mean"))
+    average = means.crossJoin(F.broadcast(overall)).select("lang", F.when(F.col("docs") >= FEWEST, F.col("bits") / F.col("symbols")).otherwise(F.col("all_mean")).alias("mean"))
+    average, overall = common.sized(average), common.sized(overall)
+
+    def rated(rows: DataFrame) -> DataFrame:
+        with_mean = rows.join(average, "lang", "left").crossJoin(overall).withColumn("mean", F.coalesce("mean", "all_mean"))
+        return with_mean.select("doc_id", "lang", "text_hash", "symbols", ((F.col("bits") + PRIOR * F.col("mean")) / (F.col("symbols") + PRIOR)).alias("rate"))
+
+    sample = rated(pool)
+    by_lang = sample.groupBy("lang").agg(F.percentile_approx("rate", quantile, 10_000).alias("own"), F.count("*").alias("docs"))
+    for_all = sample.agg(F.percentile_approx("rate", quantile, 10_000).alias("for_all"))
+    limits = rated(scored).join(common.sized(by_lang), "lang", "left").crossJoin(common.sized(for_all))
     limit = MARGIN * F.when(F.col("docs") >= FEWEST, F.col("own")).otherwise(F.col("for_all"))
-    return limits.select("doc_id", "lang", "symbols", F.pow(F.lit(2.0), "rate").alias("perplexity"), F.pow(F.lit(2.0), limit).alias("threshold"), (F.col("rate").isNull() | limit.isNull() | (F.col("rate") <= limit)).alias("keep"))
+    keep = F.col("rate").isNull() | limit.isNull() | (F.col("rate") <= limit)
+    return limits.select("doc_id", "lang", "symbols", F.pow(F.lit(2.0), "rate").alias("perplexity"), F.pow(F.lit(2.0), limit).alias("threshold"), keep.alias("keep"), "text_hash")
+
+
+def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs that classify keeps, each by its own id, language and text, with all their columns."""
+    names = common.fresh_names(docs, 3)
+    gone = classify(docs, labels, id_col=id_col, text_col=text_col, lang_col=lang_col).where("not keep").select("doc_id", "lang", "text_hash").distinct().toDF(*names)
+    a, b, c = (common.column(n) for n in names)
+    same = common.column(id_col).cast("long").eqNullSafe(a) & (F.coalesce(common.column(lang_col).cast("string"), F.lit("und")) == b) & (_row_hash(common.column(text_col).cast("string")) == c)
+    # both sides shuffled at any size, as the set of rejected rows grows with the corpus
+    return docs.hint("merge").join(gone, same, "left_anti")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
+    """Every document with its perplexity, its language's threshold and the decision."""
+    return classify(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels")).drop("text_hash")

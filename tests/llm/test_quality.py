@@ -2,20 +2,21 @@ import math
 import random
 from collections import Counter, defaultdict
 
-import numpy as np
+import xxhash
 
-from bytefacts.llm.quality import ORDER, SYMBOLS, TABLE, classify, codes, ngram_counts, train
+from bytefacts.llm.quality import ORDER, classify, codes, counted, kept, scores
 
-from .helpers import edge_docs, got, no_docs, words
+from .helpers import edge_docs, edge_rows, got, no_docs, words
+
+
+def grams(text):
+    x = b"\n" * (ORDER - 1) + text.encode()
+    return [x[i : i + ORDER] for i in range(len(x) - ORDER + 1)]
 
 
 def plain_model(texts):
     """Modified Kneser-Ney by dictionaries: {n-gram: -log2 p} as a function."""
-    counts = Counter()
-    for t in texts:
-        x = [29] * (ORDER - 1) + [int(TABLE[b]) for b in t.encode()]
-        counts.update(tuple(x[i : i + ORDER]) for i in range(len(x) - ORDER + 1))
-    levels = {ORDER: dict(counts)}
+    levels = {ORDER: dict(Counter(g for t in texts for g in grams(t)))}
     for n in range(ORDER - 1, 0, -1):
         levels[n] = dict(Counter(g[1:] for g in levels[n + 1]))
     rules = {}
@@ -31,7 +32,7 @@ def plain_model(texts):
 
     def p(g):
         if not g:
-            return 1 / SYMBOLS
+            return 1 / 256
         c, d, total, mass = rules[len(g)]
         if not total[g[:-1]]:
             return p(g[1:])
@@ -41,30 +42,87 @@ def plain_model(texts):
     return lambda g: -math.log2(p(g))
 
 
-def test_counts_and_probabilities_equal_dictionaries(spark):
+def text_hash(text):
+    return xxhash.xxh64_intdigest((text or "").encode(), 42)
+
+
+def plain_scores(rows, good):
+    """(doc_id, symbols, bits) by dictionaries: trained on trusted rows that are not held out."""
+    trained = [t or "" for i, t in rows if i in good and (text_hash(t) - (1 << 64) * (text_hash(t) >> 63)) % 5]
+    cost = plain_model(trained)
+    return [(i, len((t or "").encode()), sum(map(cost, grams(t or "")))) for i, t in rows]
+
+
+def same(found, want):
+    assert len(found) == len(want)
+    for a, b in zip(sorted(found, key=repr), sorted(want, key=repr), strict=True):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-4 * (1 + b[2]), (a, b)
+
+
+SCRIPTS = ["слово за слово и снова дело", "λόγος και πάλι λόγος", "日本語の文章です。日本語", "한국어 문장 한국어", "كلمة بعد كلمة"]
+
+
+def test_codes():
+    for texts in (["abc", "", "de", ""], [""], ["", ""], ["Aé\n日"], []):
+        want = [int.from_bytes(g, "big") for t in texts for g in grams(t)]
+        assert codes([t.encode() for t in texts]).tolist() == want
+    code, n = counted([b"aaaa", b"ab"], [b"zz", b"a"])
+    want = Counter(int.from_bytes(g, "big") for t in ("aaaa", "ab") for g in grams(t))
+    assert dict(zip(code.tolist(), n.tolist(), strict=True)) == want | {int.from_bytes(g, "big"): 0 for g in grams("zz")}
+
+
+def test_scores_equal_dictionaries_in_every_script_and_blocking(spark):
     r = random.Random(1)
-    texts = [words(r, 40) for _ in range(30)] + ["Aé 12,\n!"]
-    frame = spark.createDataFrame([(t,) for t in [*texts, None]], "text string").repartition(3)
-    table, model = train(frame), plain_model(texts)
-    want = Counter(c for t in texts for c in codes(t).tolist())
-    assert dict(got(ngram_counts(frame))) == want
-    for code in [*list(want)[:200], *(r.randrange(SYMBOLS**ORDER) for _ in range(300))]:
-        g = tuple(code // SYMBOLS**k % SYMBOLS for k in reversed(range(ORDER)))
-        assert abs(table[code] - model(g)) < 1e-4
-    assert np.allclose((2.0 ** -table.astype(np.float64)).reshape(-1, SYMBOLS).sum(axis=1), 1, atol=1e-3)
-
-
-def test_junk_goes_and_clean_text_stays(spark):
+    rows = [(i, words(r, 30)) for i in range(40)] + [(100 + i, " ".join(r.choices(s.split(), k=6))) for i, s in enumerate(SCRIPTS * 4)]
+    rows += [(200, "Aé 12,\n!"), (201, None), (202, ""), (None, "no id"), (3, "another text of id 3"), (3, rows[3][1])]
+    good = {i for i, _ in rows if i is not None and i % 2 == 0} | {101, 3}
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    ids = spark.createDataFrame([(i,) for i in good], "doc_id long")
+    want = plain_scores(rows, good)
+    for block in (1 << 20, 500):
+        same([(x.doc_id, x.symbols, x.bits) for x in scores(docs, ids, block=block).collect()], want)
+    assert {x.text_hash & (1 << 64) - 1 for x in scores(docs, ids).collect()} == {text_hash(t) for _, t in rows}
+
+
+def test_decisions_equal_the_definition(spark):
     r = random.Random(2)
-    rows = [(i, words(r, 60), "en" if i % 3 else None) for i in range(300)]
+    rows = [(i, words(r, 60), "en" if i % 3 else None) for i in range(300)] + [(400 + i, " ".join(r.choices(SCRIPTS[0].split(), k=40)), "ru") for i in range(150)]
     rows += [(1000 + i, " ".join(w + r.choice(["###", "$$$"]) for w in words(r, 60).split()), "en") for i in range(40)]
+    rows += [(2000 + i, "".join(r.choices("ъѣѳщ#", k=200)), "ru") for i in range(10)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)] + [(5, 1, 0), (None, 1, 0), (1000, 0, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
+    good = {*range(200), *range(400, 540)}
+    labels = spark.createDataFrame([(i, 1, 0) for i in good] + [(5, 1, 0), (None, 1, 0), (1000, 0, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
     out = {x.doc_id: x for x in classify(docs, labels).collect()}
     assert len(out) == len(rows)
-    assert not any(out[1000 + i].keep for i in range(40))
-    assert sum(out[i].keep for i in range(300)) >= 297
-    assert out[0].lang == "und"
+    assert not any(out[i].keep for i in out if i >= 1000)
+    assert sum(out[i].keep for i in out if i < 1000) >= 0.98 * 450
+    # rates and thresholds by plain arithmetic
+    bits, lang = {i: (n, b) for i, n, b in plain_scores([x[:2] for x in rows], good)}, {i: x or "und" for i, _, x in rows}
+    held = [i for i, t, _ in rows if i in good and (text_hash(t) - (1 << 64) * (text_hash(t) >> 63)) % 5 == 0]
+    by = defaultdict(list)
+    for i in held:
+        by[lang[i]].append(i)
+    mean = lambda ids: sum(bits[i][1] for i in ids) / sum(bits[i][0] for i in ids)
+    rate = {i: (bits[i][1] + 150 * mean(by[lang[i]] if len(by[lang[i]]) >= 20 else held)) / (bits[i][0] + 150) for i in bits}
+    for i, x in out.items():
+        pool = by[lang[i]] if len(by[lang[i]]) >= 20 else held
+        limit = 1.02 * max(rate[j] for j in pool)  # the 0.999 quantile of under 1000 rows
+        assert abs(math.log2(x.perplexity) - rate[i]) < 1e-3 and abs(math.log2(x.threshold) - limit) < 1e-3
+        assert x.keep == (rate[i] <= limit) or abs(rate[i] - limit) < 1e-3
+
+
+def test_rows_of_one_id_are_decided_by_their_own_texts(spark):
+    r = random.Random(3)
+    schema = "doc_id long, text string, lang string, `a.b` int, __drop string, own_0 map<string,int>"
+    rows = [(i, words(r, 60), "en", i, "x", {"k": i}) for i in range(120)]
+    junk = [" ".join(w + "#$#" for w in words(r, 60).split()) for _ in range(3)]
+    rows += [(5, junk[0], "en", 1, None, None), (None, junk[1], None, 2, None, None), (None, words(r, 60), None, 3, None, None), (6, None, "en", 4, None, None), (6, junk[2], "en", 5, None, None)]
+    rows += rows[7:8]
+    docs = spark.createDataFrame(rows, schema)
+    labels = spark.createDataFrame([(i, 1) for i in range(10, 110)], "doc_id long, quality int")
+    left = kept(docs, labels)
+    assert left.columns == docs.columns
+    assert got(left) == sorted((x for x in map(tuple, docs.collect()) if x[1] not in junk), key=repr)
 
 
 def test_edge_cases(spark):
@@ -73,6 +131,7 @@ def test_edge_cases(spark):
     out = classify(docs, labels)
     assert out.count() == docs.count()
     assert out.where("doc_id in (0, 1) and not keep").count() == 0
-    assert got(classify(no_docs(spark), labels)) == []
+    assert got(classify(no_docs(spark), labels)) == [] and got(kept(no_docs(spark), labels)) == []
     untaught = classify(docs, labels.limit(0))
     assert untaught.count() == docs.count() and untaught.where("not keep").count() == 0
+    assert kept(docs, labels.limit(0)).count() == len(edge_rows())
