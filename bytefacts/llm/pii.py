@@ -58,10 +58,10 @@ def base_spans(text: str) -> list[Span]:
 
 # The network. Tags: 0 outside, 1 + 2k begins kind k, 2 + 2k goes on with it.
 TAGS = 1 + 2 * len(KINDS)
-HIDDEN, EMBED = 24, 12
+HIDDEN, EMBED = 16, 12
 #: Windows that texts are read in, and those that are trained on.
-WINDOW, STRIDE, LESSON = 256, 192, 128
-TRAIN_WINDOWS, EPOCHS, BATCH = 2400, 8, 32
+WINDOW, STRIDE, LESSON = 256, 216, 128
+TRAIN_WINDOWS, EPOCHS, BATCH = 3200, 8, 32
 _CLASSES = "abcdefghijklmnopqrstuvwxyz0123456789 \n.,:;!?@+-_()[]/\\'\"=#*|<>&$%"
 SYMBOLS = len(_CLASSES) + 4
 
@@ -202,32 +202,40 @@ class BiLstmCrf:
         return (em, (x, both, tape)) if keep else em
 
     def read(self, ids: np.ndarray) -> np.ndarray:
-        """emissions() for reading only: inputs of each symbol worked out once, gates in planes, sigmoids as tanh of halved inputs."""
+        """emissions() less that of tag 0, as time x batch x TAGS - 1, for reading only.
+
+        Inputs of each symbol are worked out once, gates lie in planes, sigmoids are (1 + tanh of half) / 2, with the
+        halves of the output gate left to the weights: h here is twice the state.
+        """
         b, n = ids.shape
         steps = np.ascontiguousarray(ids.T)
         half = np.array([0.5, 0.5, 0.5, 1], np.float32)[:, None, None]
         planes = lambda m: np.ascontiguousarray(m.reshape(2, -1, 4, HIDDEN).transpose(0, 2, 1, 3) * half, dtype=np.float32)
-        table, wh = planes(self.w["e"] @ self.w["x"] + self.w["c"][:, None]), planes(self.w["h"])
-        both = np.empty((n, b, 2 * HIDDEN), np.float32)
-        h, c, tc = (np.zeros((2, b, HIDDEN), np.float32) for _ in range(3))
+        ahead, behind = planes(self.w["e"] @ self.w["x"] + self.w["c"][:, None])
+        wh, out = planes(self.w["h"] / 2), (self.w["o"][:, 1:] - self.w["o"][:, :1]) / 2
+        h = _states(n, b)
+        h[:, 0] = 0
+        c, tc = np.zeros((2, b, HIDDEN), np.float32), np.zeros((2, b, HIDDEN), np.float32)
         z, pre = np.empty((2, 4, b, HIDDEN), np.float32), np.empty((2, 4, b, HIDDEN), np.float32)
-        gates = z[:, :3]
+        gates, i, f, o, u = z[:, :3], z[:, 0], z[:, 1], z[:, 2], z[:, 3]
         for t in range(n):
-            np.take(table[0], steps[t], axis=1, out=pre[0], mode="clip")
-            np.take(table[1], steps[n - 1 - t], axis=1, out=pre[1], mode="clip")
-            np.matmul(h[:, None], wh, out=z)
-            z += pre
-            np.tanh(z, out=z)
-            gates *= 0.5
-            gates += 0.5
-            c *= z[:, 1]
-            np.multiply(z[:, 0], z[:, 3], out=tc)
-            c += tc
-            np.tanh(c, out=tc)
-            np.multiply(tc, z[:, 2], out=h)
-            both[t, :, :HIDDEN] = h[0]
-            both[n - 1 - t, :, HIDDEN:] = h[1]
-        return (both.reshape(n * b, -1) @ self.w["o"] + self.w["ob"]).reshape(n, b, TAGS)
+            ahead.take(steps[t], 1, pre[0], "clip")
+            behind.take(steps[n - 1 - t], 1, pre[1], "clip")
+            np.matmul(h[:, None, t], wh, out=z)
+            np.add(z, pre, z)
+            np.tanh(z, z)
+            np.add(gates, 1, gates)
+            np.multiply(c, f, c)
+            np.multiply(i, u, tc)
+            np.add(c, tc, c)
+            np.multiply(c, 0.5, c)
+            np.tanh(c, tc)
+            np.multiply(tc, o, h[:, t + 1])
+        first, second = h[0, 1:].reshape(n * b, -1) @ out[:HIDDEN], h[1, 1:].reshape(n * b, -1) @ out[HIDDEN:]
+        em = first.reshape(n, b, -1)
+        em += second.reshape(n, b, -1)[::-1]
+        em += self.w["ob"][1:] - self.w["ob"][0]
+        return em
 
     def _back(self, x: np.ndarray, tape: list, dout: np.ndarray, grad: dict) -> np.ndarray:
         wh, (_, n, b, _) = self.w["h"].transpose(0, 2, 1), x.shape
@@ -297,6 +305,12 @@ class BiLstmCrf:
         return best
 
 
+@functools.lru_cache(maxsize=1)
+def _states(n: int, b: int) -> np.ndarray:
+    """Room for the states of read(), used again for the next windows."""
+    return np.empty((2, n + 1, b, HIDDEN), np.float32)
+
+
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     m = x.max(axis=axis, keepdims=True)
     return np.log(np.exp(x - m).sum(axis=axis)) + m.squeeze(axis)
@@ -341,39 +355,43 @@ RIM = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.f
 
 
 def blended(texts: list[str], net: BiLstmCrf, block: int = 512) -> list[np.ndarray]:
-    """Emissions of each whole text (code points x TAGS): those of its windows, weighed by RIM where they overlap."""
+    """Emissions of each whole text less that of tag 0 (TAGS - 1 x code points): those of its windows, weighed by RIM where they overlap."""
     first = np.cumsum([0, *map(len, texts)])
-    ids = symbols("".join(texts))
-    total, weight = np.zeros((len(ids), TAGS), np.float32), np.zeros(len(ids), np.float32)
+    ids = np.append(symbols("".join(texts)), np.zeros(WINDOW, dtype=np.int64))
+    total, weight = np.zeros((TAGS - 1, first[-1]), np.float32), np.zeros(first[-1], np.float32)
+    views = np.lib.stride_tricks.sliding_window_view(ids, WINDOW)
     jobs = [(first[i] + a, min(WINDOW, len(t))) for i, t in enumerate(texts) for a in window_starts(len(t))]
-    inside = np.arange(WINDOW)
     for at in range(0, len(jobs), block):
         part = jobs[at : at + block]
-        start, size = np.array(part).T
-        real = inside < size[:, None]
-        em = np.ascontiguousarray(net.read(np.where(real, ids[np.where(real, start[:, None] + inside, 0)], 0)).transpose(1, 0, 2))
-        em *= RIM[:, None]
+        seen = views[[a for a, _ in part]]
+        for row, (_, n) in zip(seen, part, strict=True):
+            row[n:] = 0
+        em = net.read(seen)
+        em *= RIM[:, None, None]
+        em = np.ascontiguousarray(em.transpose(1, 2, 0))
         for (a, n), e in zip(part, em, strict=True):
-            total[a : a + n] += e[:n]
+            total[:, a : a + n] += e[:, :n]
             weight[a : a + n] += RIM[:n]
-    total /= np.maximum(weight, 1)[:, None]
-    return [total[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+    total /= np.maximum(weight, 1)
+    return [total[:, a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
-def undecided(em: np.ndarray, tr: np.ndarray) -> list[tuple[int, int]]:
-    """Stretches (end exclusive) outside which the best tag sequence of the whole text is proven to be 0.
+def undecided(gain: np.ndarray, tr: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches (end exclusive) outside which the best tag sequence of the whole text is proven to be 0; gain as of blended.
 
     Spans are runs of one kind with 0 before and after, so what a run adds to a sequence of 0 is a start, a sum of what its places
     add, and an end. Where no run of any kind through a place adds anything, the best sequence has 0 there.
     """
-    open_ = np.zeros(len(em), dtype=bool)
-    base = em[:, 0].astype(np.float64) + tr[0, 0]
+    first, inner = np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
+    begin, more, end = tr[0, first] - tr[0, 0], np.maximum(tr[first, inner], tr[inner, inner]) - tr[0, 0], np.maximum(tr[first, 0], tr[inner, 0]) - tr[0, 0]
+    open_ = np.zeros(gain.shape[1], dtype=bool)
     for k in range(len(KINDS)):
-        b, i = 1 + 2 * k, 2 + 2 * k
-        on = np.cumsum(em[:, i] + max(tr[b, i], tr[i, i]) - base)
-        start = em[:, b] + tr[0, b] - base - on
-        end = max(tr[b, 0], tr[i, 0]) - tr[0, 0]
-        open_ |= np.maximum.accumulate(start) + np.maximum.accumulate(on[::-1])[::-1] + end >= -1e-3
+        on = np.cumsum(gain[2 * k + 1] + more[k], dtype=np.float64)
+        start = gain[2 * k] - on
+        np.maximum.accumulate(start, out=start)
+        np.maximum.accumulate(on[::-1], out=on[::-1])
+        start += on
+        open_ |= start >= -1e-3 - begin[k] - end[k]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], open_, [False]]).astype(np.int8)))
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
@@ -393,9 +411,9 @@ def model_spans(texts: list[str], net: BiLstmCrf, section: int = 1 << 19) -> lis
 
 
 def _spans_of(texts: list[str], net: BiLstmCrf, block: int = 256) -> list[list[Span]]:
-    em = blended(texts, net)
+    gains = blended(texts, net)
     tr = np.where(allowed(), net.w["t"], np.float32(-1e4))
-    jobs = sorted((b - a, i, a) for i, e in enumerate(em) for a, b in undecided(e, tr))
+    jobs = sorted((b - a, i, a) for i, g in enumerate(gains) for a, b in undecided(g, tr))
     found: list[list[Span]] = [[] for _ in texts]
     at = 0
     while at < len(jobs):
@@ -404,7 +422,8 @@ def _spans_of(texts: list[str], net: BiLstmCrf, block: int = 256) -> list[list[S
         padded = np.full((part[-1][0] + 2, len(part), TAGS), np.float32(-1e4))
         padded[:, :, 0] = 0
         for j, (n, i, a) in enumerate(part):
-            padded[1 : n + 1, j] = em[i][a : a + n]
+            padded[1 : n + 1, j, 0] = 0
+            padded[1 : n + 1, j, 1:] = gains[i][:, a : a + n].T
         tags = net.decode(padded)
         for j, (n, i, a) in enumerate(part):
             found[i] += spans_of_tags(tags[1 : n + 1, j], a)
