@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -106,12 +107,38 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within, the shuffle files of a finished query are removed at once, not when the driver next collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage: writes df to the shared checkpoint folder, from where any executor can read it again."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    with tidy(spark):
+        return df.checkpoint()
+
+
+@contextlib.contextmanager
+def stored(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """df, written once as a table in the shared folder, which is deleted at the end of the block."""
+    spark, at = df.sparkSession, fresh_path(df.sparkSession, name)
+    try:
+        with tidy(spark):
+            df.write.parquet(at)
+        yield spark.read.schema(df.schema).parquet(at)
+    finally:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def sized(df: DataFrame, most: int = 10_000) -> DataFrame:

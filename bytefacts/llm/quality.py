@@ -1,11 +1,11 @@
 """Quality classifier: an interpolated modified Kneser-Ney model over bytes, trained on trusted text.
 
 N-grams are the ORDER bytes of UTF-8 that end at each byte, as one number, so text of every script is modelled and the
-counts grow with the corpus. Documents are dealt once, by a hash, to blocks of about BLOCK bytes. A first pass over the blocks
+counts grow with the corpus. Documents are dealt, by a hash, to blocks of about BLOCK bytes. A first pass over the blocks
 gives each block's distinct n-grams with their counts in trusted documents; sums by n-gram are the sharded counts, and
-all lower orders, discounts, context totals and probabilities are aggregates and joins of these tables. The probabilities are joined
-to the n-grams of each block, go back to it, and a second pass over the same shuffled blocks sums each document's
-bits. No table of n-grams is broadcast or gathered, and texts are shuffled once (compressed).
+all lower orders, discounts, context totals and probabilities are aggregates and joins of these tables. The bits are joined to the
+n-grams of each block, go back to it, and a second pass over the blocks sums each document's bits. No table of n-grams is
+broadcast or gathered.
 
 Trusted documents are those labelled quality = 1. One in HOLD of them, by a hash of the text, is held out of the counts, and each
 language's threshold is a quantile of its held-out documents, times MARGIN; a document above it is rejected.
@@ -135,13 +135,13 @@ def _bits(block: pa.Table, known: pa.Table) -> pa.Table:
 
 
 def levels(counts: DataFrame) -> list[DataFrame]:
-    """(code, n) of every order from 1 to ORDER: n-grams asked for, those never seen with n = 0.
+    """(code, n) of every order from 1 to ORDER, each written once: n-grams asked for, those never seen with n = 0.
 
     The highest order has counts; lower ones count in how many contexts an n-gram goes on (continuation counts).
     """
-    out = [counts]
+    out = [common.cut(counts)]
     for order in range(ORDER - 1, 0, -1):
-        out.append(out[-1].groupBy((F.col("code") % 256**order).alias("code")).agg(F.count(F.when(F.col("n") > 0, 1)).alias("n")))
+        out.append(common.cut(out[-1].groupBy((F.col("code") % 256**order).alias("code")).agg(F.count(F.when(F.col("n") > 0, 1)).alias("n"))))
     return out[::-1]
 
 
@@ -163,7 +163,7 @@ def probabilities(counts: DataFrame) -> DataFrame:
     for order, level in enumerate(levels(counts), 1):
         d = F.when(F.col("n") == 0, 0.0).when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         # one row is broadcast
-        rows = level.crossJoin(F.broadcast(discounts(level))).select("code", F.shiftright("code", 8).alias("context"), "n", d.alias("d"))
+        rows = level.crossJoin(F.broadcast(common.cut(discounts(level)))).select("code", F.shiftright("code", 8).alias("context"), "n", d.alias("d"))
         totals = rows.groupBy("context").agg(F.sum("n").cast("double").alias("total"), F.sum("d").alias("mass"))
         rows = rows.join(totals, "context")
         lower = F.lit(1 / 256)
@@ -171,15 +171,15 @@ def probabilities(counts: DataFrame) -> DataFrame:
             rest = p.select(F.col("code").alias("rest"), F.col("p").alias("lower"))
             rows, lower = rows.withColumn("rest", F.col("code") % 256 ** (order - 1)).join(rest, "rest"), F.col("lower")
         seen = F.col("total") > 0
-        p = rows.select("code", F.when(seen, (F.col("n") - F.col("d")) / F.col("total") + F.col("mass") / F.col("total") * lower).otherwise(lower).alias("p"))
+        p = common.cut(rows.select("code", F.when(seen, (F.col("n") - F.col("d")) / F.col("total") + F.col("mass") / F.col("total") * lower).otherwise(lower).alias("p")))
     return p
 
 
 def scores(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", block: int = BLOCK) -> DataFrame:
     """doc_id, lang, text_hash, symbols, bits: per row the bytes of its whole text and their bits under the model of trusted text.
 
-    good: (doc_id), the distinct trusted ids. A null language is 'und'. One plan: the blocks and their n-grams are exchanged once
-    each and used by all that follows.
+    good: (doc_id), the distinct trusted ids. A null language is 'und'. Texts are dealt to their blocks twice, compressed, and
+    the shuffle files of the first pass are removed before the second; in between only n-grams by block are written.
     """
     common.ship(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(common.column(text_col).cast("string")))).first()[0] or 0
@@ -187,10 +187,12 @@ def scores(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: s
     blocks = _blocks(docs, n, id_col, text_col, lang_col)
     dealt = good.select(F.col("doc_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).alias("salt"))
     dealt = dealt.select(F.pmod(F.xxhash64("doc_id", "salt"), F.lit(n)).alias("block"), "doc_id")
-    grams = blocks.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(_grams, "block long, code long, n long").repartition("code")
-    known = probabilities(grams.groupBy("code").agg(F.sum("n").alias("n")))
-    answers = grams.join(known, "code").select("block", "code", (-F.log2("p")).cast("float").alias("bits"))
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_bits, "doc_id long, lang string, text_hash long, symbols long, bits double")
+    grams = blocks.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(_grams, "block long, code long, n long")
+    with common.stored(grams, "grams") as grams:
+        known = probabilities(grams.groupBy("code").agg(F.sum("n").alias("n")))
+        # both sides shuffled at any size, as both grow with the corpus
+        answers = grams.select("block", "code").hint("merge").join(known, "code").select("block", "code", (-F.log2("p")).cast("float").alias("bits"))
+        return common.cut(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_bits, "doc_id long, lang string, text_hash long, symbols long, bits double"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -203,7 +205,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_
     trusted ones set the threshold.
     """
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    scored = common.cut(scores(docs, good, id_col, text_col, lang_col))
+    scored = scores(docs, good, id_col, text_col, lang_col)
     held = F.pmod("text_hash", F.lit(HOLD)) == 0
     # one row for each language; a join on it would deal most documents to one task
     trusted = common.cut(scored.join(good, "doc_id", "left_semi").where("symbols > 0").withColumn("held", held))

@@ -256,7 +256,7 @@ def similar(sets: list[np.ndarray], similarity: float):
 
 
 def _links_of_groups(near_of):
-    """Rows (group columns g0 .. g3, node, payload), sorted by group -> links (a, b) of a forest of each group."""
+    """Rows (group columns g0 .. g3, node, payload), sorted by group and node -> links (a, b) of a forest of each group's nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, nodes, load = None, [], []
@@ -280,8 +280,9 @@ def _links_of_groups(near_of):
                 if g != group:
                     close()
                     group, nodes, load = g, [], []
-                nodes.append(node)
-                load.append(payload)
+                if not nodes or node != nodes[-1]:
+                    nodes.append(node)
+                    load.append(payload)
             yield taken()
         close()
         yield taken()
@@ -311,7 +312,7 @@ def _meetings(rows: DataFrame, group: list[str], parts: str) -> DataFrame:
     dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1)))
     dealt = dealt.select(*g, F.least("own", other).alias("g2"), F.greatest("own", other).alias("g3"), "node", "payload")
     at = ["g0", "g1", "g2", "g3"]
-    return dealt.repartition(*at).sortWithinPartitions(*at)
+    return dealt.repartition(*at).sortWithinPartitions(*at, "node")
 
 
 def candidate_classes(nodes: DataFrame, tau: int) -> DataFrame:
@@ -323,52 +324,79 @@ def candidate_classes(nodes: DataFrame, tau: int) -> DataFrame:
     return connected_components(links_).select("node", F.col("component").alias("class"))
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of documents linked by shingle sets of at least `similarity`, by exact Jaccard similarity.
+def _row_hash(text: str) -> int:
+    """What Spark's xxhash64 gives for a string."""
+    return int(np.uint64(xxhash.xxh64_intdigest(text.encode(), 42)).view(np.int64))
 
-    At this similarity fingerprints differ in too many bits for keys of equal segments, so documents meet if one of
-    BANDS keys of ROWS smallest shingle values each is the same (a pair of similarity 0.8 meets but for one in 5,000).
-    Equal sets are one node. All nodes of a block are compared by fingerprints of 256 bits, with a wide
-    margin; what these leave together is a class, and within a class links are decided by the sets themselves.
-    Large blocks and classes are dealt in parts, every two of which meet in a task: none is gathered, and no pair is left out.
-    Rows with a null id take no part; null texts count as empty, and texts without words are copies of each other.
-    """
+
+def _classified(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """Per row: doc_id, text_hash, component (a number of its group of near copies)."""
     common.ship(docs.sparkSession)
 
     def kernel(ids: list, texts: list) -> dict:
         made = [sketch(t, words) for t in texts]
-        return {"doc_id": ids, "prints": [p.tobytes() for p, *_ in made], "bands": [k.view(np.int64).tolist() for _, k, *_ in made], "node": [m[2] for m in made], "size": [m[3] for m in made]}
+        columns = {"prints": [p.tobytes() for p, *_ in made], "bands": [k.view(np.int64).tolist() for _, k, *_ in made], "node": [m[2] for m in made], "size": [m[3] for m in made]}
+        return {"doc_id": ids, "text_hash": [_row_hash(t) for t in texts]} | columns
 
-    made = common.cut(common.map_texts(docs, "doc_id long, prints binary, bands array<long>, node long, size long", kernel, id_col, text_col).where("doc_id is not null"))
-    nodes = common.cut(made.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("prints").alias("prints"), F.first("bands").alias("bands"), F.first("size").alias("size")))
-    classes = common.cut(nodes.join(candidate_classes(nodes, wide_tau(similarity)), "node").select("doc_id", "node", "class", "size"))
+    made = common.cut(common.map_texts(docs, "doc_id long, text_hash long, prints binary, bands array<long>, node long, size long", kernel, id_col, text_col))
+    firsts = (F.first(c).alias(c) for c in ("prints", "bands", "size"))
+    nodes = common.cut(made.groupBy("node").agg(F.min(_row_key()).alias("row"), *firsts))
+    classes = common.cut(nodes.join(candidate_classes(nodes, wide_tau(similarity)), "node").select("row", "node", "class", "size"))
     parts = classes.groupBy("class").agg(F.ceil(F.sum("size") / PART_SHINGLES).cast("long").alias("parts"))
-    members = classes.join(parts, "class").select(F.col("doc_id").alias("__id"), F.col("node").alias("__node"), F.col("class").alias("__class"), F.greatest("parts", F.lit(1)).alias("__parts"))
-    # texts of class members only; both sides shuffled at any size, as members grow with the corpus
-    texts = common.documents(docs, id_col, text_col).hint("merge").join(members, F.col("doc_id") == F.col("__id")).select("text", "__node", "__class", "__parts")
+    members = classes.join(parts, "class").select("row.*", F.col("node").alias("__node"), F.col("class").alias("__class"), F.greatest("parts", F.lit(1)).alias("__parts"))
+    # texts of class members only, one for each node; both sides shuffled at any size, as members grow with the corpus
+    texts = common.documents(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("text_hash", F.xxhash64("text"))
+    texts = texts.select(_row_key().alias("row"), "text").select("row.*", "text").hint("merge").join(members, ROW).select("text", "__node", "__class", "__parts")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, "text"):
-                found = [_hashes(shingles(t or "", words)) for t in part.column("text").to_pylist()]
-                # rows of one id may have other texts
-                own = pa.array([set_id(h) == n for h, n in zip(found, part.column("__node").to_pylist(), strict=True)], type=pa.bool_())
-                columns = [part.column("__class"), part.column("__parts"), part.column("__node"), pa.array([h.tobytes() for h in found], type=pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["class", "parts", "node", "payload"]).filter(own)
+                found = pa.array([_hashes(shingles(t, words)).tobytes() for t in part.column("text").to_pylist()], type=pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("__class"), part.column("__parts"), part.column("__node"), found], names=["class", "parts", "node", "payload"])
 
     rows = texts.mapInArrow(sets, "class long, parts long, node long, payload binary")
     links_ = _meetings(rows, ["class"], "parts").mapInArrow(_links_of_groups(_similar_sets(similarity)), "a long, b long")
-    joined = connected_components(links_)
-    named = nodes.join(joined, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
-    first = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return made.select("doc_id", "node").join(named.join(first, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
+    joined = connected_components(links_).withColumnRenamed("node", "__node")
+    return made.join(joined, F.col("node") == F.col("__node"), "left").select("doc_id", "text_hash", F.coalesce("component", "node").alias("component"))
+
+
+#: What tells rows apart: the id (0 for null, which comes after all others), and the text.
+ROW = ["no_id", "id", "text_hash"]
+
+
+def _row_key() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash"))
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) per row of docs: rows linked by shingle sets of at least `similarity`, by exact Jaccard similarity.
+
+    At this similarity fingerprints differ in too many bits for keys of equal segments, so documents meet if one of
+    BANDS keys of ROWS smallest shingle values each is the same (a pair of similarity 0.8 meets but for one in 5,000).
+    Equal sets are one node. All nodes of a block are compared by fingerprints of 256 bits, with a wide
+    margin; what these leave together is a class, and within a class links are decided by the sets themselves.
+    Large blocks and classes are dealt in parts, every two of which meet in a task: none is gathered, and no pair is left out.
+    Rows, not ids, are linked: rows of one id may have other texts and other components. Rows with a null id take part; a component is
+    named after its smallest id, null if it has none. Null texts count as empty, texts without words are copies of each
+    other; repeated rows stay, extra columns are ignored, an empty table gives an empty one.
+    """
+    rows = _classified(docs, words, similarity, id_col, text_col)
+    first = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(first, "component").select("doc_id", "component_id")
 
 
 def first_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without near copies: of each component the row of the smallest id stays, once; rows with a null id stay."""
-    drop = near_copies(docs, words, similarity, id_col, text_col).where("doc_id != component_id").select(F.col("doc_id").alias("__drop")).distinct()
-    left = docs.join(drop, common.column(id_col).cast("long") == F.col("__drop"), "left_anti")
-    return left.dropDuplicates() if not any(t.startswith("map") for _, t in docs.dtypes) else left
+    """docs without near copies: of each component one row stays, one of the smallest id (a null id only where there is no other).
+
+    Rows are told apart by id and text, so a row goes for its own text only. All columns stay, whatever their names and types.
+    """
+    rows = _classified(docs, words, similarity, id_col, text_col)
+    stay = common.cut(rows.groupBy("component").agg(F.min(_row_key()).alias("row")).select("row.*"))
+    names = common.fresh_names(docs, len(ROW))
+    doc_id, text = common.column(id_col).cast("long"), F.coalesce(common.column(text_col).cast("string"), F.lit(""))
+    keyed = docs.withColumns(dict(zip(names, (doc_id.isNull(), F.coalesce(doc_id, F.lit(0)), F.xxhash64(text)), strict=True)))
+    # both sides shuffled at any size, as what stays grows with the corpus; repeated rows meet where the join has put them
+    return keyed.hint("merge").join(stay.toDF(*names), names, "left_semi").dropDuplicates(names).select([common.column(c) for c in docs.columns])
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,6 +109,7 @@ def test_near_copies_leave_one_of_each_group(spark):
     assert all(classes_[1000 + i] == 1000 + i for i in range(60))
     left = sorted((r.doc_id for r in first_of_each(docs).collect()), key=repr)
     assert left == sorted([0, *(1000 + i for i in range(60)), 2001, None, 3000], key=repr)
+    assert classes_[None] is None
     assert got(first_of_each(no_docs(spark))) == []
 
 
@@ -175,3 +176,37 @@ def test_links_of_near_copies_are_exact_similarity(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got_ = dict(near_copies(docs).collect())
     assert [got_[i] for i in range(len(texts))] == want
+
+
+def test_rows_are_dropped_for_their_own_texts(spark):
+    """Repeated ids with other texts, null ids, repeated rows, and columns of clashing names and any type, against all pairs."""
+    a, b, c = "text a of some words here", "another text b of other words", "and c is again something else"
+    schema = "doc_id long, text string, `a.b` array<map<string,int>>, __drop string, own_0 int, text_hash long, id int, node struct<x:map<string,int>>"
+    rest = ([{"k": 1}], "x", 1, 2, 3, ({"y": 1},))
+    rows = [(3, b), (7, a), (7, b), (9, a), (7, a), (None, c), (None, c), (None, a), (11, c), (12, None), (None, ""), (-5, "lone text that has no copy at all")]
+    docs = spark.createDataFrame([(*x, *rest) for x in rows], schema).repartition(3)
+    left = first_of_each(docs)
+    assert left.columns == docs.columns and left.schema == docs.schema
+    assert sorted((x.doc_id, x.text) for x in left.collect()) == [(-5, rows[-1][1]), (3, b), (7, a), (11, c), (12, None)]
+    only = first_of_each(docs.where("doc_id is null")).collect()
+    assert sorted(x.text for x in only) == ["", c, a]
+    assert got(near_copies(docs)) == sorted([(3, 3), (7, 7), (7, 3), (9, 7), (7, 7), (None, 11), (None, 11), (None, 7), (11, 11), (12, 12), (None, 12), (-5, -5)], key=repr)
+
+
+def test_recall_against_all_pairs(spark):
+    """A mix of groups, chains of copies and unrelated texts in both small and large blocks: exactly what all pairs give."""
+    r, texts = random.Random(21), []
+    for _ in range(40):
+        base = words(r, r.choice([8, 30, 90, 300])).split(" ")
+        for _ in range(r.choice([1, 2, 6])):
+            w = list(base)
+            for _ in range(r.choice([0, 1, 3])):
+                w[r.randrange(len(w))] = f"n{r.randrange(99)}"
+            texts.append(" ".join(w))
+    texts += ["", "one", "one two three four", "one two three four five"]
+    want = jaccard_classes(texts)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got_ = dict(near_copies(docs).collect())
+    assert [got_[i] for i in range(len(texts))] == want
+    left = {x.doc_id for x in first_of_each(docs).collect()}
+    assert left == set(want)
