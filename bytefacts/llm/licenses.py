@@ -1,7 +1,7 @@
 """License scans by ordered signature rules, in DataFrame functions alone.
 
 A text's words (runs of letters, digits and characters beyond ASCII, A-Z in lower case) are joined by
-single spaces, with one space at either end; rules are regular expressions over that form and match
+single spaces, with one space at either end; rules (license_rules.py) are regular expressions over that form and match
 whole words. A rule is tried only if its keyword occurs. Detections are ordered by
 start, longest first, then priority, and one that lies within a kept one of the same or a better
 priority is suppressed. Everything happens within a row: no shuffle, no join, no Python.
@@ -15,9 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytefacts.llm import common
+from bytefacts.llm.license_rules import HAND, commons
 
 #: Phrases that count as base places, with their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+#: Put before matches; no word holds it.
+MARK = "\x01"
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -30,78 +33,13 @@ class Rule:
     confidence: float
 
 
-#: label, name as words, version as words (or none): licenses that rules are made for.
-FAMILIES = [
-    ("apache-2.0", "apache", "2 0"), ("apache-1.1", "apache", "1 1"), ("apache-1.0", "apache", "1 0"),
-    ("gpl-3.0", "gnu general public", "3"), ("gpl-2.0", "gnu general public", "2"), ("gpl-1.0", "gnu general public", "1"),
-    ("lgpl-3.0", "gnu lesser general public", "3"), ("lgpl-2.1", "gnu lesser general public", "2 1"), ("lgpl-2.0", "gnu library general public", "2"),
-    ("agpl-3.0", "gnu affero general public", "3"), ("agpl-1.0", "affero general public", "1"), ("gfdl-1.3", "gnu free documentation", "1 3"), ("gfdl-1.2", "gnu free documentation", "1 2"),
-    ("mpl-2.0", "mozilla public", "2 0"), ("mpl-1.1", "mozilla public", "1 1"), ("epl-2.0", "eclipse public", "2 0"), ("epl-1.0", "eclipse public", "1 0"),
-    ("cddl-1.0", "common development and distribution", "1 0"), ("cddl-1.1", "common development and distribution", "1 1"), ("eupl-1.2", "european union public", "1 2"), ("eupl-1.1", "european union public", "1 1"),
-    ("osl-3.0", "open software", "3 0"), ("afl-3.0", "academic free", "3 0"), ("artistic-2.0", "artistic", "2 0"), ("artistic-1.0", "artistic", "1 0"), ("bsl-1.0", "boost software", "1 0"),
-    ("cpl-1.0", "common public", "1 0"), ("ipl-1.0", "ibm public", "1 0"), ("apsl-2.0", "apple public source", "2 0"), ("lppl-1.3", "latex project public", "1 3"), ("php-3.0", "php", "3 0"), ("python-2.0", "python", "2 0"), ("zpl-2.1", "zope public", "2 1"), ("ofl-1.1", "sil open font", "1 1"), ("ms-pl", "microsoft public", ""), ("ms-rl", "microsoft reciprocal", ""),
-    ("mit", "mit", ""), ("isc", "isc", ""), ("zlib", "zlib", ""), ("bsd-2-clause", "bsd 2 clause", ""), ("bsd-3-clause", "bsd 3 clause", ""), ("bsd-4-clause", "bsd 4 clause", ""), ("ncsa", "university of illinois ncsa", ""), ("postgresql", "postgresql", ""), ("unicode", "unicode", ""), ("odbl-1.0", "open data commons open database", "1 0"), ("unlicense", "unlicense", ""), ("wtfpl", "do what the fuck you want to public", ""), ("elastic-2.0", "elastic", "2 0"), ("sspl-1.0", "server side public", "1"), ("busl-1.1", "business source", "1 1"),
-]
-#: Creative Commons: label parts, their long names.
-COMMONS = [("by", "attribution"), ("by-sa", "attribution share ?alike"), ("by-nd", "attribution no ?deriv(?:ative)?s"), ("by-nc", "attribution non ?commercial"), ("by-nc-sa", "attribution non ?commercial share ?alike"), ("by-nc-nd", "attribution non ?commercial no ?deriv(?:ative)?s")]
-#: Sentences of license texts and notices which name no license: label, keyword, pattern.
-TEXTS = [
-    ("mit", "free of charge", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("mit", "as is", "the software is provided as is without warranty of any kind"),
-    ("isc", "permission to use", "permission to use copy modify and or distribute this software for any purpose"),
-    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification"),
-    ("bsd-3-clause", "endorse", "neither the name of (?:[^ ]+ ){1,8}nor the names of its contributors may be used to endorse"),
-    ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display"),
-    ("zlib", "altered source", "altered source versions must be plainly marked as such"),
-    ("gpl", "free software foundation", "under the terms of the gnu general public license as published by the free software foundation"),
-    ("lgpl", "free software foundation", "under the terms of the gnu (?:lesser|library) general public license as published by the free software foundation"),
-    ("gpl", "later version", "version [123] of the license or at your option any later version"),
-    ("public-domain", "public domain", "(?:released|placed|dedicated|is) (?:in|into|to) the public domain"),
-    ("public-domain", "unencumbered", "free and unencumbered software released into the public domain"),
-    ("proprietary", "all rights reserved", "all rights reserved"),
-    ("proprietary", "confidential", "(?:proprietary and confidential|confidential and proprietary)"),
-    ("proprietary", "unauthorized", "unauthorized (?:copying|use|distribution|reproduction)(?: [^ ]+){0,8} (?:is )?(?:strictly )?prohibited"),
-    ("cc0-1.0", "cc0", "cc0(?: 1 0)?(?: universal)?"),
-    ("cc0-1.0", "creative commons zero", "creative commons zero(?: v?1 0)?(?: universal)?"),
-]
-
-
 def rules() -> list[Rule]:
-    """The ordered rules: exact identifiers first, then full names, notices, texts, and bare names last."""
-    out: list[Rule] = []
-
-    def add(label: str, keyword: str, pattern: str, priority: int, confidence: float) -> None:
-        out.append(Rule(label, keyword, pattern, priority, confidence))
-
-    for label, name, version in FAMILIES:
-        ident = label.replace("-", " ").replace(".", " ")
-        first = name.split(" ")[-1] if name != "mit" else "mit"
-        licence = "licen[sc]es?"
-        numbered = f"(?: v| version| v ?)? ?{version}" if version else ""
-        add(label, "spdx", f"spdx license identifier {ident}(?: only| or later)?", 0, 1.0)
-        add(label, "licens", f"licens(?:e|ed) (?:under )?{ident}(?: only| or later)?", 2, 0.9)
-        if version:
-            add(label, first, f"(?:the )?{name} {licence}{numbered}(?: only| or (?:any )?later(?: version)?)?", 1, 0.95)
-            add(label, first, f"(?:licensed|released|distributed|available|published)(?: [^ ]+){{0,3}} under (?:the )?(?:terms of )?(?:the )?{name} {licence}{numbered}", 1, 0.98)
-        else:
-            add(label, first, f"(?:licensed|released|distributed|available|published)(?: [^ ]+){{0,3}} under (?:the )?(?:terms of )?(?:the )?{name} {licence}", 1, 0.98)
-        bare = label.split("-")[0] if version else label
-        add(bare, first, f"(?:the )?{name} {licence}", 3, 0.8)
-    for part, long in COMMONS:
-        words = part.replace("-", " ")
-        for version in ("1 0", "2 0", "2 5", "3 0", "4 0"):
-            label = f"cc-{part}-{version.replace(' ', '.')}"
-            add(label, "cc", f"(?:licensed under )?cc {words} {version}(?: international| unported)?", 1, 0.95)
-            add(label, "creative commons", f"creative commons {long}(?: {version}| (?:[^ ]+ ){{0,2}}licen[sc]e {version})(?: international| unported)?", 1, 0.95)
-        add(f"cc-{part}", "creative commons", f"creative commons {long}(?: licen[sc]e)?", 3, 0.75)
-        add(f"cc-{part}", "cc", f"cc {words} licen[sc]e", 3, 0.75)
-    for label, keyword, pattern in TEXTS:
-        add(label, keyword, pattern, 2, 0.85)
-    return out
+    """The ordered rules: those written by hand, then those of Creative Commons by part and version."""
+    return [Rule(*r) for r in [*HAND, *commons()]]
 
 
 #: Every rule's pattern and every base phrase holds one of these, so a text without any is done.
-STEMS = ("licen", "commons", "cc", "domain", "reserved", "confidential", "unauthorized", "permission", "redistribution", "endorse", "advertising", "altered", "warranty", "foundation")
+STEMS = ("licen", "commons", "cc", "domain", "reserved", "confidential", "unauthorized", "permission", "redistribution", "endorse", "advertising", "altered", "warranty", "foundation", "misrepresented", "openssl", "cryptographic", "evil", "jpeg", "invariant", "compile")
 
 
 def gated(text: Column) -> Column:
@@ -125,21 +63,14 @@ def normalised(text: Column) -> Column:
 
 
 def matches(norm: Column, pattern: Column | str, tag: list[Column]) -> Column:
-    """Array of structs (start, end, *tag) in characters of norm, of every match of pattern as whole words."""
+    """Array of structs (start, end, *tag), in words of norm, of every match of pattern as whole words. Linear in the text.
+
+    A mark is put before every match; a match starts at the word that has it.
+    """
     rx = F.concat(F.lit("(?<= )(?:"), pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(")(?= )"))
-    hits = F.regexp_extract_all(norm, rx, F.lit(0))
-    gaps = F.transform(F.split(norm, rx, -1), lambda s: F.length(s))
-    # the k-th match starts after the first k + 1 gaps and the first k matches
-    walked = F.aggregate(
-        F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["hit"])).alias("at"),
-            F.concat(acc["found"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["hit"])).alias("end")))).alias("found"),
-        ),
-        lambda acc: acc["found"],
-    )
-    return F.transform(walked, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), *tag))
+    words = F.split(F.regexp_replace(norm, rx, F.lit(f"{MARK}$0")), " ", -1)
+    starts = F.filter(F.transform(words, lambda w, i: F.when(w.startswith(MARK), i - 1)), lambda i: i.isNotNull())
+    return F.zip_with(starts, F.regexp_extract_all(norm, rx, F.lit(0)), lambda i, hit: F.struct(i.alias("start"), (i + F.size(F.split(hit, " ", -1))).alias("end"), *tag))
 
 
 def surviving(found: Column) -> Column:
@@ -178,8 +109,6 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     likely = F.filter(table, lambda r: F.col("norm").contains(r["keyword"]))
     found = F.flatten(F.transform(likely, lambda r: matches(F.col("norm"), r["pattern"], [r["priority"].alias("priority"), r["label"].alias("label"), r["confidence"].alias("confidence")])))
     rows = rows.withColumn("base", F.when(F.col("norm").isNotNull(), base)).withColumn("kept", F.when(F.col("norm").isNotNull(), surviving(found)))
-    # words before a place: the spaces before it, less the one at the start
-    word_at = lambda start: (F.size(F.split(F.substring(F.col("norm"), F.lit(1), start), " ", -1)) - 2).cast("long")
     starts = F.transform("base", lambda m: m["start"])
     some = F.size("base") > 0
     base_labels = F.array_sort(F.array_distinct(F.transform("base", lambda m: m["label"])))
@@ -189,8 +118,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "doc_id",
         "n_words",
         F.when(some, F.size("base")).otherwise(0).cast("long").alias("n_base"),
-        F.when(some, word_at(F.array_min(starts))).alias("first_word"),
-        F.when(some, word_at(F.array_max(starts))).alias("last_word"),
+        F.when(some, F.array_min(starts)).cast("long").alias("first_word"),
+        F.when(some, F.array_max(starts)).cast("long").alias("last_word"),
         F.coalesce(F.array_join(base_labels, ","), F.lit("")).alias("base_labels"),
         F.coalesce(F.array_join(labels, ","), F.lit("")).alias("labels"),
         F.coalesce(best, F.lit(0.0)).alias("score"),
