@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bytefacts.session import cut
+
 LINKS = ("resolved", "absent", "duplicate", "dynamic", "unsupported", "limit_exceeded")
 
 
@@ -106,13 +108,20 @@ def with_windows(callers: DataFrame, windows: DataFrame, key: list[str]) -> Data
 
 
 def binding_chain(binds: DataFrame, most: int = 128) -> DataFrame:
-    """(source, target, hops): every pair along an acyclic `binds` relation (source, target), hop by hop up to `most`."""
-    step = binds.select(F.col("source").alias("s"), F.col("target").alias("t"))
-    out = binds.select("source", "target", F.lit(1).alias("hops"))
-    last = out
-    for hop in range(2, most + 1):
-        last = last.join(step, F.col("target") == F.col("s")).select("source", F.col("t").alias("target"), F.lit(hop).alias("hops")).distinct()
-        if last.isEmpty():
-            break
-        out = out.unionByName(last)
-    return out
+    """(source, target, hops): every pair along an acyclic `binds` relation (source, target).
+
+    Paths of 1 to k hops joined to those of k hops give those of up to 2k: the number of rounds is the logarithm of the longest, and each
+    is written before the next. A chain longer than `most`, such as a cycle, raises ValueError.
+    """
+    pair = ["source", "target", "hops"]
+    out = cut(binds.select("source", "target", F.lit(1).alias("hops")).distinct())
+    reach = 1
+    while True:
+        last = out.where(F.col("hops") == reach).select(F.col("source").alias("from"), F.col("target").alias("source"), F.lit(reach).alias("so_far"))
+        more = last.join(out, "source").select(F.col("from").alias("source"), "target", (F.col("so_far") + F.col("hops")).alias("hops")).distinct()
+        more = cut(more)
+        if more.isEmpty():
+            return out
+        if reach >= most:
+            raise ValueError(f"a chain of more than {most} bindings")
+        out, reach = cut(out.unionByName(more.select(pair))), 2 * reach

@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bytefacts.functions import ids, words
-from bytefacts.operators import callees, lift, lift54, origins, relations
+from bytefacts.operators import callees, identity, lift, lift54, origins, relations
 from bytefacts.plans import answers, predicate, query
+from bytefacts.session import cut
 from bytefacts.sources import artifacts
 
 WHO = ("path", "sha256", "profile")
 KEYS = (*WHO, "id", "place")
+#: The scheme of prototype.digest where the caller names none; digests of another tool need its scheme's name.
+DOMAIN = b"prototype-content-2"
 
 
 @dataclass
@@ -31,7 +34,7 @@ def place(proto: str | None, rank: int, index: str | None):
     return F.struct(path.alias("proto"), F.lit(rank).alias("rank"), (F.lit(0) if index is None else F.col(index).cast("int")).alias("index")).alias("place")
 
 
-def frames(found: DataFrame, rows: DataFrame, needs: set[str]) -> dict[str, DataFrame]:
+def frames(found: DataFrame, rows: DataFrame, needs: set[str], domain: bytes = DOMAIN) -> dict[str, DataFrame]:
     """Entity frames of artifacts (path, content) and their decoded rows, with the columns that `needs` adds."""
     f = artifacts.facts(rows)
     columns = [*WHO, "id", place("proto", 1, "pc"), "mnemonic", "reads", "writes"]
@@ -50,25 +53,29 @@ def frames(found: DataFrame, rows: DataFrame, needs: set[str]) -> dict[str, Data
     if "origins" in needs:
         windows = origins.origins(found).select("path", "sha256", F.col("call_id").alias("id"), "window_status", "arguments")
         instruction = instruction.join(windows, key, "left")
+    prototype = f.prototypes.select(*WHO, "id", place("proto", 0, None))
+    if "identities" in needs:
+        prototype = prototype.join(identity.prototypes(f, domain).select(*WHO, "id", "digest"), [*WHO, "id"], "left")
     return {
+        "prototype": prototype,
         "chunk": f.chunks.where("status = 'decoded'").select(*WHO, F.lit("chunk").alias("id"), place(None, 0, None)),
         "instruction": instruction,
         "constant": f.constants.select(*WHO, "id", place("proto", 2, "index"), "ctype", "bool_val", "int_val", "dbl_bits", "str_display"),
     }
 
 
-def ask(found: DataFrame, where: str | None, limit: int = query.PAGE) -> Answer:
+def ask(found: DataFrame, where: str | None, limit: int = query.PAGE, domain: bytes = DOMAIN) -> Answer:
     """found: artifacts with path, content and status, as from sources.artifacts. Per artifact at most `limit` rows, and what became of it.
 
-    An artifact of a profile that lacks one of the fields fails with INTERNAL-IDENTITY-001; it is not an artifact without matches.
+    prototype.digest is told in the scheme `domain`. An artifact of a profile that lacks one of the fields fails with INTERNAL-IDENTITY-001; it is not an artifact without matches.
     """
     tree = None if where is None else predicate.parse(where)
     if tree is not None:
         predicate.validate(tree)
     only_51 = tree is not None and any(predicate.field_of(c.field).only_51 for c in predicate.leaves(tree))
-    rows = artifacts.decoded(found).persist()
+    rows = cut(artifacts.decoded(found))  # decoded once, for all that reads it
     fit = F.col("profile").startswith("lua5.1") if only_51 else F.lit(True)
-    facts = {k: v.where(fit) for k, v in frames(found, rows, predicate.analyses(tree) if tree is not None else set()).items()}
+    facts = {k: v.where(fit) for k, v in frames(found, rows, predicate.analyses(tree) if tree is not None else set(), domain).items()}
     matched = query.matches(facts, where).select(*KEYS, "entity")
     kept, counts = query.batch(matched, ["path"], [F.col("place")], limit)
     f = artifacts.facts(rows)

@@ -17,14 +17,18 @@ ENTITIES = ("chunk", "prototype", "instruction", "constant")
 def matches(facts: dict[str, DataFrame], where: str | None, profile: str = "lua5.1") -> DataFrame:
     """Rows (common columns, entity) of every entity frame that match. Without a predicate: instructions only.
 
-    The frames need the same key columns; others are dropped from the union.
+    The frames need the same key columns; others are dropped from the union. A predicate that can match an entity whose frame is
+    not there is a QueryError, not an answer without rows.
     """
     if where is None:
         parts = [(e, facts[e]) for e in facts if e == "instruction"]
     else:
         tree = predicate.parse(where)
         predicate.validate(tree, profile)
-        parts = [(e, facts[e].where(c)) for e in ENTITIES if e in facts and (c := predicate.compiled(tree, e)) is not None]
+        wanted = {e: c for e in ENTITIES if (c := predicate.compiled(tree, e)) is not None}
+        if absent := wanted.keys() - facts.keys():
+            raise predicate.QueryError(f"no facts about: {', '.join(sorted(absent))}")
+        parts = [(e, facts[e].where(c)) for e, c in wanted.items()]
     keys = [c for c in next(iter(facts.values())).columns if all(c in f.columns for f in facts.values())]
     frames = [f.select(*keys, F.lit(e).alias("entity")) for e, f in parts]
     if not frames:
