@@ -10,8 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytefacts.functions import ids, words
-from bytefacts.operators import callees, identity, lift, lift54, origins, relations
+from bytefacts.functions import ids
+from bytefacts.operators import callees, dispatch, identity, origins, relations
 from bytefacts.plans import answers, predicate, query
 from bytefacts.session import cut
 from bytefacts.sources import artifacts
@@ -37,10 +37,7 @@ def place(proto: str | None, rank: int, index: str | None):
 def frames(found: DataFrame, rows: DataFrame, needs: set[str], domain: bytes = DOMAIN) -> dict[str, DataFrame]:
     """Entity frames of artifacts (path, content) and their decoded rows, with the columns that `needs` adds."""
     f = artifacts.facts(rows)
-    columns = [*WHO, "id", place("proto", 1, "pc"), "mnemonic", "reads", "writes"]
-    old = lift.lift(words.decode(f.words.where(F.col("profile").startswith("lua5.1")), "5.1")).select(columns)
-    new = lift54.lift(words.decode(f.words.where("profile = 'lua5.4'"), "5.4")).select(columns)
-    instruction = old.unionByName(new)
+    instruction = dispatch.lifted(f.words, [*WHO, "proto"]).select(*WHO, "id", place("proto", 1, "pc"), "mnemonic", "reads", "writes")
     key = ["path", "sha256", "id"]
     if needs & {"callees", "relations"}:
         calls = callees.callees(found)
