@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bytefacts.session import cut
@@ -64,6 +64,50 @@ def resolve_links(calls: DataFrame, exports: DataFrame, dynamic: DataFrame, inco
     return joined.select(*calls.columns, status.alias("link_status"), F.when(status == "resolved", F.col("target")).alias("link_target"))
 
 
+MOST_LINKS = 100_000
+
+
+def link_facts(calls: DataFrame, exports: DataFrame, marks: DataFrame, state: DataFrame, by: list[str], root: str = "luci", most: int = MOST_LINKS) -> DataFrame:
+    """Links (by, call_id, proto, pc, segments, link_status, target_path, target_proto) of calls, at most `most` of an artifact.
+
+    calls: as of callees.callees. exports (segments, path, prototype), marks (segments) and state (one row: refused, over), as of
+    modules.export_index. A path of names makes a link if it begins with `root`, is exported, lies below a marked label, holds a name that does not
+    print as itself, or has several names while providers are unknown; a label alone, if it is exported or marked. The first that holds decides:
+    dynamic (such a name, or a mark), resolved (one export), duplicate (more), absent. While artifacts refuse, what would be resolved or absent is
+    dynamic; while the index is over its limit, limit_exceeded. Of an artifact with more links the next one is limit_exceeded, and the rest is left out.
+    """
+    named = F.when(F.col("status") == "resolved-path", F.col("segments")).when((F.col("status") == "lookup-label") & F.col("key_type").endswith("string"), F.array("lookup_key"))
+    rows = calls.select(*by, "call_id", "proto", "pc", (F.col("status") == "resolved-path").alias("whole"), named.alias("segments")).where("segments is not null")
+    found = exports.groupBy("segments").agg(F.count("*").alias("exports"), F.min(F.struct("path", "prototype")).alias("target"))
+    marked = marks.select(F.col("segments").alias("prefix")).distinct().withColumn("marked", F.lit(True))
+    prefixes = rows.select("segments").distinct().select("segments", F.explode(F.transform(F.sequence(F.lit(1), F.size("segments")), lambda k: F.slice("segments", 1, k))).alias("prefix"))
+    hit = prefixes.join(marked, "prefix").select("segments", "marked").distinct()
+    joined = rows.join(found, "segments", "left").join(hit, "segments", "left").crossJoin(F.broadcast(state.select("refused", "over")))  # one row is broadcast
+    n, mark = F.coalesce("exports", F.lit(0)), F.coalesce("marked", F.lit(False))
+    odd = F.col("whole") & F.exists("segments", lambda x: ~x.rlike(r'\A[\x20-\x21\x23-\x5b\x5d-\x7e]+\z'))
+    unknown = (F.col("refused") > 0) | (F.col("over") > 0)
+    linked = (n > 0) | mark | (F.col("whole") & ((F.element_at("segments", 1) == root) | odd | (unknown & (F.size("segments") > 1))))
+    lacking = F.when(F.col("refused") > 0, "dynamic").when(F.col("over") > 0, "limit_exceeded")
+    status = F.when(odd | mark, "dynamic").when(n > 1, "duplicate").otherwise(F.coalesce(lacking, F.when(n == 1, "resolved").otherwise("absent")))
+    at = Window.partitionBy(*by).orderBy("proto", "pc")
+    ranked = joined.where(linked).withColumn("position", F.row_number().over(at)).where(F.col("position") <= most + 1)
+    status = F.when(F.col("position") > most, "limit_exceeded").otherwise(status)
+    known = lambda c: F.when(F.col("link_status") == "resolved", F.col(c))
+    return ranked.withColumn("link_status", status).select(*by, "call_id", "proto", "pc", "segments", "link_status", known("target.path").alias("target_path"), known("target.prototype").alias("target_proto"))
+
+
+def unsupported_links(chunks: DataFrame, by: list[str]) -> DataFrame:
+    """One link fact for each decoded artifact that is not of the 5.1 family, in the columns of link_facts. chunks: by, profile."""
+    none = lambda t: F.lit(None).cast(t)
+    other = chunks.where(~F.col("profile").startswith("lua5.1"))
+    return other.select(*by, F.lit("chunk").alias("call_id"), F.array(F.lit(0)).alias("proto"), F.lit(0).alias("pc"), F.array().cast("array<string>").alias("segments"), F.lit("unsupported").alias("link_status"), none("string").alias("target_path"), none("array<int>").alias("target_proto"))
+
+
+def link_order() -> list[str]:
+    """The total order of links: artifacts by path and digest, calls by prototype, number by number, and place."""
+    return ["path", "sha256", "proto", "pc", "segments"]
+
+
 def classify_sites(sites: DataFrame, convention: bool = True) -> DataFrame:
     """sites with `class` and `class_reason`: the first of nine cases that holds, so every site has exactly one.
 

@@ -34,12 +34,14 @@ def order() -> list[Column]:
     return [F.col("source_sk"), F.col("target_sk"), F.col("relation")]
 
 
-def to(edges: DataFrame, target: str) -> DataFrame:
-    return edges.where(F.col("target") == target)
+def to(edges: DataFrame, *targets: str) -> DataFrame:
+    """Edges that lead to one of these ids."""
+    return edges.where(F.col("target").isin(*targets))
 
 
-def from_(edges: DataFrame, source: str) -> DataFrame:
-    return edges.where(F.col("source") == source)
+def from_(edges: DataFrame, *sources: str) -> DataFrame:
+    """Edges that come from one of these ids."""
+    return edges.where(F.col("source").isin(*sources))
 
 
 def exists(facts: DataFrame, id_column: str, wanted: DataFrame, wanted_column: str) -> DataFrame:

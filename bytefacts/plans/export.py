@@ -14,6 +14,9 @@ TREE = ("prototype", "prototype_identity", "instruction", "constant", "upvalue")
 PLACE = ("part_of_tree", "proto", "phase", "position")
 
 
+SCHEMA_VERSION = 2
+
+
 class ExportError(ValueError):
     pass
 
@@ -65,7 +68,7 @@ def framed(kept: DataFrame, outcomes: DataFrame, artifact: list[str]) -> DataFra
     """All records in stream order: export_start, then per artifact file_start, facts and file_end, then export_end with totals."""
     spark = kept.sparkSession
     key = F.struct(*artifact)
-    start = spark.createDataFrame([("export_start", '{"schema_version":2}')], "record_type string, data string").withColumns({"part": F.lit(0), "key": F.lit(None).cast(outcomes.select(key).schema[0].dataType), "step": F.lit(0), "ordinal": F.lit(0)})
+    start = spark.createDataFrame([("export_start", f'{{"schema_version":{SCHEMA_VERSION}}}')], "record_type string, data string").withColumns({"part": F.lit(0), "key": F.lit(None).cast(outcomes.select(key).schema[0].dataType), "step": F.lit(0), "ordinal": F.lit(0)})
     body = kept.select("record_type", "data", F.lit(1).alias("part"), key.alias("key"), F.lit(1).alias("step"), "ordinal")
     opens = outcomes.select(F.lit("file_start").alias("record_type"), F.to_json(key).alias("data"), F.lit(1).alias("part"), key.alias("key"), F.lit(0).alias("step"), F.lit(0).alias("ordinal"))
     rest = [c for c in outcomes.columns if c not in artifact]
@@ -90,12 +93,34 @@ def write(stream: DataFrame, path: str) -> None:
 
 
 def verify(stream: DataFrame, artifact_field: str = "key") -> DataFrame:
-    """(key, problem): framing and counts that do not hold. No row: the stream accounts for all it has."""
+    """(key, problem): framing, counts and limits that do not hold. No row: the stream accounts for all it has.
+
+    Of an artifact: start and end (exactly one), record_type (of a known family), limit (an emitted count above the available, or
+    is_truncated that disagrees with them), count (facts other than the end says). Of the stream, with a null key: frame (one export_start and one
+    export_end), schema (the start's version), totals (those of the end are sums over artifacts).
+    """
+    kind, said = F.col("record_type"), lambda name: F.get_json_object("data", f"$.{name}")
+    ends = lambda c: F.max(F.when(kind == "file_end", c))
     per = stream.where("part = 1").groupBy(artifact_field).agg(
-        F.sum((F.col("record_type") == "file_start").cast("int")).alias("starts"),
-        F.sum((F.col("record_type") == "file_end").cast("int")).alias("ends"),
+        F.sum((kind == "file_start").cast("int")).alias("starts"),
+        F.sum((kind == "file_end").cast("int")).alias("ends"),
         F.sum((F.col("step") == 1).cast("int")).alias("facts"),
-        F.max(F.when(F.col("record_type") == "file_end", F.get_json_object("data", "$.emitted_fact_count").cast("long"))).alias("said"),
+        F.sum(((F.col("step") == 1) & ~kind.isin(*FAMILIES)).cast("int")).alias("strange"),
+        ends(said("emitted_fact_count").cast("long")).alias("said"),
+        ends(said("available_fact_count").cast("long")).alias("had"),
+        ends(said("is_truncated").cast("boolean")).alias("cut"),
+    )
+    limit = (F.col("said") > F.col("had")) | (F.col("cut") != (F.col("said") < F.col("had")))
+    bad = F.when(F.col("starts") != 1, "start").when(F.col("ends") != 1, "end").when(F.col("strange") > 0, "record_type").when(F.coalesce(limit, F.lit(True)), "limit").when(~F.col("facts").eqNullSafe(F.col("said")), "count")
+    artifacts = per.select(F.to_json(artifact_field).alias("key"), bad.alias("problem"))
+    sums = per.agg(F.count("*").alias("files"), F.coalesce(F.sum("said"), F.lit(0)).alias("emitted"), F.coalesce(F.sum("had"), F.lit(0)).alias("available"))
+    frame = stream.where("part != 1").agg(
+        F.sum((kind == "export_start").cast("int")).alias("starts"),
+        F.sum((kind == "export_end").cast("int")).alias("ends"),
+        F.max(F.when(kind == "export_start", said("schema_version").cast("int"))).alias("version"),
+        *(F.max(F.when(kind == "export_end", F.coalesce(said(name).cast("long"), F.lit(0)))).alias(f"all_{name}") for name in ("files", "emitted_fact_count", "available_fact_count")),
     )
-    bad = F.when(F.col("starts") != 1, "start").when(F.col("ends") != 1, "end").when(~F.col("facts").eqNullSafe(F.col("said")), "count")
-    return per.select(F.to_json(artifact_field).alias("key"), bad.alias("problem")).where("problem is not null")
+    totals = (F.col("all_files") == F.col("files")) & (F.col("all_emitted_fact_count") == F.col("emitted")) & (F.col("all_available_fact_count") == F.col("available"))
+    broken = F.when((F.coalesce("starts", F.lit(0)) != 1) | (F.coalesce("ends", F.lit(0)) != 1), "frame").when(~F.col("version").eqNullSafe(F.lit(SCHEMA_VERSION)), "schema").when(~F.coalesce(totals, F.lit(False)), "totals")
+    whole = frame.crossJoin(F.broadcast(sums)).select(F.lit(None).cast("string").alias("key"), broken.alias("problem"))  # one row each
+    return artifacts.unionByName(whole).where("problem is not null")

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bytefacts.functions import ids, scalar, words
-from bytefacts.operators import callees, cfg, diff, identity, lift, origins, relations, validate, xrefs
-from bytefacts.plans import export, query
+from bytefacts.operators import callees, cfg, diff, disasm, dispatch, identity, lift, modules, origins, relations, validate, xrefs
+from bytefacts.plans import corpus, export, query
 from bytefacts.sources import artifacts
-from bytefacts.synth import lineitem_words, part_calls, part_chunks, programs, table
+from bytefacts.synth import lineitem_words, order_words, part_calls, part_cases, part_chunks, part_modules, programs, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -281,14 +281,14 @@ def xref_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return xrefs.effect_edges(lift.lift(decoded_lines(spark, sf_dir)), []).select("source", "target", "relation")
 
 
-@asked(f"WITH {XREF} SELECT source, target, relation FROM edge WHERE target = 'proto:0/7/upvalue:18' OR target LIKE 'proto:0/%/upvalue:42'")
+@asked(f"WITH {XREF} SELECT source, target, relation FROM edge WHERE target LIKE 'proto:0/7/upvalue:%' OR target LIKE 'proto:0/39/upvalue:%'")
 def xref_to(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return xrefs.effect_edges(lift.lift(decoded_lines(spark, sf_dir)), []).where("target = 'proto:0/7/upvalue:18' or target like 'proto:0/%/upvalue:42'").select("source", "target", "relation")
+    return xrefs.to(xrefs.effect_edges(lift.lift(decoded_lines(spark, sf_dir)), []), *(f"proto:0/{p}/upvalue:{i}" for p in (7, 39) for i in range(51))).select("source", "target", "relation")
 
 
-@asked(f"WITH {XREF} SELECT source, target, relation FROM edge WHERE source LIKE 'proto:0/1%/pc:4'")
+@asked(f"WITH {XREF} SELECT source, target, relation FROM edge WHERE source IN ('proto:0/7/pc:1', 'proto:0/39/pc:1', 'proto:0/39/pc:4')")
 def xref_from(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return xrefs.effect_edges(lift.lift(decoded_lines(spark, sf_dir)), []).where("source like 'proto:0/1%/pc:4'").select("source", "target", "relation")
+    return xrefs.from_(xrefs.effect_edges(lift.lift(decoded_lines(spark, sf_dir)), []), "proto:0/7/pc:1", "proto:0/39/pc:1", "proto:0/39/pc:4").select("source", "target", "relation")
 
 
 @asked("SELECT o_orderkey, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AS found FROM orders")
@@ -297,12 +297,13 @@ def xref_target_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @asked("""SELECT c_custkey, s.n AS stores, CASE WHEN s.n IS NULL THEN 'missing-prototype-store' WHEN s.n > 1 THEN 'multiple-prototype-stores' WHEN s.bal > 5000 THEN NULL ELSE 'non-closure-store' END AS relation_reason
-FROM customer LEFT JOIN (SELECT s_nationkey, count(*) AS n, min(s_acctbal) AS bal FROM supplier WHERE s_suppkey < 40 GROUP BY 1) s ON s_nationkey = c_nationkey""")
+FROM customer LEFT JOIN (SELECT s_suppkey % 70 AS name, count(*) AS n, min(s_acctbal) AS bal FROM supplier GROUP BY 1) s ON s.name = c_custkey % 90""")
 def relation_unique_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A global resolves if one store names it and that stores a closure."""
-    stores = table(spark, sf_dir, "supplier").where("s_suppkey < 40").select(F.lit(1).alias("artifact"), F.col("s_nationkey").cast("string").alias("name"), F.when(F.col("s_acctbal") > 5000, "closure").otherwise("non-closure").alias("value_kind"), F.array(F.lit(0)).alias("prototype"))
-    name = F.col("c_nationkey").cast("string")
-    callees = table(spark, sf_dir, "customer").select(F.lit(1).alias("artifact"), "c_custkey", F.lit("resolved-path").alias("status"), F.lit(None).cast("array<int>").alias("prototype"), F.array(name).alias("segments"), name.alias("lookup_global"), F.lit(None).cast("string").alias("reason"))
+    stores = table(spark, sf_dir, "supplier").select(F.lit(1).alias("artifact"), (F.col("s_suppkey") % 70).cast("string").alias("name"), F.when(F.col("s_acctbal") > 5000, "closure").otherwise("non-closure").alias("value_kind"), F.array(F.lit(0)).alias("prototype"))
+    name = (F.col("c_custkey") % 90).cast("string")
+    none = F.lit(None)
+    callees = table(spark, sf_dir, "customer").select(F.lit(1).alias("artifact"), "c_custkey", F.lit("resolved-path").alias("status"), none.cast("array<int>").alias("prototype"), F.array(name).alias("segments"), name.alias("lookup_global"), none.cast("string").alias("reason"))
     made = relations.call_relations(callees, stores, ["artifact"])
     n = stores.groupBy(F.col("name").alias("lookup_global")).agg(F.count("*").alias("stores"))
     return made.join(n, "lookup_global", "left").select("c_custkey", "stores", "relation_reason")
@@ -311,7 +312,7 @@ def relation_unique_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINKED = """
 label AS (SELECT p_partkey, string_split(p_name, ' ') AS segments FROM part),
 exported AS (SELECT string_split(p_name, ' ') AS segments, count(*) AS n, min(p_partkey) AS target FROM part WHERE p_size <= 2 GROUP BY 1),
-marked AS (SELECT DISTINCT string_split(p_name, ' ')[1:1] AS prefix FROM part WHERE p_size = 50 AND p_partkey < 300)"""
+marked AS (SELECT DISTINCT string_split(p_name, ' ')[1:1] AS prefix FROM part WHERE p_size = 50 AND p_retailprice < 920)"""
 
 
 @asked(f"""WITH {LINKED} SELECT p_partkey, CASE WHEN segments[1:1] IN (SELECT prefix FROM marked) OR segments IN (SELECT prefix FROM marked) THEN 'dynamic'
@@ -322,7 +323,7 @@ def link_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels joined to exports; a marked prefix makes a link dynamic."""
     p = table(spark, sf_dir, "part").withColumn("segments", F.split("p_name", " "))
     exports = p.where("p_size <= 2").select("segments", F.col("p_partkey").alias("target"))
-    dynamic = p.where("p_size = 50 and p_partkey < 300").select(F.slice("segments", 1, 1).alias("segments"))
+    dynamic = p.where("p_size = 50 and p_retailprice < 920").select(F.slice("segments", 1, 1).alias("segments"))
     return relations.resolve_links(p.select("p_partkey", "segments"), exports, dynamic).select("p_partkey", "link_status", "link_target")
 
 
@@ -402,12 +403,12 @@ def identity_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.merkle(nodes, ["tree"], 2).select("node", "digest")
 
 
-@asked("""WITH d AS (SELECT o_orderkey AS key, sha256(o_orderstatus || ':' || o_orderpriority) AS digest FROM orders WHERE o_orderkey < 400), c AS (SELECT DISTINCT digest FROM d WHERE key < 200)
-SELECT key, d.digest FROM d JOIN c ON c.digest = d.digest WHERE key >= 200""")
+@asked("""WITH d AS (SELECT o_orderkey AS key, o_orderstatus AS tree, sha256(o_custkey || ':' || o_orderpriority) AS digest FROM orders)
+SELECT key, digest FROM d WHERE tree = 'O' AND digest IN (SELECT digest FROM d WHERE tree = 'F')""")
 def content_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of one tree that have the same digest as some node of another."""
-    d = table(spark, sf_dir, "orders").where("o_orderkey < 400").select(F.col("o_orderkey").alias("key"), F.sha2(F.concat_ws(":", "o_orderstatus", "o_orderpriority"), 256).alias("digest"))
-    return d.where("key >= 200").join(d.where("key < 200").select("digest").distinct(), "digest", "left_semi")
+    d = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("tree"), F.sha2(F.concat_ws(":", "o_custkey", "o_orderpriority"), 256).alias("digest"))
+    return identity.shared(d.where("tree = 'O'"), d.where("tree = 'F'"), ["key"])
 
 
 @asked("""WITH a AS (SELECT o_orderkey AS pc, CAST(o_custkey AS VARCHAR) AS v FROM orders WHERE o_orderkey % 97 <> 0), b AS (SELECT o_orderkey AS pc, CAST(CASE WHEN o_orderkey % 13 = 0 THEN o_custkey + 1 ELSE o_custkey END AS VARCHAR) AS v FROM orders WHERE o_orderkey % 89 <> 0)
@@ -517,11 +518,24 @@ def family_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_export(spark, sf_dir)[1].withColumn("emitted_fact_count", F.col("emitted_fact_count").cast("long"))
 
 
-@asked("SELECT 'none' AS key, 'none' AS problem WHERE false")
+@asked("""SELECT '{"artifact":7}' AS key, 'count' AS problem UNION ALL SELECT '{"artifact":8}', 'end' UNION ALL SELECT '{"artifact":9}', 'start' UNION ALL SELECT '{"artifact":11}', 'record_type'
+UNION ALL SELECT NULL, 'totals'""")
 def export_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A whole stream accounts for all it has: no problem is found."""
+    """A stream with a fault in each of four artifacts (a record gone, the end gone, the start twice, a strange record): exactly these are found, and that totals no longer hold."""
+    kept, outcomes = order_export(spark, sf_dir)
+    whole = export.framed(kept, outcomes, ["artifact"])
+    at, kind = F.coalesce(F.col("key.artifact"), F.lit(-1)), F.col("record_type")
+    gone = ((at == 7) & (F.col("step") == 1) & (F.col("ordinal") == 3)) | ((at == 8) & (kind == "file_end"))
+    copies = F.when((at == 9) & (kind == "file_start"), 2).otherwise(1)
+    odd = whole.where(~gone).withColumn("record_type", F.when((at == 11) & (F.col("ordinal") == 2), "gossip").otherwise(kind))
+    return export.verify(odd.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).drop("copy"))
+
+
+@asked("SELECT 'frame' AS problem")
+def export_verify_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream that breaks off before its last record."""
     kept, outcomes = order_export(spark, sf_dir)
-    return export.verify(export.framed(kept, outcomes, ["artifact"]))
+    return export.verify(export.framed(kept, outcomes, ["artifact"]).where("record_type != 'export_end'")).select("problem")
 
 
 @asked("""WITH RECURSIVE e AS (SELECT 'n' || n_nationkey AS source, 'r' || n_regionkey AS target FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer),
@@ -547,12 +561,12 @@ def scalar_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", scalar.preview(s).alias("preview"))
 
 
-@asked("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY rank, p1, p2, idx) AS INTEGER) AS place FROM (SELECT o_orderkey, o_orderkey % 8 AS rank, o_custkey % 3 AS p1, o_custkey AS p2, o_orderkey AS idx FROM orders WHERE o_orderkey < 2000)")
+@asked("SELECT o_orderkey, row_number() OVER (ORDER BY rank, p1, p2, idx) AS place FROM (SELECT o_orderkey, o_orderkey % 8 AS rank, o_custkey % 3 AS p1, o_custkey AS p2, o_orderkey AS idx FROM orders)")
 def stable_id_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifiers sort by kind, then by path number by number, then by index; never as text."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey < 2000")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     key = ids.sort_key(F.array((F.col("o_custkey") % 3).cast("int"), F.col("o_custkey").cast("int")), (F.col("o_orderkey") % 8).cast("int"), F.col("o_orderkey"))
-    return o.select("o_orderkey", F.row_number().over(Window.orderBy(key)).alias("place"))
+    return ids.placed(o, key).select("o_orderkey", "place")
 
 
 PART = """
@@ -633,3 +647,142 @@ def native_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     sites = rel.withColumns({"names_target": F.lit(False), "names_other": F.col("callee").isNotNull(), "callee_status": F.col("status"), "callee_reason": F.col("reason"), "link_status": F.lit(None).cast("string")})
     c = relations.coverage(relations.classify_sites(sites), "path")
     return c.select("path", "call_sites", "caller", F.coalesce(F.element_at("unattributed_reasons", F.lit("dynamic-key")), F.lit(0)).cast("long").alias("dynamic_key"), "unmapped_label")
+
+
+@asked(f"""WITH {LINE} SELECT l_orderkey, CAST(pc AS INTEGER) AS pc, mnemonic AS said, 'R(' || a || ')' || CASE mnemonic
+  WHEN 'MOVE' THEN ' R(' || b || ')' WHEN 'LOADK' THEN ' K(' || (b * 512 + c) || ')' WHEN 'LOADBOOL' THEN ' ' || (b <> 0) || ' ' || c WHEN 'LOADNIL' THEN ' R(' || b || ')'
+  WHEN 'GETUPVAL' THEN ' Upvalue(' || b || ')' WHEN 'GETGLOBAL' THEN ' K(' || (b * 512 + c) || ')' ELSE ' R(' || b || ')' || CASE WHEN c >= 256 THEN ' K(' || (c - 256) || ')' ELSE ' R(' || c || ')' END END AS operands,
+  CASE WHEN mnemonic = 'LOADK' AND b * 512 + c >= 5000 OR mnemonic = 'GETTABLE' AND c >= 256 + 200 THEN 'L51-DISASM-002' ELSE '' END AS codes FROM line""")
+def disasm_operands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed operands of each word; constants resolve up to a number of them (200 for a line's seventh word, else 5,000)."""
+    w = decoded_lines(spark, sf_dir).withColumn("n_const", F.when(F.col("mnemonic") == "GETTABLE", 200).otherwise(5000))
+    d = disasm.disassemble(w)
+    return d.select("l_orderkey", "pc", "said", F.array_join(F.transform("operands", lambda o: o["display"]), " ").alias("operands"), F.array_join("codes", ",").alias("codes"))
+
+
+HEX8 = U64
+LITTLE = " || ".join(f"substr(hex(CAST(CAST(p_retailprice AS BIT) AS BLOB)), {15 - 2 * i}, 2)" for i in range(8))
+
+
+@asked(f"""WITH {PART}, record AS (
+  SELECT path, place, '02' || {HEX8.format(11)} || lower(hex(encode('instruction'))) || {HEX8.format(5)} || lower(hex(encode('LOADK'))) || {HEX8.format(2)} || '03200030' || '0321' || {HEX8.format("place * 2")} || '31' || {HEX8.format("place * 2")} AS word,
+    '14' || {HEX8.format("octet_length(encode(p_name))")} || lower(hex(encode(p_name))) || '13' || {HEX8.format(8)} || lower({LITTLE}) AS constants FROM part_at)
+SELECT path, 'proto:0' AS id, sha256(unhex(lower(hex(encode('scheme'))) || '00' || '01' || {HEX8.format(6)} || lower(hex(encode('lua5.1'))) || '000002' || {HEX8.format("count(*)")} || string_agg(word, '' ORDER BY place)
+  || {HEX8.format("2 * count(*)")} || string_agg(constants, '' ORDER BY place) || {HEX8.format(0)} || {HEX8.format(0)})) AS digest FROM record GROUP BY path""")
+def prototype_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identities of the prototypes of 5.1 chunks made from parts."""
+    f = artifacts.facts(artifacts.decoded(part_chunks(spark, sf_dir, "lua5.1")))
+    return identity.prototypes(f, b"scheme").select("path", "id", "digest")
+
+
+ORDER_FIELDS = "SELECT o_orderkey, o_custkey % 200 AS a, o_orderkey % 300 AS b, o_custkey % 512 AS c, o_orderkey % 200 AS lb, o_custkey % 250 AS lc, o_orderkey % 2 AS k, o_orderkey // 4 % 4 AS kind FROM orders"
+RK = "CASE WHEN {0} >= 256 THEN 'co' || ({0} - 256) ELSE 're' || {0} END"
+SPAN = "'re' || {0} || CASE WHEN {1} <> {0} THEN '-' || ({1}) ELSE '' END"
+
+
+def effects_of(spark: SparkSession, sf_dir: str, profile: str, names: tuple[str, ...]) -> DataFrame:
+    said = lambda side: F.array_join(F.transform(side, lambda e: F.concat(F.substring(e["kind"], 1, 2), e["first"].cast("string"), F.when(e["last"] != e["first"], F.concat(F.lit("-"), e["last"].cast("string"))).otherwise(""))), " ").alias(side)
+    rows = dispatch.lifted(order_words(spark, sf_dir, profile, names), ["o_orderkey"])
+    return rows.select("o_orderkey", "mnemonic", said("reads"), said("writes"), "metamethod", "skip_target")
+
+
+def lifted_later(dialect: str) -> None:
+    sql = f"""WITH o AS ({ORDER_FIELDS}) SELECT o_orderkey, CASE kind WHEN 0 THEN 'GETTABUP' WHEN 1 THEN 'SETTABUP' WHEN 2 THEN 'CONCAT' ELSE 'TESTSET' END AS mnemonic,
+  CASE kind WHEN 0 THEN 'up' || b || ' ' || {RK.format("c")} WHEN 1 THEN 'up' || a || ' ' || {RK.format("b")} || ' ' || {RK.format("c")} WHEN 2 THEN CASE WHEN c >= b THEN {SPAN.format("b", "c")} ELSE '' END ELSE 're' || b END AS reads,
+  CASE kind WHEN 1 THEN '' ELSE 're' || a END AS writes, CASE kind WHEN 0 THEN '__index' WHEN 1 THEN '__newindex' WHEN 2 THEN '__concat' END AS metamethod, CASE kind WHEN 3 THEN 12 END AS skip_target FROM o"""
+
+    @asked(sql)
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return effects_of(spark, sf_dir, f"lua{dialect}", ("GETTABUP", "SETTABUP", "CONCAT", "TESTSET"))
+
+    name = f"lift_{dialect.replace('.', '')}"
+    QUERIES[name], ORACLES[name] = QUERIES.pop("f"), ORACLES.pop("f")
+
+
+lifted_later("5.2")
+lifted_later("5.3")
+
+
+@asked(f"""WITH o AS ({ORDER_FIELDS}) SELECT o_orderkey, CASE kind WHEN 0 THEN 'GETTABUP' WHEN 1 THEN 'SETFIELD' WHEN 2 THEN 'CONCAT' ELSE 'EQI' END AS mnemonic,
+  CASE kind WHEN 0 THEN CASE k WHEN 1 THEN 'co' ELSE 're' END || lc || ' up' || lb WHEN 1 THEN CASE k WHEN 1 THEN 'co' ELSE 're' END || lc || ' re' || a || ' co' || lb WHEN 2 THEN CASE WHEN lb >= 1 THEN {SPAN.format("a", "a + lb - 1")} ELSE '' END ELSE 're' || a END AS reads,
+  CASE WHEN kind IN (0, 2) THEN 're' || a ELSE '' END AS writes, CASE kind WHEN 0 THEN '__index' WHEN 1 THEN '__newindex' WHEN 2 THEN '__concat' END AS metamethod, CASE kind WHEN 3 THEN 12 END AS skip_target FROM o""")
+def lift_54(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return effects_of(spark, sf_dir, "lua5.4", ("GETTABUP", "SETFIELD", "CONCAT", "EQI"))
+
+
+@asked("""WITH o AS (SELECT o_orderkey, o_custkey % 200 AS a, o_orderkey % 200 AS lb, o_custkey % 250 AS lc, o_orderkey // 4 % 4 AS kind FROM orders) SELECT o_orderkey, CASE kind WHEN 0 THEN 'GETTABUP' WHEN 1 THEN 'SETFIELD' WHEN 2 THEN 'GETVARG' ELSE 'MMBIN' END AS mnemonic,
+  CASE kind WHEN 0 THEN 'up' || lb || ' co' || lc WHEN 1 THEN 're' || a || ' co' || lb WHEN 2 THEN 're' || lb || ' re' || lc ELSE '' END AS reads, CASE WHEN kind IN (0, 2) THEN 're' || a ELSE '' END AS writes,
+  CASE kind WHEN 0 THEN '__index' WHEN 1 THEN '__newindex' WHEN 3 THEN CASE lc WHEN 0 THEN '__add' WHEN 1 THEN '__sub' WHEN 2 THEN '__mul' WHEN 3 THEN '__mod' WHEN 4 THEN '__pow' WHEN 5 THEN '__div' WHEN 6 THEN '__idiv' WHEN 7 THEN '__band' WHEN 8 THEN '__bor' WHEN 9 THEN '__bxor'
+    WHEN 10 THEN '__shl' WHEN 11 THEN '__shr' WHEN 12 THEN '__unm' WHEN 13 THEN '__bnot' WHEN 14 THEN '__lt' WHEN 15 THEN '__le' WHEN 16 THEN '__concat' WHEN 17 THEN '__len' WHEN 18 THEN '__eq' ELSE '__metamethod' END END AS metamethod, CAST(NULL AS INTEGER) AS skip_target FROM o""")
+def lift_55(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return effects_of(spark, sf_dir, "lua5.5", ("GETTABUP", "SETFIELD", "GETVARG", "MMBIN"))
+
+
+@asked("""WITH o AS (SELECT o_orderkey, o_custkey % 200 AS a, o_orderkey % 200 AS lb, o_custkey % 250 AS lc, o_orderkey // 4 % 4 AS kind, o_orderkey % 2 AS k FROM orders), w AS (SELECT *, lb * 2 + lc * 512 + k AS bx FROM o)
+SELECT o_orderkey, 'L54-CONST-001' AS code, 'error' AS severity FROM w WHERE kind = 0 AND bx >= 60000 UNION ALL SELECT o_orderkey, 'L54-UPVAL-001', 'error' FROM w WHERE kind = 1 AND lb >= 100
+UNION ALL SELECT o_orderkey, 'L54-UPVAL-002', 'error' FROM w WHERE kind = 2 AND a >= 100 UNION ALL SELECT o_orderkey, 'L54-PROTO-001', 'error' FROM w WHERE kind = 3 AND bx >= 70000
+UNION ALL SELECT o_orderkey, 'L54-REG-001', 'warning' FROM w WHERE kind <> 2 AND a >= 150""")
+def validate_rules_54(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = words.decode(order_words(spark, sf_dir, "lua5.4", ("LOADK", "GETUPVAL", "SETTABUP", "CLOSURE")), "5.4")
+    w = w.withColumns({k: F.lit(v) for k, v in {"n": 20, "maxstacksize": 150, "n_const": 60_000, "n_upval": 100, "n_protos": 70_000}.items()})
+    return validate.violations(w, validate.rules_54(), ["o_orderkey"]).select("o_orderkey", "code", "severity")
+
+
+CASES = """
+cases AS (SELECT 'case-' || p_partkey AS path, p_partkey % 6 AS kind, split_part(p_name, ' ', 1) AS one, split_part(p_name, ' ', 2) AS two FROM part)"""
+
+
+@asked(f"""WITH {CASES} SELECT path, 'proto:0/pc:4' AS call_id, CASE WHEN kind = 0 AND one <> two THEN 'unresolved' ELSE 'resolved-path' END AS status, CASE WHEN kind = 0 AND one <> two THEN NULL ELSE one END AS callee_path,
+  CASE WHEN kind = 0 AND one <> two THEN 'control-flow-conflict' END AS reason FROM cases WHERE kind IN (0, 1)
+UNION ALL SELECT path, 'proto:0/pc:3', 'resolved-prototype', NULL, NULL FROM cases WHERE kind IN (2, 3)
+UNION ALL SELECT path, 'proto:0/0/pc:1', CASE kind WHEN 2 THEN 'resolved-path' ELSE 'unresolved' END, CASE kind WHEN 2 THEN one END, CASE kind WHEN 3 THEN 'mutable-capture' END FROM cases WHERE kind IN (2, 3)
+UNION ALL SELECT path, 'proto:0/pc:2', 'unresolved', NULL, 'unreachable' FROM cases WHERE kind = 4
+UNION ALL SELECT path, 'proto:0/pc:2', 'resolved-path', 'require', NULL FROM cases WHERE kind = 5 UNION ALL SELECT path, 'proto:0/pc:4', 'resolved-path', one || '.' || two, NULL FROM cases WHERE kind = 5""")
+def callee_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Callees where branches meet, through captures that are written later or not, where nothing leads, and through a module that is required."""
+    return callees.callees(part_cases(spark, sf_dir)).select("path", "call_id", "status", F.array_join("segments", ".").alias("callee_path"), "reason")
+
+
+VALUES = """
+cases AS (SELECT 'value-' || p_partkey AS path, p_partkey % 6 AS kind, split_part(p_name, ' ', 1) AS one, split_part(p_name, ' ', 2) AS two FROM part)"""
+
+
+@asked(f"""WITH {VALUES} SELECT path, CASE WHEN kind = 5 THEN 'open' ELSE 'fixed' END AS window_status, CASE kind WHEN 0 THEN CASE WHEN one = two THEN 'literal' ELSE 'alternatives' END WHEN 1 THEN 'table-literal' WHEN 2 THEN 'parameter' WHEN 3 THEN 'concat' WHEN 4 THEN 'field' END AS kind,
+  CASE WHEN kind < 5 THEN false END AS has_unknown FROM cases""")
+def origin_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Origins of a call's argument: where branches meet, of a table built before, of a parameter, of text put together, of a field; and an open window."""
+    rows = origins.origins(part_cases(spark, sf_dir, "value")).select("path", "window_status", F.explode_outer("arguments").alias("a"))
+    return rows.select("path", "window_status", "a.kind", "a.has_unknown")
+
+
+@asked(f"""WITH {VALUES} SELECT path, CAST(0 AS INTEGER) AS pc, 'read' AS access, CAST(0 AS INTEGER) AS parameter_index, lower(hex(encode(one))) AS key_hex FROM cases WHERE kind = 4
+UNION ALL SELECT path, CAST(3 AS INTEGER), 'write', CAST(1 AS INTEGER), lower(hex(encode(two))) FROM cases WHERE kind = 4""")
+def parameter_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of parameters that are read and written."""
+    return origins.parameter_fields(part_cases(spark, sf_dir, "value")).select("path", "pc", "access", "parameter_index", "key_hex")
+
+
+def module_oracle(dynamic_status: str, dynamic_exports: str) -> str:
+    return f"""WITH m AS (SELECT 'module-' || p_partkey AS path, p_partkey % 3 AS kind, replace(p_name, ' ', '.') AS label, 'run' || p_size AS name FROM part)
+SELECT path, 'status:' || CASE kind WHEN 0 THEN 'literal' WHEN 1 THEN 'none' ELSE '{dynamic_status}' END AS kind, CASE WHEN kind = 0 OR kind = 2 AND '{dynamic_status}' = 'trusted' THEN label ELSE '' END AS label FROM m
+UNION ALL SELECT path, 'export', label || '.' || name FROM m WHERE kind = 0 {dynamic_exports}"""
+
+
+@asked(module_oracle("dynamic", ""))
+def modules_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What modules declare; one that calls something else while it starts is not admitted."""
+    return modules.module_rows(part_modules(spark, sf_dir)).select("path", "kind", F.array_join("segments", ".").alias("label"))
+
+
+@asked(module_oracle("trusted", "OR kind = 2"))
+def modules_trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, where what modules call while they start is trusted."""
+    return modules.module_rows(part_modules(spark, sf_dir), "trusted-init").select("path", "kind", F.array_join("segments", ".").alias("label"))
+
+
+@asked("""WITH m AS (SELECT 'module-' || p_partkey AS path, p_partkey % 3 AS kind, replace(p_name, ' ', '.') || '.run' || p_size AS label FROM part), e AS (SELECT label, count(*) AS n, min(path) AS target FROM m WHERE kind IN (0, 2) GROUP BY 1)
+SELECT m.path, m.label, CASE WHEN e.n = 1 THEN 'resolved' WHEN e.n > 1 THEN 'duplicate' END AS link_status, CASE WHEN e.n = 1 THEN e.target END AS target_path FROM m JOIN e USING (label) WHERE m.kind = 1""")
+def corpus_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of a whole corpus resolved against what its modules export, from bytes to links."""
+    made = corpus.linked(part_modules(spark, sf_dir), "trusted-init", most_exports=10_000_000)
+    return made.links.select("path", F.array_join("segments", ".").alias("label"), "link_status", "target_path")
