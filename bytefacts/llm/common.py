@@ -13,7 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytefacts.session import settle
+from bytefacts import session
+from bytefacts.session import settle, shared_dir
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -92,16 +93,6 @@ def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        import tempfile
-
-        at = os.path.join(tempfile.gettempdir(), "bytefacts-checkpoints")
-    return at.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -120,12 +111,9 @@ def tidy(spark: SparkSession) -> Iterator[None]:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: writes df to the shared checkpoint folder, from where any executor can read it again."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    with tidy(spark):
-        return df.checkpoint()
+    """As session.cut, and what was shuffled for it is removed at once."""
+    with tidy(df.sparkSession):
+        return session.cut(df)
 
 
 @contextlib.contextmanager

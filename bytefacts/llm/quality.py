@@ -33,7 +33,7 @@ MARGIN = 1.02
 #: A language with fewer held-out documents takes the threshold of all of them.
 FEWEST = 20
 #: Bytes of text in a block, and at a time in a pass over it.
-BLOCK, CHUNK = 24 << 20, 4 << 20
+BLOCK, CHUNK = 24 << 20, 1 << 20
 #: Rows of one id go to this many blocks, by their texts.
 SALT = 4
 _BEFORE = b"\n" * (ORDER - 1)
