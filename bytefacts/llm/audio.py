@@ -1,8 +1,9 @@
 """Media columns: 8-bit audio from payloads, and features computed from the stored form.
 
 A payload is stored losslessly as 8-bit unsigned PCM in a RIFF/WAVE file. From the samples
-read back: polyphase resampling to half the rate, overlapped log-mel frames (fixed-shape
-tensors of FRAMES x MELS with their time spans), and segments by hysteresis on frame energy.
+read back: polyphase resampling to half the rate, overlapped log-mel frames, and segments by hysteresis on
+frame energy, stored as fixed-shape Arrow tensors of FRAMES x MELS with time spans. What the query tells of a document
+is read from its stored tensors.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ WINDOW, HOP, FFT, MELS, FRAMES = 200, 80, 256, 32, 64
 TAPS = 32
 #: Hysteresis in log energy above the quietest frame's floor: a segment begins at HIGH, ends below LOW.
 HIGH, LOW, SHORTEST = 0.6, 0.3, 3
-#: Frames computed at once.
-BLOCK = 8192
+#: Frames computed at once, and bytes of media whose tensors are stored together.
+BLOCK, TOGETHER = 8192, 1 << 19
 
 
 def pad(raw: bytes) -> bytes:
@@ -140,57 +141,88 @@ def hysteresis(energy: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(edge[::2], edge[1::2], strict=True) if b - a >= SHORTEST]
 
 
-def digest(f: Features) -> str:
-    """frames, segments, speech share in thousandths, mean level and the three strongest mel bands, in short."""
-    mean = f.log_mel.mean(axis=0, dtype=np.float64)
-    top = np.argsort(-np.round(mean, 3), kind="stable")[:3]
-    share = sum(b - a for a, b in f.segments) * 1000 // len(f.energy)
-    return f"frames={len(f.energy)};segments={len(f.segments)};voiced={share};level={float(f.energy.mean(dtype=np.float64)):.2f};bands={'-'.join(map(str, top))}"
+SPAN = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])
 
 
 def tensor_type() -> pa.DataType:
     return pa.fixed_shape_tensor(pa.float32(), [FRAMES, MELS])
 
 
+def tensor_schema() -> pa.Schema:
+    return pa.schema([("doc_id", pa.int64()), ("block", pa.int32()), ("frames", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("level", pa.float64()), ("voiced", pa.list_(SPAN)), ("log_mel", tensor_type())])
+
+
 def tensor_table(doc_ids: list[int], media: list[bytes]) -> pa.Table:
-    """doc_id, block, start_s, end_s, log_mel: a fixed-shape Arrow tensor for each block of FRAMES frames."""
-    ids, blocks, starts, ends, cubes = [], [], [], [], []
-    s = HOP * DOWN / RATE
+    """A row for each block of FRAMES frames: its fixed-shape tensor and the time it spans.
+
+    doc_id, block, frames (real ones; the rest is silence), start_s, end_s, level (mean log energy of its frames), voiced (the time spans of
+    segments that begin in it), log_mel.
+    """
+    cols: dict[str, list] = {f.name: [] for f in tensor_schema()}
+    cubes, hop = cols["log_mel"], HOP * DOWN / RATE
     for i, m in zip(doc_ids, media, strict=True):
         f = analyse(from_wave(m)[1])
-        cube = f.tensors()
+        cube, n, spans = f.tensors(), len(f.energy), f.spans()
         cubes.append(cube)
-        for k in range(len(cube)):
-            ids.append(i)
-            blocks.append(k)
-            starts.append(k * FRAMES * s)
-            ends.append(((min((k + 1) * FRAMES, len(f.energy)) - 1) * HOP + WINDOW) * DOWN / RATE)
-    all_cubes = np.concatenate(cubes) if cubes else np.zeros((0, FRAMES, MELS), dtype=np.float32)
-    tensor = pa.ExtensionArray.from_storage(tensor_type(), pa.FixedSizeListArray.from_arrays(pa.array(all_cubes.ravel()), FRAMES * MELS))
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "block": pa.array(blocks, pa.int32()), "start_s": pa.array(starts, pa.float64()), "end_s": pa.array(ends, pa.float64()), "log_mel": tensor})
+        at = np.arange(0, n, FRAMES)
+        count = np.minimum(FRAMES, n - at)
+        starts = [[] for _ in at]
+        for (a, _), span in zip(f.segments, spans, strict=True):
+            starts[a // FRAMES].append({"start_s": span[0], "end_s": span[1]})
+        cols["doc_id"] += [i] * len(at)
+        cols["block"] += range(len(at))
+        cols["frames"] += count.tolist()
+        cols["start_s"] += (at * hop).tolist()
+        cols["end_s"] += (((at + count - 1) * HOP + WINDOW) * DOWN / RATE).tolist()
+        cols["level"] += (np.add.reduceat(f.energy.astype(np.float64), at) / count).tolist()
+        cols["voiced"] += starts
+    flat = np.concatenate(cubes).ravel() if cubes else np.zeros(0, dtype=np.float32)
+    tensor = pa.ExtensionArray.from_storage(tensor_type(), pa.FixedSizeListArray.from_arrays(pa.array(flat), FRAMES * MELS))
+    return pa.table([tensor if f.name == "log_mel" else pa.array(cols[f.name], type=f.type) for f in tensor_schema()], schema=tensor_schema())
+
+
+def stored(table: pa.Table) -> bytes:
+    """A table of tensors as an Arrow stream, in which they keep their shape."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def digests(stream: bytes) -> list[str]:
+    """Of each document of a stored table of tensors, in order: frames, segments, voiced share in thousandths, mean level and the three strongest mel bands."""
+    table = pa.ipc.open_stream(stream).read_all()
+    if not table.num_rows:
+        return []
+    first = np.flatnonzero(table.column("block").to_numpy() == 0)
+    frames, level = table.column("frames").to_numpy(), table.column("level").to_numpy()
+    cubes = table.column("log_mel").combine_chunks().to_numpy_ndarray()
+    real = np.arange(FRAMES) < frames[:, None]
+    sums = np.where(real[:, :, None], cubes, 0).sum(axis=1, dtype=np.float64)
+    voiced, hop, out = table.column("voiced").to_pylist(), HOP * DOWN / RATE, []
+    for a, b in zip(first, [*first[1:], table.num_rows], strict=True):
+        n, spans = int(frames[a:b].sum()), [x for v in voiced[a:b] for x in v]
+        held = sum(round((x["end_s"] - x["start_s"] - WINDOW * DOWN / RATE) / hop) + 1 for x in spans)
+        top = np.argsort(-np.round(sums[a:b].sum(axis=0) / n, 3), kind="stable")[:3]
+        out.append(f"frames={n};segments={len(spans)};voiced={held * 1000 // n};level={float((level[a:b] * frames[a:b]).sum() / n):.2f};bands={'-'.join(map(str, top))}")
+    return out
 
 
 def audio_tensors(media: DataFrame) -> DataFrame:
-    """(doc_id, media) -> rows of tensor_table; in a data frame a tensor is its flat list of FRAMES x MELS floats.
-
-    write them with pyarrow.parquet and tensor_type() to keep the fixed shape. A null medium has no rows.
-    """
+    """(doc_id, media) -> (doc_id, tensors): each medium's table of tensors as an Arrow stream, read with pyarrow.ipc. A null medium has none."""
     common.ship(media.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if m is not None:
-                    t = tensor_table([i], [m])
-                    flat = t.column("log_mel").combine_chunks()
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * (FRAMES * MELS)), flat.storage.flatten())
-                    yield from t.set_column(4, "log_mel", lists).to_batches()
+                made = None if m is None else stored(tensor_table([i], [m]))
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([made], pa.binary())], names=["doc_id", "tensors"])
 
-    return media.select(common.column("doc_id").cast("long"), common.column("media").cast("binary")).mapInArrow(run, "doc_id long, block int, start_s double, end_s double, log_mel array<float>")
+    return media.select(common.column("doc_id").cast("long"), common.column("media").cast("binary")).mapInArrow(run, "doc_id long, tensors binary")
 
 
 def audio_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_bytes, payload and media sizes and digests, and the digest of its features.
+    """Per row: doc_id, n_bytes, payload and media sizes and digests, and the digest of its features, read from the stored tensors and their time spans.
 
     Null texts count as empty (one unit of bytes 255); null ids and repeated rows stay; extra columns are
     ignored; equal texts give equal values. Whole texts, frames in blocks of BLOCK, no shuffle.
@@ -198,12 +230,20 @@ def audio_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def kernel(ids: list, texts: list) -> dict:
         out: dict[str, list] = {k: [] for k in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
+        group, size = [], 0
         for t in texts:
             raw = t.encode()
             media = to_wave(pad(raw))
-            rate, payload = from_wave(media)
-            for k, v in zip(out, (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), digest(analyse(payload))), strict=True):
+            _, payload = from_wave(media)
+            for k, v in zip(out, (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest()), strict=False):
                 out[k].append(v)
+            if group and size + len(media) > TOGETHER:
+                out["feature"] += digests(stored(tensor_table([0] * len(group), group)))
+                group, size = [], 0
+            group.append(media)
+            size += len(media)
+        if group:
+            out["feature"] += digests(stored(tensor_table([0] * len(group), group)))
         return {"doc_id": ids} | out
 
     return common.map_texts(docs, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", kernel, id_col, text_col)

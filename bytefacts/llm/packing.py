@@ -1,8 +1,9 @@
 """Packing along a space-filling curve.
 
 Each text becomes a vector of hashed byte trigrams, projected to three dimensions and placed on a
-Hilbert curve. Documents are range-sorted by their key (ties by doc_id, so copies may fall into several
-ranges) and each range is packed on its own: its token stream is cut every CAPACITY tokens, and what is
+Hilbert curve. Documents are range-sorted by their key (ties by doc_id and source partition, so copies may fall into several
+ranges). Ranges are cut to like numbers of bytes by a sample of about SAMPLE rows for each, so a key is worked out once
+for each document; where they are cut decides nothing but the work of a task. Each range is packed on its own: its token stream is cut every CAPACITY tokens, and what is
 left at its end is cut into sequences of powers of two, which need no padding. No step needs more than
 one sequence in memory besides the text at hand.
 """
@@ -87,6 +88,42 @@ def curve_key(text: Column) -> Column:
     return F.arrow_udf(keys, "long")(text)
 
 
+#: What documents are sorted by: rows of one id and text still differ in where they were read.
+ORDER = ("curve_key", "doc_id", "part")
+#: Rows in the sample for each range.
+SAMPLE = 100
+_PLACE = np.dtype([("key", "<i8"), ("id", "<i8"), ("part", "<i8")])
+
+
+def _places(key: pa.Array, doc_id: pa.Array, part: pa.Array) -> np.ndarray:
+    """Rows of ORDER as they sort: a null id comes first."""
+    out = np.empty(len(key), dtype=_PLACE)
+    for name, column, none in (("key", key, 0), ("id", doc_id, np.iinfo(np.int64).min), ("part", part, 0)):
+        out[name] = column.fill_null(none).to_numpy(zero_copy_only=False)
+    return out
+
+
+def range_ends(placed: DataFrame, rows: int, ranges: int) -> np.ndarray:
+    """Where each range but the last ends, as of _places: about as many bytes in each. Gathers some SAMPLE rows of four numbers for each range."""
+    share = min(1.0, SAMPLE * ranges / max(rows, 1))
+    weight = F.coalesce(F.octet_length("text"), F.lit(0)) + 64  # a row costs something even without text
+    sample = placed if share == 1.0 else placed.sample(share, 17)
+    seen = sample.select(*ORDER, weight.cast("long").alias("weight")).toArrow()
+    places = _places(*(seen.column(c).combine_chunks() for c in ORDER))
+    order = np.argsort(places, order=_PLACE.names)
+    sums = np.cumsum(seen.column("weight").to_numpy()[order])
+    return np.unique(places[order][np.searchsorted(sums, sums[-1] * np.arange(1, ranges) / ranges)]) if len(sums) else places
+
+
+def range_of(ends: np.ndarray) -> Column:
+    """The number of a row's range."""
+
+    def number(key: pa.Array, doc_id: pa.Array, part: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(ends, _places(key, doc_id, part)), type=pa.int32())
+
+    return F.arrow_udf(number, "int")(*ORDER)
+
+
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit numbers."""
 
@@ -188,9 +225,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPAC
         if rows := list(packer.finish()):
             yield batch_of(rows)
 
-    placed = common.documents(docs, id_col, text_col).withColumn("curve_key", curve_key(F.col("text")))
-    ranges = placed.repartitionByRange("curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id")
-    return ranges.mapInArrow(run, schema)
+    placed = common.documents(docs, id_col, text_col).select("*", curve_key(F.col("text")).alias("curve_key"), F.spark_partition_id().cast("long").alias("part"))
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ends = range_ends(placed, docs.count(), ranges)
+    dealt = placed.repartitionById(len(ends) + 1, range_of(ends)).sortWithinPartitions(*ORDER)
+    return dealt.mapInArrow(run, schema)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,6 +64,13 @@ class CharacterMap:
         size = struct.unpack_from("<I", blob)[0] if blob else 0
         self.units = struct.unpack_from(f"<{size // 4}I", blob, 4) if size else ()
         self.replacements = blob[4 + size :]
+        #: Bytes that an entry may begin with.
+        self.heads = np.array([bool(self.units) and self._begins(b) for b in range(256)])
+
+    def _begins(self, byte: int) -> bool:
+        root = self.units[0]
+        node = ((root >> 10) << ((root & 512) >> 6)) ^ byte
+        return node < len(self.units) and self.units[node] & 0x800000FF == byte
 
     def longest(self, text: bytes, at: int) -> tuple[int, int]:
         """(bytes matched, offset of the replacement) of the longest prefix at `at`; (0, 0) if there is none."""
@@ -113,10 +120,21 @@ class Model:
         self.runs = Cache(lambda chunk: self.pack(self.chunk(chunk)), 50_000)
 
     def normalise(self, text: str) -> Normalised:
-        """Normalised text with its alignment, as the model's own rules say."""
+        """Normalised text with its alignment, as the model's own rules say.
+
+        Only bytes that may begin an entry of the map, and spaces, are looked up; what lies between them stands for itself.
+        """
         raw = text.encode()
-        out, origin, at, n = bytearray(), [], 0, len(raw)
         mark = SPACE.encode() if self.escape else b" "
+        x = np.frombuffer(raw, dtype=np.uint8)
+        if not self.squeeze and not self.map.units:  # nothing to look up: each byte stands for itself, each space for its mark
+            if not raw:
+                return Normalised("", np.zeros(1, dtype=np.int64))
+            origin = np.repeat(np.arange(len(x)), np.where(x == 32, len(mark), 1))
+            lead = np.zeros(len(mark) * self.dummy_prefix, dtype=np.int64)
+            return Normalised((" " * self.dummy_prefix + text).replace(" ", mark.decode()), np.concatenate([lead, origin, [len(raw)]]))
+        stops = np.flatnonzero(self.map.heads[x] | (x == 32)).tolist()
+        out, origin, at, n, k = bytearray(), [], 0, len(raw), 0
         if self.squeeze:
             while at < n:
                 size, value = self._one(raw, at)
@@ -130,6 +148,14 @@ class Model:
             origin += [at] * len(mark)
         gap = self.squeeze
         while at < n:
+            while k < len(stops) and stops[k] < at:
+                k += 1
+            stop = stops[k] if k < len(stops) else n
+            if stop > at:  # a run without anything to look up
+                out += raw[at:stop]
+                origin += range(at, stop)
+                at, gap = stop, False
+                continue
             size, value = self._one(raw, at)
             while gap and value.startswith(b" "):
                 value = value[1:]
@@ -164,29 +190,21 @@ class Model:
         return ",".join(map(str, ids)).encode(), array("I", ids).tobytes()
 
     def encode(self, text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
-        """(ids as decimal text joined by commas, ids, end of each piece in original bytes)."""
+        """(ids as decimal text joined by commas, ids, end of each piece in original bytes): normalised with its alignment, encoded, projected."""
         if not text:
             return b"", np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        if not self.identity:
-            norm = self.normalise(text)
+        norm = self.normalise(text)
+        if not self.identity:  # the library's own rules for the text as it is; normalised chunks need not be fixed points of them
             ids = np.array(self.library.encode(text, num_threads=1), dtype=np.int64)
             return ",".join(map(str, ids.tolist())).encode(), ids, self.project(norm, ids)
-        # the character map is empty: each byte stands for itself, but for a space, whose mark has 3 bytes
-        if SPACE in text or "  " in text or text[0] == " ":
-            got = list(map(self.runs.__getitem__, CHUNK.findall(SPACE + text.replace(" ", SPACE))))
+        words = norm.text[1:].split(SPACE)
+        if "" in words or SPACE in text:
+            got = list(map(self.runs.__getitem__, CHUNK.findall(norm.text)))
         else:
-            got = list(map(self.after_space.__getitem__, text.split(" ")))
+            got = list(map(self.after_space.__getitem__, words))
         said, packed = zip(*got, strict=True)
         ids = np.frombuffer(b"".join(packed), dtype="<u4").astype(np.int64)
-        if SPACE in text:
-            return b",".join(said), ids, self.project(self.normalise(text), ids)
-        return b",".join(said), ids, np.cumsum(self.sizes_in_source()[ids]) - 1
-
-    @functools.lru_cache(maxsize=1)  # noqa: B019
-    def sizes_in_source(self) -> np.ndarray:
-        """Original bytes of each piece where every U+2581 stands for one space (the first, of no bytes, counts 1 too much)."""
-        marks = np.array([self.library.id_to_piece(i).count(SPACE) if self.kinds[i] != 6 else 0 for i in range(len(self.kinds))])
-        return self.sizes - 2 * marks
+        return b",".join(said), ids, self.project(norm, ids)
 
     def project(self, norm: Normalised, ids: np.ndarray) -> np.ndarray:
         """Where each piece ends in the original bytes: the pieces tile the normalised text."""

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from bytefacts.llm.audio import DOWN, FRAMES, HOP, MELS, RATE, TAPS, UNIT, analyse, audio_features, audio_tensors, from_wave, hysteresis, low_pass, mel_filters, pad, resample, tensor_table, to_wave
+from bytefacts.llm.audio import DOWN, FFT, FRAMES, HIGH, HOP, LOW, MELS, RATE, SHORTEST, TAPS, UNIT, WINDOW, analyse, audio_features, audio_tensors, digests, from_wave, hysteresis, low_pass, mel_filters, pad, resample, stored, tensor_table, to_wave
 
 from .helpers import edge_docs, edge_rows, got, no_docs
 
@@ -49,11 +49,55 @@ def test_tensors_have_a_fixed_shape(tmp_path, spark):
     assert table.schema.field("log_mel").type.shape == [FRAMES, MELS]
     pq.write_table(table, tmp_path / "t.parquet")
     assert pq.read_table(tmp_path / "t.parquet").schema.field("log_mel").type == pa.fixed_shape_tensor(pa.float32(), [FRAMES, MELS])
-    rows = audio_tensors(spark.createDataFrame([(1, media[0]), (2, media[1]), (3, None)], "doc_id long, media binary")).collect()
-    assert len(rows) == table.num_rows and all(len(r.log_mel) == FRAMES * MELS for r in rows)
+    rows = {r.doc_id: r.tensors for r in audio_tensors(spark.createDataFrame([(1, media[0]), (2, media[1]), (3, None)], "doc_id long, media binary")).collect()}
+    assert rows[3] is None and pa.ipc.open_stream(rows[1]).read_all().equals(tensor_table([1], media[:1]))
     spans = table.to_pydict()
     assert all(b > a for a, b in zip(spans["start_s"], spans["end_s"], strict=True))
     assert spans["start_s"][1] == FRAMES * HOP * DOWN / RATE
+    f = analyse(from_wave(media[0])[1])
+    cubes = table.column("log_mel").combine_chunks().to_numpy_ndarray()
+    assert np.array_equal(cubes[: -(-len(f.energy) // FRAMES)].reshape(-1, MELS)[: len(f.energy)], f.log_mel)
+    assert [(x["start_s"], x["end_s"]) for d, v in zip(spans["doc_id"], spans["voiced"], strict=True) if d == 1 for x in v] == f.spans()
+
+
+def plain_feature(raw):
+    """The digest by loops over frames and direct sums, without blocks, phases or tensors."""
+    x = (np.frombuffer(pad(raw), dtype=np.uint8).astype(np.float64) - 128) / 128
+    h = low_pass().T.ravel().astype(np.float64)
+    padded = np.concatenate([np.zeros(TAPS // 2), x, np.zeros(TAPS + 2)])
+    y = np.array([padded[DOWN * k : DOWN * k + TAPS] @ h for k in range(-(-len(x) // DOWN))])
+    y = np.concatenate([y, np.zeros(max(0, WINDOW - len(y)))])
+    mel, energy = [], []
+    k = np.arange(FFT // 2 + 1)[:, None] * np.arange(WINDOW) * (2 * np.pi / FFT)
+    for at in range(0, len(y) - WINDOW + 1, HOP):
+        part = y[at : at + WINDOW] * np.hanning(WINDOW)
+        power = (np.cos(k) @ part) ** 2 + (np.sin(k) @ part) ** 2
+        mel.append(np.log(power @ mel_filters().astype(np.float64) + 1e-6))
+        energy.append(np.log((y[at : at + WINDOW] ** 2).mean() + 1e-6))
+    floor, segments, start = np.quantile(np.float32(energy), 0.1), [], None
+    for i, e in enumerate([*energy, -np.inf]):
+        if start is None and e >= floor + HIGH:
+            start = i
+        elif start is not None and e < floor + LOW:
+            if i - start >= SHORTEST:
+                segments.append((start, i))
+            start = None
+    mean = np.mean(mel, axis=0)
+    return len(energy), len(segments), sum(b - a for a, b in segments) * 1000 // len(energy), np.mean(energy), mean
+
+
+def test_features_equal_direct_sums():
+    r = np.random.default_rng(8)
+    texts = [b"", b"a", b"a few words", b"word " * 700, bytes(r.integers(32, 127, 5000)), b"x" * 3000 + b"\x00\xff" * 900 + b"mild words here " * 90, " ünïcödé 日本".encode() * 60]
+    got_ = digests(stored(tensor_table([0] * len(texts), [to_wave(pad(t)) for t in texts])))
+    for t, said in zip(texts, got_, strict=True):
+        frames, segments, voiced, level, mean = plain_feature(t)
+        told = dict(x.split("=") for x in said.split(";"))
+        assert (int(told["frames"]), int(told["segments"]), int(told["voiced"])) == (frames, segments, voiced), t[:20]
+        assert abs(float(told["level"]) - level) < 0.011
+        bands = [int(x) for x in told["bands"].split("-")]
+        assert all(mean[b] >= np.sort(mean)[-3] - 0.002 for b in bands) and len(set(bands)) == 3
+    assert digests(stored(tensor_table([], []))) == []
 
 
 def test_edge_cases(spark):
@@ -63,5 +107,5 @@ def test_edge_cases(spark):
         payload = pad(text.encode())
         media = to_wave(payload)
         assert tuple(r)[1:-1] == (len(text.encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest())
-        assert features.setdefault(text, r.feature) == r.feature
+        assert features.setdefault(text, r.feature) == r.feature == digests(stored(tensor_table([0], [media])))[0]
     assert got(audio_features(no_docs(spark))) == []

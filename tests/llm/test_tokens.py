@@ -6,10 +6,11 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from bytefacts.llm.bpe import ByteBpe, settled
-from bytefacts.llm.packing import CAPACITY, Packer, hilbert, pack
+from bytefacts.llm.packing import CAPACITY, Packer, curve_key, hilbert, pack, range_ends, range_of
 from bytefacts.llm.piece_encoding import CharacterMap, Model, encode_pieces, model, piece_digests, proto_fields
 from bytefacts.llm.token_counts import Counter, token_counts, whole_tokens
 
@@ -90,6 +91,27 @@ def test_piece_digests_of_edge_cases(spark):
     assert row.ends[-1] == 7 and len(row.ends) == len(row.ids)
 
 
+def test_ranges_hold_like_numbers_of_bytes(spark):
+    """Half of the rows are copies with one id and text, and long texts lie together: no range is far above its share."""
+    r = random.Random(4)
+    rows = [(7, "the same text again and again " * 8)] * 2000 + [(i, "".join(r.choice("ab cd") for _ in range(r.choice([40, 40, 4000])))) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    placed = docs.select("*", curve_key(docs.text).alias("curve_key"), F.spark_partition_id().cast("long").alias("part"))
+    ends = range_ends(placed, len(rows), 6)
+    bytes_ = [x.n for x in placed.groupBy(range_of(ends).alias("range")).agg(F.sum(F.octet_length("text")).alias("n")).collect()]
+    assert len(bytes_) == 6 and max(bytes_) < 1.8 * sum(bytes_) / 6
+    assert placed.where(range_of(ends) > 5).count() == 0 and len(range_ends(placed.limit(0), 0, 6)) == 0
+
+
+def test_every_place_of_a_normalised_text_has_its_origin():
+    m = model(PIECES)
+    for t in odd_texts(300) + [" ", "a", "日 本"]:
+        norm, raw = m.normalise(t), t.encode()
+        if t:
+            want = [0, 0, 0, *(i for i, b in enumerate(raw) for _ in range(3 if b == 32 else 1)), len(raw)]
+            assert norm.origin.tolist() == want and norm.text == "▁" + t.replace(" ", "▁")
+
+
 def test_hilbert_visits_every_cell_once_and_moves_one_step():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3), axis=-1).reshape(-1, 3)
     order = cells[np.argsort(hilbert(cells, 3))]
