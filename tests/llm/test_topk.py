@@ -3,7 +3,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from bytefacts.llm.topk import Index, search_block, top_k
+from bytefacts.llm.topk import Index, top_k
 
 from .helpers import got
 
@@ -35,20 +35,34 @@ def test_top_k_of_edge_cases(spark):
     assert got(top_k(one, F.col("vec_id") % 50 == 0)) == []
 
 
-def test_stops_before_the_last_segment_where_it_can():
+def test_stops_on_proof():
     r = np.random.default_rng(2)
-    x = r.standard_normal((4000, 8))
-    x *= np.exp(r.standard_normal((4000, 1)))
-    index = Index(np.floor(256 * x).astype(np.int64))
-    q = np.floor(256 * r.standard_normal((3, 8))).astype(np.int64)
-    for i, possible in index.candidates(q, 6):
-        exact = index.x @ q[i]
-        best = np.argsort(-exact, kind="stable")[:6]
-        assert set(best) <= set(possible.tolist()) and len(possible) < 4000
+    near = r.standard_normal((40, 64))[r.integers(0, 40, 4000)] + 0.5 * r.standard_normal((4000, 64))
+    for x in (r.standard_normal((4000, 8)) * np.exp(r.standard_normal((4000, 1))), near / np.linalg.norm(near, axis=1)[:, None]):
+        x = np.floor(256 * x).astype(np.int64)
+        index, q = Index(x), x[:3]
+        for i, possible in index.candidates(q, 6):
+            exact = index.x @ q[i]
+            best = np.argsort(-exact, kind="stable")[:6]
+            assert set(best) <= set(possible.tolist())
+        assert all(taken < steps for taken, steps in index.taken)
 
 
-def test_blocks_need_not_hold_any_row():
-    import pandas as pd
+def test_magnitudes_of_any_size():
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.integers(-(2**62), 2**62, (200, 5)), r.integers(-9, 9, (200, 5)), [[-(2**63)] * 5, [2**63 - 1] * 5]])
+    ids, q = np.arange(len(x)), x[[0, 250, 400, 401]]
+    got_ = Index(x).top(q, np.array([0, 250, 400, 401]), ids, 5)
+    want = []
+    for i, v in zip((0, 250, 400, 401), q.tolist(), strict=True):
+        s = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, y)))), j) for j, y in enumerate(x.tolist()) if j != i)[:5]
+        want += [(i, j, -t) for t, j in s]
+    assert got_ == want
 
-    empty = pd.DataFrame({"vec_id": [], "x": []})
-    assert search_block(empty, empty, 5).empty
+
+def test_many_blocks_equal_one(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, r.standard_normal(r.integers(1, 12)).tolist()) for i in range(500)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert got(top_k(frame, F.col("vec_id") % 50 == 0, block=60)) == brute(rows)
+    assert got(top_k(frame, F.col("vec_id") % 50 == 0, block=3)) == brute(rows)
