@@ -27,6 +27,7 @@ K, SCALE, EVERY = 5, 256, 50
 BLOCK, BATCH, LEVELS = 8192, 512, 24
 #: From this share of all components on, a level's segments are added as one matrix product.
 DENSE = 0.02
+PROBES = 8
 #: Scores up to this are rescored in 64-bit integers, others in Python's.
 EXACT = float(1 << 62)
 
@@ -85,11 +86,13 @@ class Index:
                 for d, ids, value in segments:
                     acc[ids] += value[:, None] * weights[:, d]
             last = step == len(self.steps) - 1
-            if not last and share > 0.6:
-                continue
-            gain = np.minimum(np.minimum(rest[:, None] * length, sums[:, None] * top), most * total) + slack
-            possible = acc + gain >= np.partition(acc - gain, n - k, axis=0)[n - k]
-            if last or possible.mean() < share:
+            for part in (slice(0, PROBES), slice(None)):  # a few queries tell whether the others are worth the look
+                gain = np.minimum(np.minimum(rest[:, None] * length[part], sums[:, None] * top[part]), most * total[part]) + slack[part]
+                possible = acc[:, part] + gain >= np.partition(acc[:, part] - gain, n - k, axis=0)[n - k]
+                enough = last or possible.mean() < share
+                if not enough:
+                    break
+            if enough:
                 self.taken.append((step + 1, len(self.steps)))
                 for i in range(b):
                     yield i, np.flatnonzero(possible[:, i])
