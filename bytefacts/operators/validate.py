@@ -64,13 +64,13 @@ def rules_54() -> list[tuple[str, str, Column]]:
     m, known = F.col("mnemonic"), F.col("mnemonic").isNotNull()
     target = F.col("pc") + 1 + F.col("sj")
     return [
-        ("L54-OP-001", "error", ~known),
-        ("L54-REG-001", "warning", known & ~m.isin("JMP", "EXTRAARG", "SETTABUP", "RETURN0", "VARARGPREP") & (F.col("a") >= F.col("maxstacksize"))),
-        ("L54-CONST-001", "error", (m == "LOADK") & (F.col("bx") >= F.col("n_const"))),
-        ("L54-UPVAL-001", "error", m.isin("GETUPVAL", "SETUPVAL", "GETTABUP") & (F.col("b") >= F.col("n_upval"))),
-        ("L54-UPVAL-002", "error", (m == "SETTABUP") & (F.col("a") >= F.col("n_upval"))),
-        ("L54-PROTO-001", "error", (m == "CLOSURE") & (F.col("bx") >= F.col("n_protos"))),
-        ("L54-JMP-001", "error", (m == "JMP") & ((target < 0) | (target >= F.col("n")))),
+        ("L54-VAL-OPCODE-001", "error", ~known),
+        ("L54-VAL-REG-001", "warning", known & ~m.isin("JMP", "EXTRAARG", "SETTABUP", "RETURN0", "VARARGPREP") & (F.col("a") >= F.col("maxstacksize"))),
+        ("L54-VAL-CONST-001", "error", (m == "LOADK") & (F.col("bx") >= F.col("n_const"))),
+        ("L54-VAL-UPVAL-001", "error", m.isin("GETUPVAL", "SETUPVAL") & (F.col("b") >= F.col("n_upval"))),
+        ("L54-VAL-UPVAL-002", "error", ((m == "GETTABUP") & (F.col("b") >= F.col("n_upval"))) | ((m == "SETTABUP") & (F.col("a") >= F.col("n_upval")))),
+        ("L54-VAL-PROTO-001", "error", (m == "CLOSURE") & (F.col("bx") >= F.col("n_protos"))),
+        ("L54-VAL-JUMP-001", "error", (m == "JMP") & ((target < 0) | (target >= F.col("n")))),
     ]
 
 
@@ -120,6 +120,50 @@ def rules_52(dialect: str) -> list[tuple[str, str, Column]]:
     ]
 
 
+def rules_55() -> list[tuple[str, str, Column]]:
+    """(code, severity, condition) of each 5.5 rule about a word; columns as for rules_51, k, sj, ax, and those of neighbours()."""
+    m, known, stack = F.col("mnemonic"), F.col("mnemonic").isNotNull(), F.col("maxstacksize")
+    a, b, c, n_const = F.col("a"), F.col("b"), F.col("c"), F.col("n_const")
+    binary = ("ADD", "SUB", "MUL", "MOD", "POW", "DIV", "IDIV", "BAND", "BOR", "BXOR", "SHL", "SHR")
+    with_k = tuple(f"{n}K" for n in binary[:10])
+    after_kx = F.col("prev_mnemonic") == "LOADKX"
+    alone = (m == "EXTRAARG") & ~F.coalesce(F.col("prev_mnemonic").isin("LOADKX", "NEWTABLE", "SETLIST"), F.lit(False))
+    out = lambda t: (t < 0) | (t >= F.col("n"))
+    jumps = ((m == "JMP") & out(F.col("pc") + 1 + F.col("sj"))) | (m.isin("FORPREP", "TFORPREP") & out(F.col("pc") + 1 + F.col("bx"))) | (m.isin("FORLOOP", "TFORLOOP") & out(F.col("pc") + 1 - F.col("bx")))
+    b_reg = m.isin("MOVE", "GETTABLE", "GETI", "GETFIELD", "SETTABLE", "SELF", "ADDI", "SHLI", "SHRI", *with_k, *binary, "MMBIN", "UNM", "BNOT", "NOT", "LEN", "EQ", "LT", "LE", "TESTSET", "GETVARG")
+    c_reg = m.isin("GETTABLE", *binary, "GETVARG") | (m.isin("SETTABUP", "SETTABLE", "SETI", "SETFIELD") & (F.col("k") == 0))
+    constant = (
+        ((m == "LOADK") & (F.col("bx") >= n_const))
+        | (m.isin("GETFIELD", "GETTABUP", *with_k) & (c >= n_const))
+        | (m.isin("SETFIELD", "SETTABUP", "MMBINK", "EQK") & (b >= n_const))
+        | (m.isin("SETTABLE", "SETI") & (F.col("k") != 0) & (c >= n_const))
+        | ((m == "ERRNNIL") & (F.col("bx") > 0) & (F.col("bx") - 1 >= n_const))
+        | ((m == "EXTRAARG") & after_kx & (F.col("ax") >= n_const))
+    )
+    span = (
+        ((m == "LOADNIL") & (a + b >= stack))
+        | ((m == "CONCAT") & (b > 0) & (a + b - 1 >= stack))
+        | ((m == "SELF") & (a + 1 >= stack))
+        | (m.isin("CALL", "TAILCALL") & (b > 1) & (a + b - 1 >= stack))
+        | ((m == "CALL") & (c > 1) & (a + c - 2 >= stack))
+        | ((m == "RETURN") & (b > 1) & (a + b - 2 >= stack))
+        | (m.isin("FORLOOP", "FORPREP", "TFORLOOP") & (a + 2 >= stack))
+        | ((m == "TFORCALL") & (a + 3 + c >= stack))
+    )
+    return [
+        ("L55-OP-001", "error", ~known),
+        ("L55-COMPANION-001", "error", ((m == "LOADKX") & ~F.coalesce(F.col("next_mnemonic") == "EXTRAARG", F.lit(False))) | alone),
+        ("L55-JMP-001", "error", jumps),
+        ("L55-REG-001", "error", known & ~m.isin("JMP", "EXTRAARG", "SETTABUP", "RETURN0", "VARARGPREP") & (a >= stack)),
+        ("L55-REG-002", "error", b_reg & (b >= stack)),
+        ("L55-REG-003", "error", c_reg & (c >= stack)),
+        ("L55-CONST-002", "error", constant),
+        ("L55-UPVAL-002", "error", (m.isin("GETUPVAL", "SETUPVAL", "GETTABUP") & (b >= F.col("n_upval"))) | ((m == "SETTABUP") & (a >= F.col("n_upval")))),
+        ("L55-PROTO-002", "error", (m == "CLOSURE") & (F.col("bx") >= F.col("n_protos"))),
+        ("L55-REG-SPAN-001", "error", known & span),
+    ]
+
+
 def stack_warnings(prototypes: DataFrame, by: list[str], dialect: str) -> DataFrame:
     """(by, code, severity) of prototypes with more than 250 registers."""
     return prototypes.where("maxstacksize > 250").select(*by, F.lit(f"L{dialect.replace('.', '')}-STACK-001").alias("code"), F.lit("warning").alias("severity"))

@@ -13,14 +13,14 @@ from bytefacts.operators import relations
 
 # Fixed exit classes.
 EXIT = {"success": 0, "invalid": 1, "usage": 2, "io": 3, "unsupported": 4, "limit": 5, "internal": 6}
-CALLERS_DEFAULT, CORPUS_BYTES = 10_000, 512 << 20
+CALLERS_DEFAULT = 10_000
 #: What the profiles can do.
 CAPABILITIES = {p: {"structure": True, "validate": True, "analysis": p.startswith("lua5.1") or p == "lua5.4", "callees": p.startswith("lua5.1"), "origins": p.startswith("lua5.1"), "identity": p.startswith("lua5.1"), "reencode": True} for p in ("lua5.1", "lua5.1-stock32", "lua5.1-lnum32", "lua5.2", "lua5.3", "lua5.4", "lua5.5")}
 
 
 def exit_class(code: Column) -> Column:
     """The exit class of a diagnostic code."""
-    name = F.when(code.startswith("CORE-LIMIT"), "limit").when(code.isin("PARSE-SOURCE-001", "PARSE-UNKNOWN-001", "PARSE-UNSUPPORTED-001"), "unsupported").when(code.startswith("CORE-IO"), "io").when(code.startswith("INTERNAL"), "internal").otherwise("invalid")
+    name = F.when(code.startswith("CORE-LIMIT") | code.startswith("ANA-LIMIT"), "limit").when(code.isin("PARSE-SOURCE-001", "PARSE-UNKNOWN-001", "ANA-PRECOND-001"), "unsupported").when(code.startswith("IO-"), "io").when(code.startswith("INTERNAL"), "internal").otherwise("invalid")
     return F.element_at(F.create_map(*(F.lit(x) for kv in EXIT.items() for x in kv)), name)
 
 

@@ -719,9 +719,9 @@ def lift_55(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @asked("""WITH o AS (SELECT o_orderkey, o_custkey % 200 AS a, o_orderkey % 200 AS lb, o_custkey % 250 AS lc, o_orderkey // 4 % 4 AS kind, o_orderkey % 2 AS k FROM orders), w AS (SELECT *, lb * 2 + lc * 512 + k AS bx FROM o)
-SELECT o_orderkey, 'L54-CONST-001' AS code, 'error' AS severity FROM w WHERE kind = 0 AND bx >= 60000 UNION ALL SELECT o_orderkey, 'L54-UPVAL-001', 'error' FROM w WHERE kind = 1 AND lb >= 100
-UNION ALL SELECT o_orderkey, 'L54-UPVAL-002', 'error' FROM w WHERE kind = 2 AND a >= 100 UNION ALL SELECT o_orderkey, 'L54-PROTO-001', 'error' FROM w WHERE kind = 3 AND bx >= 70000
-UNION ALL SELECT o_orderkey, 'L54-REG-001', 'warning' FROM w WHERE kind <> 2 AND a >= 150""")
+SELECT o_orderkey, 'L54-VAL-CONST-001' AS code, 'error' AS severity FROM w WHERE kind = 0 AND bx >= 60000 UNION ALL SELECT o_orderkey, 'L54-VAL-UPVAL-001', 'error' FROM w WHERE kind = 1 AND lb >= 100
+UNION ALL SELECT o_orderkey, 'L54-VAL-UPVAL-002', 'error' FROM w WHERE kind = 2 AND a >= 100 UNION ALL SELECT o_orderkey, 'L54-VAL-PROTO-001', 'error' FROM w WHERE kind = 3 AND bx >= 70000
+UNION ALL SELECT o_orderkey, 'L54-VAL-REG-001', 'warning' FROM w WHERE kind <> 2 AND a >= 150""")
 def validate_rules_54(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = words.decode(order_words(spark, sf_dir, "lua5.4", ("LOADK", "GETUPVAL", "SETTABUP", "CLOSURE")), "5.4")
     w = w.withColumns({k: F.lit(v) for k, v in {"n": 20, "maxstacksize": 150, "n_const": 60_000, "n_upval": 100, "n_protos": 70_000}.items()})

@@ -128,7 +128,7 @@ class Reader:
 
     def take(self, n: int) -> bytes:
         if n < 0 or self.at + n > len(self.raw):
-            raise ChunkError("CORE-EOF-001", f"{n} bytes wanted, {len(self.raw) - self.at} left", self.at)
+            raise ChunkError("CORE-TRUNC-001", f"{n} bytes wanted, {len(self.raw) - self.at} left", self.at)
         self.at += n
         return self.raw[self.at - n : self.at]
 
@@ -143,7 +143,7 @@ class Reader:
         while True:
             b = self.take(1)[0]
             if value >> 57:
-                raise ChunkError("CORE-OVERFLOW-001", "a number of more than 64 bits", self.at)
+                raise ChunkError(f"L5{4 if last_marked else 5}-VARINT-001", "a number of more than 64 bits", self.at)
             value = value << 7 | b & 127
             if (b >= 128) == last_marked:
                 return value
@@ -152,34 +152,41 @@ class Reader:
         self.take(-self.at % n)
 
 
+# What the header holds after the format byte, by dialect, as (code, size and form, values that are read).
+HEADER = {
+    "5.2": (("004", "B", (1,)), ("005", "B", (4,)), ("006", "B", (4, 8)), ("007", "B", (4,)), ("008", "B", (8,)), ("009", "B", (0,)), ("010", "6s", (TAIL_52,))),
+    "5.3": (("004", "6s", (DATA,)), ("005", "B", (4,)), ("006", "B", (4, 8)), ("007", "B", (4,)), ("008", "B", (8,)), ("009", "B", (8,)), ("010", "q", (0x5678,)), ("011", "d", (370.5,))),
+    "5.4": (("004", "6s", (DATA,)), ("005", "B", (4,)), ("006", "B", (8,)), ("007", "B", (8,)), ("008", "q", (0x5678,)), ("009", "d", (370.5,))),
+    "5.5": (("004", "6s", (DATA,)), ("005", "B", (4,)), ("006", "i", (-0x5678,)), ("007", "B", (4,)), ("008", "I", (0x12345678,)), ("009", "B", (8,)), ("010", "q", (-0x5678,)), ("011", "B", (8,)), ("012", "d", (-370.5,))),
+}
+
+
 def _decode_header(r: Reader, profile: str) -> Chunk:
     d = dialect_of(profile)
-    if r.take(4) != SIGNATURE or r.take(1)[0] != LAYOUTS[d].version:
-        raise ChunkError("PARSE-001", "signature", 0)
+    family = f"L{d.replace('.', '')}-HEADER"
+    if r.take(4) != SIGNATURE:
+        raise ChunkError(f"{family}-001", "signature", 0)
+    if r.take(1)[0] != LAYOUTS[d].version:
+        raise ChunkError(f"{family}-002", "version", 4)
     c = Chunk(profile, Prototype())
     form = r.take(1)[0]
-    if d != "5.1" and form != 0:
-        raise ChunkError("PARSE-001", "format", 5)
-    if d in ("5.1", "5.2"):
-        if r.take(1)[0] != 1:
-            raise ChunkError("PARSE-UNSUPPORTED-001", "big-endian", 6)
-        c.int_size, c.size_size, inst, c.number_size, c.integral = r.take(5)
-        if inst != 4 or c.int_size not in (4, 8) or c.size_size not in (4, 8) or c.number_size not in (4, 8) or (d == "5.2" and (c.int_size, c.number_size, c.integral) != (4, 8, 0)):
-            raise ChunkError("PARSE-UNSUPPORTED-001", "sizes", 7)
-        if d == "5.2" and r.take(6) != TAIL_52:
-            raise ChunkError("PARSE-001", "tail", 12)
+    if d == "5.1":
+        endian, c.int_size, c.size_size, inst, c.number_size, c.integral = r.take(6)
+        if endian != 1 or inst != 4 or c.int_size not in (4, 8) or c.size_size not in (4, 8) or c.number_size not in (4, 8):
+            raise ChunkError(f"{family}-003", "byte order or sizes", 6)
     else:
-        if r.take(6) != DATA:
-            raise ChunkError("PARSE-001", "data", 6)
-        want = {"5.3": "BBBBBqd", "5.4": "BBBqd", "5.5": "BiBIBqBd"}[d]
-        known = {"5.3": (4, None, 4, 8, 8, 0x5678, 370.5), "5.4": (4, 8, 8, 0x5678, 370.5), "5.5": (4, -0x5678, 4, 0x12345678, 8, -0x5678, 8, -370.5)}[d]
-        got = [r.number(x) for x in want]
-        if d == "5.3":
-            c.size_size = got[1]
-            if c.size_size not in (4, 8):
-                raise ChunkError("PARSE-UNSUPPORTED-001", "size_t", r.at)
-        if any(k is not None and k != g for k, g in zip(known, got, strict=True)):
-            raise ChunkError("PARSE-UNSUPPORTED-001", "sizes or check values", r.at)
+        if form != 0 and d != "5.4":  # only 5.4 goes on with one of its own
+            raise ChunkError(f"{family}-003", "format", 5)
+        got = []
+        for code, kind, known in HEADER[d]:
+            at = r.at
+            got.append(r.number(kind))
+            if got[-1] not in known:
+                raise ChunkError(f"{family}-{code}", f"{got[-1]!r}", at)
+        if d in ("5.2", "5.3"):
+            c.int_size, c.size_size = got[1], got[2]
+        if d == "5.2":
+            c.number_size, c.integral = got[4], got[5]
     c.header_bytes = r.at
     if d in ("5.3", "5.4", "5.5"):
         c.upvalues = r.take(1)[0]
@@ -191,10 +198,13 @@ class _Body:
         self.r, self.c, self.d = r, chunk, dialect_of(chunk.profile)
         self.layout = LAYOUTS[self.d]
 
-    def count(self, most: int | None = None, code: str = "CORE-LIMIT-001") -> int:
+    def code(self, name: str) -> str:
+        return f"L{self.d.replace('.', '')}-{name}"
+
+    def count(self, most: int | None = None, name: str = "CODE-001") -> int:
         n = self.r.sized(self.c.int_size, True) if self.layout.count == "i32" else self.r.varint(self.layout.count == "varint")
         if n < 0 or (most is not None and n > most):
-            raise ChunkError(code, f"count {n}", self.r.at)
+            raise ChunkError(self.code(name), f"count {n}", self.r.at)
         return n
 
     def string(self) -> bytes | None:
@@ -215,7 +225,7 @@ class _Body:
         if n == 0:
             return None
         if n - 1 > MOST_STRING:
-            raise ChunkError("CORE-LIMIT-002", f"string of {n - 1} bytes", r.at)
+            raise ChunkError(self.code("STR-002" if self.d == "5.5" else "STR-001"), f"string of {n - 1} bytes", r.at)
         s = r.take(n)[:-1] if self.d in ("5.1", "5.2", "5.5") else r.take(n - 1)
         if self.d == "5.5":
             r.reused.append(s)
@@ -226,7 +236,7 @@ class _Body:
         tag = r.take(1)[0]
         kind = self.layout.tags.get(tag)
         if kind is None:
-            raise ChunkError(f"L{self.d.replace('.', '')}-CONST-001", f"constant tag {tag}", at)
+            raise ChunkError(self.code("CONST-002" if self.d == "5.4" or (self.d == "5.1" and tag == 9) else "CONST-001"), f"constant tag {tag}", at)
         if kind == "number":
             kind = "integer" if self.c.integral == 1 else "float"
         if kind in ("true", "false"):
@@ -255,8 +265,10 @@ class _Body:
     def prototype(self, depth: int = 0) -> Prototype:
         r, d, p = self.r, self.d, Prototype()
         r.protos += 1
-        if depth >= MOST_NESTING or r.protos > MOST_PROTOTYPES:
-            raise ChunkError("CORE-LIMIT-001", "nesting or number of prototypes", r.at)
+        if depth >= MOST_NESTING:
+            raise ChunkError("CORE-LIMIT-001", "nesting", r.at)
+        if r.protos > MOST_PROTOTYPES:
+            raise ChunkError("CORE-LIMIT-002", "number of prototypes", r.at)
         if self.layout.source_first:
             p.source = self.string()
         p.line_defined, p.last_line_defined = self.count(), self.count()
@@ -265,7 +277,7 @@ class _Body:
         n = self.count(MOST_WORDS)
         r.words += n
         if r.words > MOST_WORDS_IN_ALL:
-            raise ChunkError("CORE-LIMIT-001", "words in all", r.at)
+            raise ChunkError("CORE-LIMIT-004", "words in all", r.at)
         if self.layout.aligned:
             r.align(4)
         p.code_offset = r.at
@@ -279,14 +291,14 @@ class _Body:
         return p
 
     def _constants(self, p: Prototype, depth: int) -> None:
-        p.constants = [self.constant() for _ in range(self.count(MOST_CONSTANTS))]
+        p.constants = [self.constant() for _ in range(self.count(MOST_CONSTANTS, "CONST-002" if self.d == "5.3" else "CONST-001"))]
 
     def _protos(self, p: Prototype, depth: int) -> None:
-        p.protos = [self.prototype(depth + 1) for _ in range(self.count(MOST_PROTOTYPES))]
+        p.protos = [self.prototype(depth + 1) for _ in range(self.count(MOST_PROTOTYPES, "PROTO-001"))]
 
     def _upvalues(self, p: Prototype, depth: int) -> None:
         size = 3 if self.d in ("5.4", "5.5") else 2
-        p.upvalues = [Upvalue(*self.r.take(size)) for _ in range(self.count(MOST_UPVALUES))]
+        p.upvalues = [Upvalue(*self.r.take(size)) for _ in range(self.count(MOST_UPVALUES, "UPVAL-001"))]
 
     def _source(self, p: Prototype, depth: int) -> None:
         p.source = self.string()

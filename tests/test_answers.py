@@ -49,7 +49,7 @@ def test_disassembly_and_explanation(found):
 
 def test_outcomes_and_exit_classes(spark):
     found = spark.createDataFrame([("a", "ok", None), ("b", "ok", "PARSE-SOURCE-001"), ("c", "limit", None), ("d", "ok", None)], "path string, status string, skip string")
-    diags = spark.createDataFrame([("d", "CORE-EOF-001")], "path string, code string")
+    diags = spark.createDataFrame([("d", "CORE-TRUNC-001")], "path string, code string")
     counts = spark.createDataFrame([("a", 3), ("a", 4)], "path string, n_instr long")
     out = answers.outcomes(found, diags, counts)
     assert {r.path: (r.outcome, r.instruction_count) for r in out.collect()} == {"a": ("succeeded", 7), "b": ("skipped", 0), "c": ("failed", 0), "d": ("failed", 0)}

@@ -7,6 +7,7 @@ from bytefacts.functions import ids, words
 from bytefacts.operators import cfg, diff, lift, validate, xrefs
 from bytefacts.plans import predicate, query
 from bytefacts.sources import artifacts as source
+from bytefacts.sources import chunks
 from bytefacts.sources.chunks import MOST_NESTING, Chunk, ChunkError, Constant, Local, Prototype, Upvalue, decode, detect, encode, roles, walk
 from pyspark.sql import functions as F
 
@@ -235,3 +236,32 @@ def test_stream_decodes_each_content_once(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("rows").where("kind = 'chunk'").count() == 1 and spark.table("rows").where("kind = 'word'").count() == 7
+
+
+@pytest.mark.parametrize("profile", PROFILES)
+def test_damage_is_named(profile):
+    raw, d = encode(sample(profile)), "L" + chunks.dialect_of(profile).replace(".", "")
+    code = lambda bad: pytest.raises(ChunkError, decode, bytes(bad), profile).value.code
+    assert code(b"x" + raw[1:]) == f"{d}-HEADER-001" and code(raw[:4] + b"\x99" + raw[5:]) == f"{d}-HEADER-002"
+    assert code(raw[:6] + b"\x07" + raw[7:]) == (f"{d}-HEADER-003" if d == "L51" else f"{d}-HEADER-004")
+    assert code(raw[:-20]) == "CORE-TRUNC-001"
+    if d == "L54":
+        assert decode(raw[:5] + b"\x01" + raw[6:], profile).main.code
+    elif d != "L51":
+        assert code(raw[:5] + b"\x01" + raw[6:]) == f"{d}-HEADER-003"
+
+
+def test_rules_55(spark):
+    w = lambda name, **f: words.encode("5.5", opcode=F.lit(words.opcode_of(name, "5.5")), **{k: F.lit(v) for k, v in f.items()})
+    cases = [
+        (w("MOVE", a=9, b=0), {"L55-REG-001"}), (w("MOVE", a=0, b=9), {"L55-REG-002"}), (w("ADD", a=0, b=0, c=9), {"L55-REG-003"}), (w("SETFIELD", a=0, b=0, c=9), {"L55-REG-003"}), (w("SETFIELD", a=0, b=5, c=9, k=1), {"L55-CONST-002"}),
+        (w("LOADKX", a=0), set()), (w("EXTRAARG", ax=9), {"L55-CONST-002"}), (w("EXTRAARG", ax=0), {"L55-COMPANION-001"}), (w("LOADKX", a=0), {"L55-COMPANION-001"}), (w("ERRNNIL", a=0, bx=3), {"L55-CONST-002"}), (w("ERRNNIL", a=0, bx=2), set()),
+        (w("GETTABUP", a=0, b=3, c=0), {"L55-UPVAL-002"}), (w("SETTABUP", a=3, b=0, c=0), {"L55-UPVAL-002"}), (w("CLOSURE", a=0, bx=1), {"L55-PROTO-002"}), (w("CALL", a=3, b=4, c=1), {"L55-REG-SPAN-001"}), (w("JMP", sj=90), {"L55-JMP-001"}), (w("FORLOOP", a=0, bx=90), {"L55-JMP-001"}), (F.lit(127), {"L55-OP-001"}),
+    ]
+    rows = spark.range(1).select(F.posexplode(F.array(*(c for c, _ in cases)))).toDF("pc", "raw_word").withColumn("p", F.lit(1))
+    limits = {"n": len(cases), "maxstacksize": 5, "n_const": 2, "n_upval": 3, "n_protos": 1}
+    d = validate.neighbours(words.decode(rows, "5.5"), ["p"]).withColumns({k: F.lit(v) for k, v in limits.items()})
+    found = {}
+    for r in validate.violations(d, validate.rules_55(), ["p"]).collect():
+        found.setdefault(r.pc, set()).add(r.code)
+    assert [found.get(i, set()) for i in range(len(cases))] == [c for _, c in cases]

@@ -43,7 +43,7 @@ def test_effects(spark):
 
 
 def test_rules(spark):
-    cases = {w("LOADK", 0, bx=9): {"L54-CONST-001"}, w("GETUPVAL", 0, 0, 3): {"L54-UPVAL-001"}, w("SETTABUP", 3): {"L54-UPVAL-002"}, w("CLOSURE", 0, bx=2): {"L54-PROTO-001"}, w("JMP", sj=50): {"L54-JMP-001"}, w("MOVE", 9): {"L54-REG-001"}, 127: {"L54-OP-001"}, w("MOVE", 1, 0, 2): set()}
+    cases = {w("LOADK", 0, bx=9): {"L54-VAL-CONST-001"}, w("GETUPVAL", 0, 0, 3): {"L54-VAL-UPVAL-001"}, w("SETTABUP", 3): {"L54-VAL-UPVAL-002"}, w("CLOSURE", 0, bx=2): {"L54-VAL-PROTO-001"}, w("JMP", sj=50): {"L54-VAL-JUMP-001"}, w("MOVE", 9): {"L54-VAL-REG-001"}, 127: {"L54-VAL-OPCODE-001"}, w("MOVE", 1, 0, 2): set()}
     limits = {"n": 10, "maxstacksize": 5, "n_const": 2, "n_upval": 1, "n_protos": 1}
     frame = words.decode(spark.createDataFrame([(0, x) for x in cases], "pc int, raw_word long"), "5.4").withColumns({k: F.lit(v) for k, v in limits.items()}).withColumn("who", F.col("raw_word"))
     found = {}
