@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bytefacts.functions import ids, scalar, words
 from bytefacts.operators import callees, cfg, diff, disasm, dispatch, identity, lift, modules, origins, relations, validate, xrefs
 from bytefacts.plans import corpus, export, query
+from bytefacts.session import cut
 from bytefacts.sources import artifacts
 from bytefacts.synth import lineitem_words, order_words, part_calls, part_cases, part_chunks, part_modules, programs, table
 
@@ -786,3 +787,13 @@ def corpus_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls of a whole corpus resolved against what its modules export, from bytes to links."""
     made = corpus.linked(part_modules(spark, sf_dir), "trusted-init", most_exports=10_000_000)
     return made.links.select("path", F.array_join("segments", ".").alias("label"), "link_status", "target_path")
+
+
+@asked(f"""WITH {PART}, old AS (SELECT path, 2 * place AS index, 's' || p_name AS v FROM part_at UNION ALL SELECT path, 2 * place + 1, 'f' || p_retailprice FROM part_at),
+new AS (SELECT path, 3 * place AS index, 's' || p_name AS v FROM part_at UNION ALL SELECT path, 3 * place + 1, 'f' || p_retailprice FROM part_at UNION ALL SELECT path, 3 * place + 2, 'i' || p_size FROM part_at)
+SELECT path, 'constant' AS section, count(*) + 1 AS n FROM old JOIN new USING (path, index) WHERE old.v <> new.v GROUP BY path
+UNION ALL SELECT path, 'instruction', count(*) - 1 FROM part_at GROUP BY path UNION ALL SELECT DISTINCT path, 'chunk', 2 FROM part_at""")
+def diff_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two builds of the same parts, 5.1 and 5.3: headers, constants slot by slot and words differ; names, lines and numbers do not."""
+    old, new = (artifacts.facts(cut(artifacts.decoded(part_chunks(spark, sf_dir, p)))) for p in ("lua5.1", "lua5.3"))
+    return diff.artifacts(old, new, ["path"]).groupBy("path", "section").agg(F.count("*").alias("n"))

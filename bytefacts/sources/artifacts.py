@@ -82,7 +82,7 @@ def chunk_rows(content: bytes, profile_: str | None = None) -> list[dict]:
         c = chunks.decode(content, profile_)
     except chunks.ChunkError as e:
         return [{"kind": "diagnostic", "code": e.code, "message": e.message, "byte_offset": e.offset}, {"kind": "chunk", "profile": profile_ or chunks.detect(content), "code": "failed"}]
-    out: list[dict] = [{"kind": "chunk", "profile": c.profile, "code": "decoded", "str_raw": c.trailing}]
+    out: list[dict] = [{"kind": "chunk", "profile": c.profile, "code": "decoded", "str_raw": c.trailing, "raw_hex": content[: c.header_bytes].hex()}]
     old = c.profile.startswith("lua5.1")
     for path, p in chunks.walk(c.main):
         at = {"proto": list(path)}
@@ -145,7 +145,7 @@ def facts(rows: DataFrame) -> Facts:
     of = lambda kind: rows.where(F.col("kind") == kind)
     index = F.col("idx").alias("index")
     return Facts(
-        of("chunk").select(*WHO, "byte_length", F.col("code").alias("status"), F.hex("str_raw").alias("trailing_hex")),
+        of("chunk").select(*WHO, "byte_length", F.col("code").alias("status"), F.hex("str_raw").alias("trailing_hex"), F.col("raw_hex").alias("header_hex")),
         of("prototype").select(*WHO, "proto", ids.proto_text(F.col("proto")).alias("id"), F.slice("proto", 1, F.size("proto") - 1).alias("parent"), F.col("idx").alias("child_index"), F.col("name").alias("source_name"), "line_defined", "last_line_defined", "numparams", "is_vararg", "maxstacksize", "n_instr", "n_const", "n_upval", "n_protos"),
         of("word").select(*WHO, "proto", F.col("idx").alias("pc"), ids.text(F.col("proto"), "pc", F.col("idx")).alias("id"), F.col("word").alias("raw_word"), "byte_offset", F.col("length").alias("byte_length"), "role", "owner_pc", "upvalue_index", "line"),
         of("constant").select(*WHO, "proto", index, ids.text(F.col("proto"), "constant", F.col("idx")).alias("id"), "ctype", "bool_val", "int_val", "dbl_val", _bits().alias("dbl_bits"), "raw_hex", "str_raw", scalar.escape(F.col("str_raw")).alias("str_display"), F.isnan("dbl_val").alias("is_nan")),
