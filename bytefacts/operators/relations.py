@@ -11,7 +11,7 @@ LINKS = ("resolved", "absent", "duplicate", "dynamic", "unsupported", "limit_exc
 
 
 def call_relations(callees: DataFrame, stores: DataFrame, by: list[str]) -> DataFrame:
-    """callees with relation_status, basis and relation_reason.
+    """callees with relation_status, basis and relation_reason; a basis of their own becomes callee_basis.
 
     callees: by, call_id, status, prototype, segments, lookup_global, reason. stores: by, name, value_kind (closure, non-closure, unknown),
     prototype. A name resolves if it has exactly one store and that stores a closure.
@@ -33,7 +33,8 @@ def call_relations(callees: DataFrame, stores: DataFrame, by: list[str]) -> Data
     )
     basis = F.when(F.col("status") == "resolved-prototype", "closure-value").when(resolved, "unique-global-store")
     target = F.when(F.col("status") == "resolved-prototype", F.col("prototype")).when(resolved, F.col("stored"))
-    return joined.select(*callees.columns, F.when(resolved, "resolved").otherwise("unresolved").alias("relation_status"), basis.alias("basis"), target.alias("callee"), reason.alias("relation_reason"))
+    kept = [F.col(c).alias("callee_basis") if c == "basis" else F.col(c) for c in callees.columns]
+    return joined.select(*kept, F.when(resolved, "resolved").otherwise("unresolved").alias("relation_status"), basis.alias("basis"), target.alias("callee"), reason.alias("relation_reason"))
 
 
 def last_stores(stores: DataFrame, by: list[str], name: str = "name", order: str = "pc") -> DataFrame:

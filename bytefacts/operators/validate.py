@@ -178,19 +178,23 @@ def violations(words: DataFrame, rules: list[tuple[str, str, Column]], by: list[
 
 def verdict(diagnostics: DataFrame, artifacts: DataFrame, by: list[str]) -> DataFrame:
     """(by, verdict): invalid with an error, incomplete where a limit was hit, else valid-for-parser."""
-    said = diagnostics.groupBy(*by).agg(F.max(F.when(F.col("severity") == "error", 2).when(F.col("code").startswith("CORE-LIMIT"), 1).otherwise(0)).alias("worst"))
+    said = diagnostics.groupBy(*by).agg(F.max(F.when(F.col("code").startswith("CORE-LIMIT"), 1).when(F.col("severity") == "error", 2).otherwise(0)).alias("worst"))
     level = F.coalesce("worst", F.lit(0))
     return artifacts.select(*by).distinct().join(said, by, "left").select(*by, F.when(level == 2, "invalid").when(level == 1, "incomplete").otherwise("valid-for-parser").alias("verdict"))
 
 
-def truncated(diagnostics: DataFrame, by: list[str], order: list[str], cap: int) -> DataFrame:
+#: Diagnostics of an artifact that are told.
+MOST_DIAGNOSTICS = 10_000
+
+
+def truncated(diagnostics: DataFrame, by: list[str], order: list[str], cap: int = MOST_DIAGNOSTICS) -> DataFrame:
     """At most cap diagnostics of each artifact, repeats dropped first: errors before warnings, in order; the limit notice last if any was cut."""
     once = diagnostics.groupBy(*by, "code", "severity", "target").agg(F.min(F.struct(*order)).alias("first"))
     rank = F.coalesce(*(F.when(F.col("severity") == s, r) for s, r in SEVERITY.items()))
     at = Window.partitionBy(*by).orderBy(rank, "first", "code", "target")
     ranked = once.withColumn("position", F.row_number().over(at)).withColumn("found", F.count("*").over(Window.partitionBy(*by)))
     kept = ranked.where((F.col("found") <= cap) | (F.col("position") < cap)).select(*by, "code", "severity", "target", "position")
-    notice = ranked.where((F.col("found") > cap) & (F.col("position") == cap)).select(*by, F.lit("CORE-LIMIT-003").alias("code"), F.lit("warning").alias("severity"), F.lit(None).cast("string").alias("target"), "position")
+    notice = ranked.where((F.col("found") > cap) & (F.col("position") == cap)).select(*by, F.lit("CORE-LIMIT-003").alias("code"), F.lit("error").alias("severity"), F.lit(None).cast("string").alias("target"), "position")
     return kept.unionByName(notice)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bytefacts.functions import ids, scalar, words
 from bytefacts.operators import callees, cfg, diff, disasm, dispatch, identity, lift, modules, origins, relations, validate, xrefs
-from bytefacts.plans import corpus, export, query
+from bytefacts.plans import corpus, documents, export, query, stream
 from bytefacts.session import cut
 from bytefacts.sources import artifacts
 from bytefacts.synth import lineitem_words, order_words, part_calls, part_cases, part_chunks, part_modules, programs, table
@@ -459,7 +459,7 @@ def verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 @asked("""WITH once AS (SELECT user_id, event_type AS code, CASE WHEN event_type = 'error' THEN 'error' ELSE 'warning' END AS severity, CAST(CAST(floor(value) AS BIGINT) % 10 AS VARCHAR) AS target, min(event_id) AS first FROM events GROUP BY 1, 2, 3, 4),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE severity WHEN 'error' THEN 0 ELSE 1 END, first, code, target) AS position, count(*) OVER (PARTITION BY user_id) AS found FROM once)
 SELECT user_id, code, severity, target, CAST(position AS INTEGER) AS position FROM ranked WHERE found <= 12 OR position < 12
-UNION ALL SELECT user_id, 'CORE-LIMIT-003', 'warning', NULL, 12 FROM ranked WHERE found > 12 AND position = 12""")
+UNION ALL SELECT user_id, 'CORE-LIMIT-003', 'error', NULL, 12 FROM ranked WHERE found > 12 AND position = 12""")
 def diag_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("code"), F.when(F.col("event_type") == "error", "error").otherwise("warning").alias("severity"), (F.floor("value") % 10).cast("string").alias("target"), "event_id")
     return validate.truncated(d, ["user_id"], ["event_id"], 12)
@@ -797,3 +797,22 @@ def diff_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two builds of the same parts, 5.1 and 5.3: headers, constants slot by slot and words differ; names, lines and numbers do not."""
     old, new = (artifacts.facts(cut(artifacts.decoded(part_chunks(spark, sf_dir, p)))) for p in ("lua5.1", "lua5.3"))
     return diff.artifacts(old, new, ["path"]).groupBy("path", "section").agg(F.count("*").alias("n"))
+
+
+@asked(f"""WITH {PART} SELECT path, 'valid-for-parser' AS verdict, CAST(0 AS BIGINT) AS diagnostics, count(*) AS words, CAST(1 AS BIGINT) AS schema_version FROM part_at GROUP BY path""")
+def validated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts as machine documents: chunks of 5.2 and 5.5 made from parts, whose words and constants are all there."""
+    f = artifacts.facts(cut(artifacts.decoded(part_chunks(spark, sf_dir, "lua5.2"))))
+    said = documents.documents(f, documents.validated(f)).select("path", F.col("document").alias("d"))
+    seen = documents.documents(f, documents.inspected(f)).select("path", F.get_json_object("document", "$.data.instruction_count").cast("long").alias("words"))
+    field = lambda name, kind: F.get_json_object("d", name).cast(kind)
+    return said.join(seen, "path").select("path", field("$.data.verdict", "string").alias("verdict"), field("$.data.diagnostic_count", "long").alias("diagnostics"), "words", field("$.schema_version", "long").alias("schema_version"))
+
+
+@asked("""SELECT 'module-' || p_partkey AS path, CAST(CASE p_partkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 1 ELSE 2 END AS BIGINT) AS call_sites, CAST(0 AS BIGINT) AS caller,
+CAST(CASE WHEN p_partkey % 3 = 1 THEN 1 WHEN p_partkey % 3 = 0 THEN 1 ELSE 2 END AS BIGINT) AS rest FROM part""")
+def stream_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage of all call sites, answered from an export stream alone."""
+    found = part_modules(spark, sf_dir)
+    made = stream.coverage(stream.exported(found))
+    return made.select("path", "call_sites", "caller", (F.col("call_sites") - F.col("caller")).alias("rest"))
