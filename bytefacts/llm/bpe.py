@@ -59,7 +59,8 @@ class ByteBpe:
         order = [vocab[a + b] for a, b in merges]
         if order != sorted(order):
             raise ValueError("ids do not follow the order of the merges")
-        ranks = {b: i for b, i in self.by_bytes.items()}
+        made = set(order)  # a string that no merge makes is no token of any text, unless it is one byte
+        ranks = {b: i for b, i in self.by_bytes.items() if len(b) == 1 or i in made}
         self.merger = tiktoken.Encoding("bytefacts", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.pattern = regex.compile(PATTERN)
 

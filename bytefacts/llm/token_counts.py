@@ -19,16 +19,17 @@ LIMIT = 1024
 
 
 def whole_tokens(bpe: ByteBpe) -> frozenset[str]:
-    """Vocabulary strings proven to encode alone as one token."""
-    proven = set()
+    """Vocabulary strings proven to encode alone as one token: each is encoded by the library itself, merges and all."""
+    likely = []
     for raw, i in bpe.by_bytes.items():
         try:
             s = raw.decode("utf-8")
         except UnicodeDecodeError:
             continue
-        if settled(s) and bpe.pattern.findall(s) == [s] and bpe.merger.encode_ordinary(s) == [i]:
-            proven.add(s)
-    return frozenset(proven)
+        if settled(s) and bpe.pattern.findall(s) == [s]:
+            likely.append((s, i))
+    said = bpe.library.encode_batch([s for s, _ in likely], add_special_tokens=False)
+    return frozenset(s for (s, i), e in zip(likely, said, strict=True) if e.ids == [i])
 
 
 class Counter:

@@ -43,6 +43,23 @@ def test_whole_tokens_are_one_token(library):
     assert not settled("\U0003d000")
 
 
+def test_a_string_that_no_merge_reaches_is_not_whole(tmp_path):
+    """A vocabulary with a string whose merges lead past it: the library makes two tokens of it, and so does the count."""
+    import json
+
+    spec = json.loads(open(BPE, encoding="utf-8").read())
+    vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+    top = max(vocab.values()) + 1
+    vocab["qzxqzx"] = top  # no merge ends in it
+    at = tmp_path / "odd.json"
+    at.write_text(json.dumps(spec | {"model": spec["model"] | {"vocab": vocab, "merges": merges}}), encoding="utf-8")
+    bpe = ByteBpe(str(at))
+    n = len(bpe.library.encode("qzxqzx", add_special_tokens=False).ids)
+    assert n > 1 and "qzxqzx" not in whole_tokens(bpe)
+    for t in ("qzxqzx", "a qzxqzx", "qzxqzxqzxqzx 1"):
+        assert Counter(str(at)).count(t) == len(bpe.library.encode(t, add_special_tokens=False).ids) == len(bpe.chunk_ids(t))
+
+
 def test_token_counts_of_edge_cases(spark, library):
     rows = edge_rows()
     want = sorted(((i, len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 1024) for i, t, *_ in rows), key=repr)
