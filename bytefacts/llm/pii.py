@@ -497,23 +497,23 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with every span of the text replaced by its kind; other columns, and null texts, stay as they are."""
+    """docs with every span of the text replaced by its kind; other columns, whatever their names, and null texts, stay as they are."""
     import pyarrow as pa
 
     common.ship(docs.sparkSession)
-    weights = _weights(docs)
+    weights, at = _weights(docs), docs.columns.index(text_col)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
 
     def run(batches):
         for batch in batches:
-            for part in common.slices(batch, text_col):
-                at = part.schema.get_field_index(text_col)
+            for part in common.slices(batch, f"c{at}"):
                 texts = part.column(at).to_pylist()
                 full = [t or "" for t in texts]
                 more = model_spans(full, _net(weights.value))
                 new = [None if t is None else redacted(t, merged(base_spans(t), m)) for t, m in zip(texts, more, strict=True)]
                 yield part.set_column(at, part.schema.field(at), pa.array(new, type=part.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,19 +96,26 @@ def test_decisions_equal_the_definition(spark):
     assert len(out) == len(rows)
     assert not any(out[i].keep for i in out if i >= 1000)
     assert sum(out[i].keep for i in out if i < 1000) >= 0.98 * 450
-    # rates and thresholds by plain arithmetic
-    bits, lang = {i: (n, b) for i, n, b in plain_scores([x[:2] for x in rows], good)}, {i: x or "und" for i, _, x in rows}
-    held = [i for i, t, _ in rows if i in good and (text_hash(t) - (1 << 64) * (text_hash(t) >> 63)) % 5 == 0]
-    by = defaultdict(list)
-    for i in held:
-        by[lang[i]].append(i)
-    mean = lambda ids: sum(bits[i][1] for i in ids) / sum(bits[i][0] for i in ids)
-    rate = {i: (bits[i][1] + 150 * mean(by[lang[i]] if len(by[lang[i]]) >= 20 else held)) / (bits[i][0] + 150) for i in bits}
-    for i, x in out.items():
-        pool = by[lang[i]] if len(by[lang[i]]) >= 20 else held
-        limit = 1.02 * max(rate[j] for j in pool)  # the 0.999 quantile of under 1000 rows
-        assert abs(math.log2(x.perplexity) - rate[i]) < 1e-3 and abs(math.log2(x.threshold) - limit) < 1e-3
-        assert x.keep == (rate[i] <= limit) or abs(rate[i] - limit) < 1e-3
+    for (i, _, _), (rate, limit, keep) in zip(rows, plain_decisions(rows, good), strict=True):
+        x = out[i]
+        assert abs(math.log2(x.perplexity) - rate) < 1e-3 and abs(math.log2(x.threshold) - limit) < 1e-3
+        assert x.keep == keep or abs(rate - limit) < 1e-3
+
+
+def plain_decisions(rows, good):
+    """(rate, limit, keep) of each row (id, text, lang) by plain arithmetic; 0.999 quantiles of under 1,000 rows are their largest."""
+    scored = plain_scores([x[:2] for x in rows], good)
+    lang, empty = [x or "und" for _, _, x in rows], [not t for _, t, _ in rows]
+    trusted = [k for k, (i, _, _) in enumerate(rows) if i in good and not empty[k]]
+    held = [k for k in trusted if (text_hash(rows[k][1]) - (1 << 64) * (text_hash(rows[k][1]) >> 63)) % 5 == 0]
+    pool, by = held if len(held) >= 20 else trusted, defaultdict(list)
+    for k in pool:
+        by[lang[k]].append(k)
+    mean = lambda ks: sum(scored[k][2] for k in ks) / sum(scored[k][1] for k in ks)
+    own = lambda k: by[lang[k]] if len(by[lang[k]]) >= 20 else pool
+    rate = [(scored[k][2] + 150 * mean(own(k))) / (scored[k][1] + 150) for k in range(len(rows))]
+    limit = [1.02 * max(rate[j] for j in own(k)) for k in range(len(rows))]
+    return [(r, m, r <= m) for r, m in zip(rate, limit, strict=True)]
 
 
 def test_rows_of_one_id_are_decided_by_their_own_texts(spark):
