@@ -88,7 +88,7 @@ class Cache(dict):
     """Of chunks, in two generations: when the young one is full it becomes the old one, whose entries come back
     as they are asked for. So memory is bounded, frequent chunks stay, and results never depend on it."""
 
-    def __init__(self, make, limit: int = 200_000, longest: int = 64):
+    def __init__(self, make, limit: int = 100_000, longest: int = 64):
         super().__init__()
         self.make, self.limit, self.longest, self.old = make, limit, longest, {}
 

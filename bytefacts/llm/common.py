@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import os
+import re
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -19,12 +20,20 @@ from bytefacts.session import settle, shared_dir
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Rows and bytes that an Arrow batch of texts holds at most, in the JVM and in a worker.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package when it is run from a source tree."""
+    """Lets Python workers import this package when it is run from a source tree, and keeps the batches they get small."""
     env = spark.sparkContext.environment
     have = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
     if ROOT not in have:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *have])
+    for name, most in BATCH.items():
+        now = re.match(r"\d+$", spark.conf.get(name, None) or "")
+        if now is None or not 0 < int(now[0]) <= most:
+            spark.conf.set(name, str(most))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

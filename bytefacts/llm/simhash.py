@@ -167,7 +167,7 @@ WIDE, BANDS, ROWS = 4, 12, 3
 #: Fingerprints only filter: this many deviations beyond what is expected at the similarity asked for (small sets spread more).
 DEVIATIONS = 6
 #: Nodes in a part of a block, and shingles in a part of a class; two parts meet in a task.
-PART_NODES, PART_SHINGLES = 4096, 2_000_000
+PART_NODES, PART_SHINGLES = 4096, 1_000_000
 
 _MIX = np.random.default_rng(5).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
 
