@@ -103,25 +103,27 @@ def _places(key: pa.Array, doc_id: pa.Array, part: pa.Array) -> np.ndarray:
     return out
 
 
-def range_ends(placed: DataFrame, rows: int, ranges: int) -> np.ndarray:
-    """Where each range but the last ends, as of _places: about as many bytes in each. Gathers some SAMPLE rows of four numbers for each range."""
+def range_ends(docs: DataFrame, rows: int, ranges: int) -> np.ndarray:
+    """Where each range of docs (text, doc_id, part) but the last ends, as of _places: about as many bytes in each. Gathers some SAMPLE rows of four numbers for each range."""
     share = min(1.0, SAMPLE * ranges / max(rows, 1))
     weight = F.coalesce(F.octet_length("text"), F.lit(0)) + 64  # a row costs something even without text
-    sample = placed if share == 1.0 else placed.sample(share, 17)
-    seen = sample.select(*ORDER, weight.cast("long").alias("weight")).toArrow()
+    sample = docs if share == 1.0 else docs.sample(share, 17)
+    seen = sample.withColumn("curve_key", curve_key(F.col("text"))).select(*ORDER, weight.cast("long").alias("weight")).toArrow()
     places = _places(*(seen.column(c).combine_chunks() for c in ORDER))
     order = np.argsort(places, order=_PLACE.names)
     sums = np.cumsum(seen.column("weight").to_numpy()[order])
     return np.unique(places[order][np.searchsorted(sums, sums[-1] * np.arange(1, ranges) / ranges)]) if len(sums) else places
 
 
-def range_of(ends: np.ndarray) -> Column:
-    """The number of a row's range."""
+def placed_in(ends: np.ndarray) -> Column:
+    """struct(curve_key, range) of rows (text, doc_id, part): both from one call, so a task keeps one worker."""
 
-    def number(key: pa.Array, doc_id: pa.Array, part: pa.Array) -> pa.Array:
-        return pa.array(np.searchsorted(ends, _places(key, doc_id, part)), type=pa.int32())
+    def place(texts: pa.Array, doc_id: pa.Array, part: pa.Array) -> pa.Array:
+        key = pa.array(curve_keys(texts.to_pylist()), type=pa.int64())
+        number = pa.array(np.searchsorted(ends, _places(key, doc_id, part)), type=pa.int32())
+        return pa.StructArray.from_arrays([key, number], names=["curve_key", "range"])
 
-    return F.arrow_udf(number, "int")(*ORDER)
+    return F.arrow_udf(place, "struct<curve_key:long,range:int>")("text", "doc_id", "part")
 
 
 class Encoder:
@@ -225,10 +227,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPAC
         if rows := list(packer.finish()):
             yield batch_of(rows)
 
-    placed = common.documents(docs, id_col, text_col).select("*", curve_key(F.col("text")).alias("curve_key"), F.spark_partition_id().cast("long").alias("part"))
+    rows = common.documents(docs, id_col, text_col).withColumn("part", F.spark_partition_id().cast("long"))
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ends = range_ends(placed, docs.count(), ranges)
-    dealt = placed.repartitionById(len(ends) + 1, range_of(ends)).sortWithinPartitions(*ORDER)
+    ends = range_ends(rows, docs.count(), ranges)
+    placed = rows.withColumn("place", placed_in(ends)).select("doc_id", "text", "part", "place.curve_key", "place.range")
+    dealt = placed.repartitionById(len(ends) + 1, "range").sortWithinPartitions(*ORDER)
     return dealt.mapInArrow(run, schema)
 
 

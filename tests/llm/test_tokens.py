@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from bytefacts.llm.bpe import ByteBpe, settled
-from bytefacts.llm.packing import CAPACITY, Packer, curve_key, hilbert, pack, range_ends, range_of
+from bytefacts.llm.packing import CAPACITY, Packer, curve_key, hilbert, pack, placed_in, range_ends
 from bytefacts.llm.piece_encoding import CharacterMap, Model, encode_pieces, model, piece_digests, proto_fields
 from bytefacts.llm.token_counts import Counter, token_counts, whole_tokens
 
@@ -113,11 +113,14 @@ def test_ranges_hold_like_numbers_of_bytes(spark):
     r = random.Random(4)
     rows = [(7, "the same text again and again " * 8)] * 2000 + [(i, "".join(r.choice("ab cd") for _ in range(r.choice([40, 40, 4000])))) for i in range(1000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
-    placed = docs.select("*", curve_key(docs.text).alias("curve_key"), F.spark_partition_id().cast("long").alias("part"))
+    placed = docs.withColumn("part", F.spark_partition_id().cast("long"))
     ends = range_ends(placed, len(rows), 6)
-    bytes_ = [x.n for x in placed.groupBy(range_of(ends).alias("range")).agg(F.sum(F.octet_length("text")).alias("n")).collect()]
+    told = placed.withColumn("place", placed_in(ends)).select("*", "place.*")
+    bytes_ = [x.n for x in told.groupBy("range").agg(F.sum(F.octet_length("text")).alias("n")).collect()]
     assert len(bytes_) == 6 and max(bytes_) < 1.8 * sum(bytes_) / 6
-    assert placed.where(range_of(ends) > 5).count() == 0 and len(range_ends(placed.limit(0), 0, 6)) == 0
+    assert told.where("range > 5").count() == 0 and len(range_ends(placed.limit(0), 0, 6)) == 0
+    assert told.where(F.col("curve_key") != curve_key(F.col("text"))).count() == 0
+    assert [x.range for x in told.orderBy("curve_key", "doc_id", "part").collect()] == sorted(x.range for x in told.collect())
 
 
 def test_every_place_of_a_normalised_text_has_its_origin():
