@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bytefacts.llm import common
@@ -32,6 +32,8 @@ QUANTILE, PRIOR, HOLD = 0.999, 150, 5
 MARGIN = 1.02
 #: A language with fewer held-out documents takes the threshold of all of them.
 FEWEST = 20
+#: Rates of thresholds are told in these steps.
+STEP = 1e-4
 #: Bytes of text in a block, and at a time in a pass over it.
 BLOCK, CHUNK = 24 << 20, 1 << 20
 #: Rows of one id go to this many blocks, by their texts.
@@ -195,6 +197,20 @@ def scores(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: s
         return common.cut(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_bits, "doc_id long, lang string, text_hash long, symbols long, bits double"))
 
 
+def _quantiles(rates: DataFrame, quantile: float, *by: str) -> DataFrame:
+    """(by, value, docs): the smallest rate, in steps of STEP, that a share `quantile` of the rows does not exceed; the same however rows are dealt.
+
+    Counts of steps are few whatever the rows (a rate is some bits), so a window over them is small.
+    """
+    steps = rates.groupBy(*by, F.ceil(F.col("rate") / STEP).alias("step")).agg(F.count("*").alias("n"))
+    key = by or (F.lit(0),)
+    upto = F.sum("n").over(Window.partitionBy(*key).orderBy("step"))
+    ranked = steps.select(*by, "step", upto.alias("upto"), F.sum("n").over(Window.partitionBy(*key)).alias("docs"))
+    found = ranked.where(F.col("upto") >= F.ceil(F.col("docs") * quantile))
+    # aggregated without a key, an empty table has one row of nulls
+    return found.groupBy(*by).agg((F.min("step") * STEP).alias("value"), F.max("docs").alias("docs"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per row of docs: doc_id, lang, symbols, perplexity (per byte, with the prior), threshold, keep, text_hash.
 
@@ -220,8 +236,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_
         return with_mean.select("doc_id", "lang", "text_hash", "symbols", ((F.col("bits") + PRIOR * F.col("mean")) / (F.col("symbols") + PRIOR)).alias("rate"))
 
     sample = rated(pool)
-    by_lang = sample.groupBy("lang").agg(F.percentile_approx("rate", quantile, 10_000).alias("own"), F.count("*").alias("docs"))
-    for_all = sample.agg(F.percentile_approx("rate", quantile, 10_000).alias("for_all"))
+    by_lang = _quantiles(sample, quantile, "lang").select("lang", F.col("value").alias("own"), "docs")
+    for_all = _quantiles(sample, quantile).select(F.col("value").alias("for_all"))
     limits = rated(scored).join(common.sized(by_lang), "lang", "left").crossJoin(common.sized(for_all))
     limit = MARGIN * F.when(F.col("docs") >= FEWEST, F.col("own")).otherwise(F.col("for_all"))
     keep = F.col("rate").isNull() | limit.isNull() | (F.col("rate") <= limit)
