@@ -50,16 +50,17 @@ def blocks(words: DataFrame, by: list[str]) -> DataFrame:
 
 
 def edges(blocks_: DataFrame, words: DataFrame, by: list[str]) -> DataFrame:
-    """(by, from_block, to_block, kind). A fall-through is left out after RETURN and JMP, and where an edge goes there anyway."""
+    """(by, from_block, to_block, kind). A fall-through is left out after RETURN and JMP, and where an edge goes there anyway.
+
+    A target begins a block, as marked() has it. One that is no instruction (a word of another, or none) has no edge; such artifacts are not admitted to analysis.
+    """
     last = blocks_.where("last is not null").select(*by, F.col("index").alias("from_block"), "end_pc", F.col("last.mnemonic").alias("mnemonic"), F.col("last.jump_target").alias("jump"), F.col("last.skip_target").alias("skip"))
     jump = last.where("jump is not null").withColumn("kind", F.when(F.col("jump") <= F.col("end_pc"), "loop-back").when(F.col("mnemonic") == "JMP", "unconditional-jump").otherwise("conditional-true")).withColumn("target", F.col("jump"))
     skip = last.where("skip is not null").withColumn("kind", F.lit("conditional-skip")).withColumn("target", F.col("skip"))
     columns = [*by, "from_block", "to_block", "kind"]
     moves = jump.unionByName(skip).select(*by, "from_block", "kind", "target")
     starts = blocks_.select(*by, F.col("start_pc").alias("target"), F.col("index").alias("to_block"))
-    # a target begins a block, but for a word that belongs to an instruction before it: that lies within one
-    inner = moves.join(starts.drop("to_block"), [*by, "target"], "left_anti").join(blocks_.select(*by, F.col("index").alias("to_block"), "start_pc", "end_pc"), by).where("target between start_pc and end_pc")
-    taken = moves.join(starts, [*by, "target"]).select(columns).unionByName(inner.select(columns))
+    taken = moves.join(starts, [*by, "target"]).select(columns)
     fall = last.where("not mnemonic like 'RETURN%' and mnemonic != 'JMP'").withColumn("to_block", F.col("from_block") + 1).withColumn("kind", F.lit("fallthrough"))
     fall = fall.join(blocks_.select(*by, F.col("index").alias("to_block")), [*by, "to_block"], "left_semi").join(taken.select(*by, "from_block", "to_block").distinct(), [*by, "from_block", "to_block"], "left_anti")
     return taken.unionByName(fall.select(columns))
