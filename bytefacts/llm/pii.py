@@ -17,7 +17,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from bytefacts.llm import common
+from bytefacts.llm import common, lstm_graph
 
 KINDS = ("email", "ip", "card", "phone")
 #: Runs are taken whole (possessive) and kept only if what must follow does, which finds the leftmost matches in linear time.
@@ -202,7 +202,18 @@ class BiLstmCrf:
         return (em, (x, both, tape)) if keep else em
 
     def read(self, ids: np.ndarray) -> np.ndarray:
-        """emissions() less that of tag 0, as time x batch x TAGS - 1, for reading only.
+        """emissions() less that of tag 0, as time x batch x TAGS - 1, for reading only: by onnxruntime, or by numpy where that is not installed."""
+        states = lstm_graph.reader(self.w)
+        if states is None:
+            return self.read_plain(ids)
+        y, out = states(np.ascontiguousarray(ids.T)), self.w["o"][:, 1:] - self.w["o"][:, :1]
+        em = y[:, 0] @ out[:HIDDEN]
+        em += y[:, 1] @ out[HIDDEN:]
+        em += self.w["ob"][1:] - self.w["ob"][0]
+        return em
+
+    def read_plain(self, ids: np.ndarray) -> np.ndarray:
+        """read() by numpy.
 
         Inputs of each symbol are worked out once, gates lie in planes, sigmoids are (1 + tanh of half) / 2, with the
         halves of the output gate left to the weights: h here is twice the state.
@@ -307,7 +318,7 @@ class BiLstmCrf:
 
 @functools.lru_cache(maxsize=1)
 def _states(n: int, b: int) -> np.ndarray:
-    """Room for the states of read(), used again for the next windows."""
+    """Room for the states of read_plain(), used again for the next windows."""
     return np.empty((2, n + 1, b, HIDDEN), np.float32)
 
 
@@ -354,7 +365,7 @@ def window_starts(n: int) -> list[int]:
 RIM = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
 
 
-def blended(texts: list[str], net: BiLstmCrf, block: int = 512) -> list[np.ndarray]:
+def blended(texts: list[str], net: BiLstmCrf, block: int = 128) -> list[np.ndarray]:
     """Emissions of each whole text less that of tag 0 (TAGS - 1 x code points): those of its windows, weighed by RIM where they overlap."""
     first = np.cumsum([0, *map(len, texts)])
     ids = np.append(symbols("".join(texts)), np.zeros(WINDOW, dtype=np.int64))

@@ -121,6 +121,24 @@ def test_reading_equals_training_form():
     assert np.allclose(trained().read(ids), em[:, :, 1:] - em[:, :, :1], atol=1e-3)
 
 
+def test_reading_by_the_graph_equals_plain_reading(monkeypatch):
+    """Other weights than the trained ones, biases of every gate among them; batches of other shapes; without onnxruntime it is read by numpy."""
+    from bytefacts.llm import lstm_graph
+
+    r = np.random.default_rng(5)
+    net = BiLstmCrf(3)
+    net.w = {k: (v + r.normal(0, 0.3, v.shape)).astype(np.float32) for k, v in net.w.items()}
+    for batch, n in ((1, 1), (3, 17), (40, WINDOW)):
+        ids = r.integers(0, len(net.w["e"]), (batch, n))
+        em = net.emissions(ids)
+        want = em[:, :, 1:] - em[:, :, :1]
+        states = lstm_graph.reader(net.w)(np.ascontiguousarray(ids.T))
+        assert states.shape == (n, 2, batch, net.w["h"].shape[1])
+        assert np.allclose(net.read(ids), want, atol=1e-4) and np.allclose(net.read_plain(ids), want, atol=1e-4)
+    monkeypatch.setattr(lstm_graph, "reader", lambda w: None)
+    assert np.array_equal(net.read(ids), net.read_plain(ids))
+
+
 def test_spans_are_those_of_one_sequence_over_the_whole_text():
     net = trained()
     r = random.Random(11)
