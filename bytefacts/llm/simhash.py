@@ -42,8 +42,11 @@ def shingles(text: str, words: int) -> list[bytes]:
 
 def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
     """64 bits, each set if it is set in more than half of the shingles' XXH64; 0 without words."""
+    return _fingerprint_of(shingles(text, words), seed)
+
+
+def _fingerprint_of(found: list[bytes], seed: int = 42) -> int:
     digest, bits, n = xxhash.xxh64_digest, np.zeros(64, dtype=np.int64), 0
-    found = shingles(text, words)
     for at in range(0, len(found), 65_536):  # bounded memory for very long texts
         part = found[at : at + 65_536]
         raw = np.frombuffer(b"".join([digest(s, seed) for s in part]), dtype=np.uint8).reshape(-1, 8)
@@ -188,9 +191,10 @@ def set_id(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes(), 9)).view(np.int64))
 
 
-def sketch(text: str, words: int) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """(wide fingerprint as WIDE words, BANDS keys, set_id, size) of a text's set of shingles. Each key mixes ROWS smallest values."""
-    found = list(dict.fromkeys(shingles(text, words)))
+def sketch(text: str, words: int) -> tuple[np.ndarray, np.ndarray, int, int, int]:
+    """(wide fingerprint as WIDE words, BANDS keys, set_id, size) of a text's set of shingles, and fingerprint(). Each key mixes ROWS smallest values."""
+    every = shingles(text, words)
+    found = list(dict.fromkeys(every))
     bits, low = np.zeros(64 * WIDE, dtype=np.int64), np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(found), 16_384):
         part = found[at : at + 16_384]
@@ -202,7 +206,7 @@ def sketch(text: str, words: int) -> tuple[np.ndarray, np.ndarray, int, int]:
     words_ = np.packbits(2 * bits > len(found)).view(">u8").astype(np.uint64)
     keys_ = np.array([xxhash.xxh64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)], dtype=np.uint64)
     hashes = _hashes(found)
-    return words_, keys_, set_id(hashes), len(hashes)
+    return words_, keys_, set_id(hashes), len(hashes), _fingerprint_of(every)
 
 
 _PRINT = [f"p{i}" for i in range(WIDE)]
@@ -315,13 +319,23 @@ def _meetings(rows: DataFrame, group: list[str], parts: str) -> DataFrame:
     return dealt.repartition(*at).sortWithinPartitions(*at, "node")
 
 
-def candidate_classes(nodes: DataFrame, tau: int) -> DataFrame:
-    """(node, class) of nodes (node, prints, bands) that share a key with another within tau bits, or hang together by such links."""
+def fingerprint_links(carriers: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes of carriers (bits, node), by pigeonring as of links(): nodes of one fingerprint, or of two that differ in
+    at most TAU bits, hang together. Each fingerprint stands for its nodes by the smallest of them."""
+    first = common.cut(carriers.groupBy("bits").agg(F.min("node").alias("first")))
+    pairs = links(first.select("bits")).join(first.toDF("a", "left"), "a").join(first.toDF("b", "right"), "b")
+    same = carriers.join(first, "bits").where("node != first")
+    return pairs.select(F.col("left").alias("a"), F.col("right").alias("b")).union(same.select("first", "node"))
+
+
+def candidate_classes(nodes: DataFrame, carriers: DataFrame, tau: int) -> DataFrame:
+    """(node, class) of nodes that hang together by links: those of fingerprint_links(carriers), and those between nodes (node, prints, bands)
+    that share a key and are within tau bits."""
     rows = nodes.select("node", F.col("prints").alias("payload"), F.posexplode("bands").alias("band", "key"))
     sizes = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     rows = rows.join(sizes, ["band", "key"]).withColumn("parts", F.ceil(F.col("n") / PART_NODES))
     links_ = _meetings(rows, ["band", "key"], "parts").mapInArrow(_links_of_groups(_close_prints(tau)), "a long, b long")
-    return connected_components(links_).select("node", F.col("component").alias("class"))
+    return connected_components(fingerprint_links(carriers).union(links_)).select("node", F.col("component").alias("class"))
 
 
 def _row_hash(text: str) -> int:
@@ -335,13 +349,14 @@ def _classified(docs: DataFrame, words: int, similarity: float, id_col: str, tex
 
     def kernel(ids: list, texts: list) -> dict:
         made = [sketch(t, words) for t in texts]
-        columns = {"prints": [p.tobytes() for p, *_ in made], "bands": [k.view(np.int64).tolist() for _, k, *_ in made], "node": [m[2] for m in made], "size": [m[3] for m in made]}
+        columns = {"prints": [p.tobytes() for p, *_ in made], "bands": [k.view(np.int64).tolist() for _, k, *_ in made], "node": [m[2] for m in made], "size": [m[3] for m in made], "bits": np.array([m[4] for m in made], dtype=np.uint64).view(np.int64)}
         return {"doc_id": ids, "text_hash": [_row_hash(t) for t in texts]} | columns
 
-    made = common.cut(common.map_texts(docs, "doc_id long, text_hash long, prints binary, bands array<long>, node long, size long", kernel, id_col, text_col))
+    made = common.cut(common.map_texts(docs, "doc_id long, text_hash long, prints binary, bands array<long>, node long, size long, bits long", kernel, id_col, text_col))
     firsts = (F.first(c).alias(c) for c in ("prints", "bands", "size"))
     nodes = common.cut(made.groupBy("node").agg(F.min(_row_key()).alias("row"), *firsts))
-    classes = common.cut(nodes.join(candidate_classes(nodes, wide_tau(similarity)), "node").select("row", "node", "class", "size"))
+    carriers = made.select("bits", "node").distinct()
+    classes = common.cut(nodes.join(candidate_classes(nodes, carriers, wide_tau(similarity)), "node").select("row", "node", "class", "size"))
     parts = classes.groupBy("class").agg(F.ceil(F.sum("size") / PART_SHINGLES).cast("long").alias("parts"))
     members = classes.join(parts, "class").select("row.*", F.col("node").alias("__node"), F.col("class").alias("__class"), F.greatest("parts", F.lit(1)).alias("__parts"))
     # texts of class members only, one for each node; both sides shuffled at any size, as members grow with the corpus
@@ -371,9 +386,11 @@ def _row_key() -> Column:
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) per row of docs: rows linked by shingle sets of at least `similarity`, by exact Jaccard similarity.
 
-    At this similarity fingerprints differ in too many bits for keys of equal segments, so documents meet if one of
+    Equal sets are one node. Candidates come first by this module's method, as in near_duplicates: 64-bit fingerprints of the shingles
+    at most TAU bits apart, by pigeonring keys, chain test and Hamming check; each such link is followed by the exact check.
+    Most fingerprints of this similarity differ in more bits than keys of equal segments reach, so documents meet as well if one of
     BANDS keys of ROWS smallest shingle values each is the same (a pair of similarity 0.8 meets but for one in 5,000).
-    Equal sets are one node. All nodes of a block are compared by fingerprints of 256 bits, with a wide
+    All nodes of such a block are compared by fingerprints of 256 bits, with a wide
     margin; what these leave together is a class, and within a class links are decided by the sets themselves.
     Large blocks and classes are dealt in parts, every two of which meet in a task: none is gathered, and no pair is left out.
     Rows, not ids, are linked: rows of one id may have other texts and other components. Rows with a null id take part; a component is

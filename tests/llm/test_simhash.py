@@ -193,6 +193,21 @@ def test_rows_are_dropped_for_their_own_texts(spark):
     assert got(near_copies(docs)) == sorted([(3, 3), (7, 7), (7, 3), (9, 7), (7, 7), (None, 11), (None, 11), (None, 7), (11, 11), (12, 12), (None, 12), (-5, -5)], key=repr)
 
 
+def test_near_copies_meet_by_fingerprints_too(spark):
+    """Texts of one repeated phrase, similarity 0.805 and equal fingerprints, chosen so that no two share a key of smallest values: only pigeonring finds them."""
+    from bytefacts.llm.simhash import sketch
+
+    r, phrase = random.Random(31), " ".join(f"core{i}" for i in range(7))
+    tail = words(r, 150)
+    texts = [" ".join([phrase] * 60 + [tail] + [f"own{i}x{k}" for k in range(19)]) for i in (53, 632)]
+    texts += [words(r, 100), words(r, 100)]
+    mine, other = (sketch(t, 5)[1] for t in texts[:2])
+    assert not (mine == other).any() and jaccard_classes(texts) == [0, 0, 2, 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert dict(near_copies(docs).collect()) == {0: 0, 1: 0, 2: 2, 3: 3}
+    assert sorted(x.doc_id for x in first_of_each(docs).collect()) == [0, 2, 3]
+
+
 def test_recall_against_all_pairs(spark):
     """A mix of groups, chains of copies and unrelated texts in both small and large blocks: exactly what all pairs give."""
     r, texts = random.Random(21), []
