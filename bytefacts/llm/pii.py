@@ -208,7 +208,7 @@ class BiLstmCrf:
             return self.read_plain(ids)
         y, out = states(np.ascontiguousarray(ids.T)), self.w["o"][:, 1:] - self.w["o"][:, :1]
         em = y[:, 0] @ out[:HIDDEN]
-        em += y[:, 1] @ out[HIDDEN:]
+        em += (y[:, 1] @ out[HIDDEN:])[::-1]
         em += self.w["ob"][1:] - self.w["ob"][0]
         return em
 
@@ -365,7 +365,7 @@ def window_starts(n: int) -> list[int]:
 RIM = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
 
 
-def blended(texts: list[str], net: BiLstmCrf, block: int = 128) -> list[np.ndarray]:
+def blended(texts: list[str], net: BiLstmCrf, block: int = 512) -> list[np.ndarray]:
     """Emissions of each whole text less that of tag 0 (TAGS - 1 x code points): those of its windows, weighed by RIM where they overlap."""
     first = np.cumsum([0, *map(len, texts)])
     ids = np.append(symbols("".join(texts)), np.zeros(WINDOW, dtype=np.int64))

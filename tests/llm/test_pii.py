@@ -139,6 +139,26 @@ def test_reading_by_the_graph_equals_plain_reading(monkeypatch):
     assert np.array_equal(net.read(ids), net.read_plain(ids))
 
 
+def test_the_graph_steps_all_windows_and_both_directions_at_once():
+    """No operator that works row by row; states equal a plain loop's, those of the second direction from the last place to the first."""
+    from bytefacts.llm import lstm_graph
+
+    r = np.random.default_rng(9)
+    net = BiLstmCrf(4)
+    net.w = {k: (v + r.normal(0, 0.3, v.shape)).astype(np.float32) for k, v in net.w.items()}
+    model, hidden = lstm_graph.graph(net.w), net.w["h"].shape[1]
+    assert b"LSTM" not in model and [model.count(op) for op in (b"Scan", b"MatMul", b"Gather")] == [1, 4, 4]
+    ids = r.integers(0, len(net.w["e"]), (600, 40))
+    states = lstm_graph.reader(net.w)(np.ascontiguousarray(ids.T))
+    for d, seen in enumerate((ids, ids[:, ::-1])):
+        h = c = np.zeros((len(ids), hidden))
+        for t in range(ids.shape[1]):
+            i, f, o, u = np.split(net.w["e"][seen[:, t]] @ net.w["x"][d] + net.w["c"][d] + h @ net.w["h"][d], 4, axis=1)
+            c = c / (1 + np.exp(-f)) + np.tanh(u) / (1 + np.exp(-i))
+            h = np.tanh(c) / (1 + np.exp(-o))
+            assert np.allclose(states[t, d], h, atol=1e-4)
+
+
 def test_spans_are_those_of_one_sequence_over_the_whole_text():
     net = trained()
     r = random.Random(11)
